@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, licenses, packing, warc
+from . import exact_dedup, langid, licenses, minhash, packing, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,12 +31,17 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
 
 
+def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op2_language_id": op2_language_id,
     "op3_license_scan": op3_license_scan,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_warc": op8_warc,
+    "op10_dart_minhash": op10_dart_minhash,
 }
 
 #: DuckDB SQL for the rows of a query, where SQL can express it.
