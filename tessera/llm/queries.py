@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_dedup, langid, licenses, minhash, packing, warc
+from . import decontam, exact_dedup, html_extract, langid, licenses, minhash, packing, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("rid")
 
@@ -43,6 +47,7 @@ QUERIES = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op2_language_id": op2_language_id,
     "op3_license_scan": op3_license_scan,
+    "op4_html_extraction": op4_html_extraction,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_decontamination": op6_decontamination,
     "op8_warc": op8_warc,
