@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_dedup, html_extract, langid, licenses, minhash, packing, suffix_dedup, warc
+from . import decontam, exact_dedup, html_extract, langid, licenses, lm_score, minhash, packing, suffix_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
 
 
+def op9_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_prefix_free_parsing": op7_prefix_free_parsing,
     "op8_warc": op8_warc,
+    "op9_maxent_scores": op9_maxent_scores,
     "op10_dart_minhash": op10_dart_minhash,
 }
 
