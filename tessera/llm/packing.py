@@ -14,24 +14,26 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import text_bytes
-
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 )
 #: Sequences of one partition are numbered from partition << SEQUENCE_BITS.
 SEQUENCE_BITS = 40
-#: Distinct white-space separated strings whose ids a worker remembers; then it starts afresh.
-CACHE = 600_000
+#: Distinct white-space separated strings, and distinct words, whose ids a worker remembers; then it starts afresh.
+CACHE, WORDS = 800_000, 1_200_000
+#: A mark after a word is a token of its own.
+MARKS = ".,;:!?"
 #: Longer texts are tokenised in parts that end at white space.
 PART = 1 << 20
 #: Python's split() takes these for white space, the tokenizer doesn't; and its own special strings.
-ODD = re.compile("[\x1c-\x1f]|<\\|(?:start|end)oftext\\|>")
+ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|startoftext|>", "<|endoftext|>")
 
 
 def default_tokenizer() -> str:
@@ -40,11 +42,82 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Merges:
+    """Byte-pair merges of many words at once: in each round every word merges its lowest-ranked pair, leftmost first."""
+
+    NONE = np.int32(2**31 - 1)
+
+    def __init__(self, spec: dict, letters: dict[int, str]):
+        vocab, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
+        self.inner = np.array([vocab[letters[b]] for b in range(256)], np.int32)
+        self.final = np.array([vocab[letters[b] + suffix] for b in range(256)], np.int32)
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        left, right = (np.array([vocab[p[i]] for p in pairs], np.int64) for i in (0, 1))
+        self.result = np.array([vocab[a + b] for a, b in pairs], np.int32)
+        self.size = np.int64(max(vocab.values()) + 1)
+        order = np.argsort(left * self.size + right, kind="stable")
+        self.pairs, self.ranks = (left * self.size + right)[order], order.astype(np.int32)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The ranks of pairs; NONE for those that don't merge, and where b is -1."""
+        code = a * self.size + b
+        at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
+        return np.where((self.pairs[at] == code) & (b >= 0), self.ranks[at], self.NONE)
+
+    def __call__(self, words: list[bytes]) -> list[bytes]:
+        """Little-endian 32-bit ids of each word."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        out: list[bytes] = [b""] * len(words)
+        top = 1
+        while (lengths > top // 2).any():
+            some = np.flatnonzero((lengths > top // 2) & (lengths <= top))
+            for part in np.array_split(some, max(1, len(some) * top // 2_000_000)):
+                for i, ids in zip(part.tolist(), self._merge([words[i] for i in part.tolist()], lengths[part], top)):
+                    out[i] = ids
+            top *= 2
+        return out
+
+    def _merge(self, words: list[bytes], n: np.ndarray, width: int) -> list[bytes]:
+        if not words:
+            return []
+        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(-1, width)
+        sym = np.full((len(words), width + 1), -1, np.int64)
+        column = np.arange(width)
+        sym[:, :-1] = np.where(column < n[:, None], self.inner[raw], -1)
+        every = np.arange(len(words))
+        sym[every, n - 1] = self.final[raw[every, n - 1]]
+        n = n.copy()
+        ranks = self.rank(sym[:, :-1], sym[:, 1:])
+        live = every
+        s, r = sym, ranks
+        while True:
+            j = r.argmin(1)
+            low = r[np.arange(len(r)), j]
+            on = np.flatnonzero(low < self.NONE)
+            if len(on) < len(r):
+                sym[live] = s
+                live, s, r, j, low = live[on], s[on], r[on], j[on], low[on]
+            if not len(live):
+                break
+            k = np.arange(len(live))
+            take = column + (column > j[:, None])
+            s[:, :-1] = np.take_along_axis(s, take, 1)
+            r = np.take_along_axis(np.concatenate([r, np.full((len(r), 1), self.NONE, np.int32)], 1), take, 1)
+            s[k, j] = self.result[low]
+            r[k, j] = self.rank(s[k, j], s[k, j + 1])
+            before = np.flatnonzero(j > 0)
+            r[before, j[before] - 1] = self.rank(s[before, j[before] - 1], s[before, j[before]])
+            n[live] -= 1
+        flat = sym[:, :-1][column < n[:, None]].astype("<u4").tobytes()
+        ends = 4 * np.cumsum(n)
+        return [flat[b - 4 * m : b] for b, m in zip(ends.tolist(), n.tolist())]
+
+
 class Encoder:
     """Ids of whole texts, the same as Tokenizer.encode(text, add_special_tokens=False).
 
     The vocabulary never joins characters across white space, so the ids of a text are those of its
-    white-space separated strings in turn. Those repeat; the tokenizer's BPE model runs once for each.
+    white-space separated strings in turn. Those repeat; merges run once for each word.
     """
 
     def __init__(self, path: str):
@@ -55,53 +128,84 @@ class Encoder:
         self.full = Tokenizer.from_file(path)
         kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in splits] == ["Split", "ByteLevel"]
+        self.by_word = (
+            kinds == ["NFC", "Replace", "Lowercase"]
+            and [x["type"] for x in splits] == ["Split", "ByteLevel"]
+            and spec["model"]["type"] == "BPE"
+            and bool(spec["model"]["end_of_word_suffix"])
+        )
         if self.by_word:
             self.pattern = regex.compile(splits[0]["pattern"]["Regex"])
-            self.bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}))
             shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
             hidden = [b for b in range(256) if b not in set(shown)]
-            self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+            self.merges = Merges(spec, {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)})
         self.cache: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def learn(self, strings: list[str]) -> None:
-        """Puts the ids of strings without white space into the cache."""
-        cut = [self.pattern.findall(s.replace("Σ", "σ").lower()) for s in strings]
+        """Puts the ids of strings without white space into the cache: words, words with one mark, and the rest."""
+        if len(self.words) > WORDS:
+            self.words = {}
+        lows = [s.lower() for s in (strings if all(map(str.isascii, strings)) else [s.replace("Σ", "σ") for s in strings])]
+        plain = list(map(str.isalpha, lows))
+        words, others = list(compress(lows, plain)), [(s, x) for s, x, p in zip(strings, lows, plain) if not p]
+        bodies = [x[:-1] for _, x in others]
+        marked = [x[-1] in MARKS and w.isalpha() for w, (_, x) in zip(bodies, others)]
+        rest = {s: self.pattern.findall(x) for (s, x), m in zip(others, marked) if not m}
         known = self.words
-        new = list({w for ws in cut for w in ws if w not in known})
-        for at in range(0, len(new), 50_000):
-            some = new[at : at + 50_000]
-            shown = [w.encode().decode("latin-1").translate(self.letters) for w in some]
-            for w, e in zip(some, self.bare.encode_batch_fast(shown, add_special_tokens=False)):
-                known[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
-        for s, ws in zip(strings, cut):
-            self.cache[s] = known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws])
-
-    def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of a text."""
-        if not self.by_word or ODD.search(text):
-            return b"".join(i.to_bytes(4, "little") for i in self.full.encode(text, add_special_tokens=False).ids)
+        new = [w for w in set().union(words, compress(bodies, marked), MARKS, *rest.values()) if w not in known]
+        known.update(zip(new, self.merges([w.encode() for w in new])))
+        self.cache.update(zip(compress(strings, plain), map(known.__getitem__, words)))
+        self.cache.update((s, known[w] + known[x[-1]]) for w, (s, x), m in zip(bodies, others, marked) if m)
+        self.cache.update((s, b"".join([known[w] for w in ws])) for s, ws in rest.items())
+
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each text; what is new in about PART characters is learned at once."""
+        at = 0
+        while at < len(texts):
+            some, size = [], 0
+            while at < len(texts) and size < PART:
+                some.append(self._strings(texts[at]) if len(texts[at]) <= PART else texts[at])
+                size += len(texts[at])
+                at += 1
+            self._know([x for x in some if isinstance(x, list)])
+            done = [b"".join(map(self.cache.__getitem__, x)) if isinstance(x, list) else None for x in some]
+            for x, ids in zip(some, done):
+                yield ids if ids is not None else self._whole(x) if len(x) <= PART else self._long(x)
+
+    def _strings(self, text: str) -> list[str] | str:
+        """The white-space separated strings; the text itself if it must be tokenised whole."""
+        if not self.by_word or any(x in text for x in ODD):
+            return text
         if not text.isascii() and not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
-        if len(text) <= PART:
-            return self._part(text.split())
+        return text.split()
+
+    def _know(self, lists: list[list[str]]) -> None:
+        if len(self.cache) > CACHE:
+            self.cache = {}
+        known = self.cache
+        new = [s for s in set().union(*lists) if s not in known]
+        if new:
+            self.learn(new)
+
+    def _whole(self, text: str) -> bytes:
+        return b"".join(i.to_bytes(4, "little") for i in self.full.encode(text, add_special_tokens=False).ids)
+
+    def _long(self, text: str) -> bytes:
+        """A long text, in parts that end at white space."""
+        if not self.by_word or any(x in text for x in ODD):
+            return self._whole(text)
         out, at, space = [], 0, re.compile(r"\s")
         while at < len(text):
             end = space.search(text, at + PART)
-            out.append(self._part(text[at : (end := end.start() if end else len(text))].split()))
+            end = end.start() if end else len(text)
+            strings = self._strings(text[at:end])
+            self._know([strings])
+            out.append(b"".join(map(self.cache.__getitem__, strings)))
             at = end
         return b"".join(out)
 
-    def _part(self, strings: list[str]) -> bytes:
-        try:
-            return b"".join(map(self.cache.__getitem__, strings))
-        except KeyError:
-            if len(self.cache) > CACHE:
-                self.cache, self.words = {}, {}
-            self.learn([s for s in set(strings) if s not in self.cache])
-            return b"".join(map(self.cache.__getitem__, strings))
-
 
 _encoders: dict[str, Encoder] = {}
 
@@ -178,8 +282,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, en
         enc, bins = encoder(path), Bins(TaskContext.get().partitionId() << SEQUENCE_BITS, capacity)
         for batch in batches:
             rows = []
-            for doc_id, data in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
-                ids = enc.ids(data.decode("utf-8", "replace")) + last
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.ids(texts)):
+                ids += last
                 n = len(ids) // 4
                 for start, size in cuts(n, capacity):
                     crc = zlib.crc32(ids[4 * start : 4 * (start + size)])
