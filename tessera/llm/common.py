@@ -68,3 +68,9 @@ def fits_broadcast(df: DataFrame, size, limit_bytes: int) -> bool:
 def join_small_or_shuffled(left: DataFrame, right: DataFrame, on, how: str, size, limit_bytes: int = 8 << 20):
     """left join right: right is broadcast while its measured size is within the limit, else both are shuffled."""
     return left.join(F.broadcast(right) if fits_broadcast(right, size, limit_bytes) else right, on, how)
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str, what: str) -> DataFrame:
+    """rows whose key isn't in gone (one column, key); rows with a null key stay. gone is written once."""
+    gone = written(gone.filter(F.col(key).isNotNull()).distinct(), what)
+    return join_small_or_shuffled(rows, gone, key, "left_anti", F.lit(16)).select(rows.columns)

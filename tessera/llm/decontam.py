@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import text_bytes, without
 from .shingles import counted, shingle_hashes, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -189,5 +189,5 @@ def _scan(items: list[tuple[int, bytes]], threshold: float):
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the documents that repeat a benchmark item; rows with a null doc_id stay."""
-    return docs.join(matches(docs, benchmark, threshold).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """docs, all columns, without the documents that repeat a benchmark item; rows with a null doc_id stay."""
+    return without(docs, matches(docs, benchmark, threshold).select("doc_id"), "doc_id", "leaks")

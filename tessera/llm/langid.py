@@ -147,3 +147,14 @@ def identify(docs: DataFrame, size: int = PROFILE) -> DataFrame:
     """
     profile = profiles(docs.filter(~held_out()), size)
     return predict(docs.select("doc_id", held_out().alias("held_out"), "text"), profile, size).drop("text")
+
+
+def keep_identified(docs: DataFrame, size: int = PROFILE) -> DataFrame:
+    """docs, all columns, without the texts that have no language: null ones and those without a letter.
+
+    Where no row has a lang to learn from, the texts that have a letter stay.
+    """
+    profile = profiles(docs.filter(~held_out()), size)
+    if profile.isEmpty():
+        profile = docs.sparkSession.createDataFrame([("any", 32, 0)], "lang string, code long, rank int")
+    return predict(docs.withColumnsRenamed(clash := {c: f"own_{c}" for c in ("lang_pred", "score") if c in docs.columns}), profile, size).filter("lang_pred <> 'und'").drop("lang_pred", "score").withColumnsRenamed({v: k for k, v in clash.items()})

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small_or_shuffled, text_bytes, written
+from .common import join_small_or_shuffled, text_bytes, without, written
 from .components import components
 from .shingles import counted, mix, shingle_hashes, weighted_jaccard, word_hashes
 
@@ -213,3 +213,8 @@ def _unmet(crowded: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFram
     few = placed.join(largest, "h").filter("label <> largest").select("h", F.col("node").alias("x"), F.col("label").alias("lx"))
     pairs = few.join(placed, "h").filter("lx <> label").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
     return pairs.join(tested, ["a", "b"], "left_anti")
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """docs, all columns, with one document of each class of near duplicates: that with the smallest doc_id."""
+    return without(docs, near_duplicates(docs, threshold).filter("not is_kept").select("doc_id"), "doc_id", "near-copies")
