@@ -15,9 +15,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes, written
+from .common import text_bytes, without, written
 
 BLOCK = 2048
+#: Spark samples keys on the driver to cut their range into partitions; so much of a block does for that.
+PREFIX = 48
 SPACES = b" \t\n\x0b\x0c\r"
 
 
@@ -55,9 +57,10 @@ def _blocks(size: int):
 
 
 def _names(rows: DataFrame, keys: list[str], what: str) -> DataFrame:
-    """Integer names, in sort order, of the keys that occur more than once."""
+    """Integer names, in sort order, of the keys that occur more than once; blocks are dealt out by their first bytes."""
     repeated = rows.groupBy(*keys).count().filter("count > 1").select(*keys)
-    return written(repeated.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id()), what)
+    dealt = [F.substring(k, 1, PREFIX) if k == "block" else F.col(k) for k in keys]
+    return written(repeated.repartitionByRange(*dealt).sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id()), what)
 
 
 def _regroup(named: DataFrame, what: str) -> DataFrame:
@@ -101,7 +104,8 @@ def exact_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
     facts = rows.mapInArrow(_facts, "rid long, doc_id long, n_chars long, text_sha256 string")
     ids = identities(rows, block)
-    all_ = facts.join(ids, "rid", "left")
+    # a row that stands alone gets a key of its own, so that such rows don't meet in one task
+    all_ = facts.join(ids, "rid", "left").withColumns({"level": F.coalesce("level", F.lit(-1)), "name": F.coalesce("name", "rid")})
     best = F.min(F.struct((-F.col("n_chars")).alias("c"), F.col("doc_id").isNull().alias("x"), "doc_id", "rid"))
     groups = facts.join(ids, "rid").groupBy("level", "name").agg(best.alias("best"), F.count("*").alias("group_size"))
     return all_.join(groups, ["level", "name"], "left").select(
@@ -112,3 +116,11 @@ def exact_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         "text_sha256",
         "rid",
     )
+
+
+def keep_one(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """docs, all columns, with the row that stays of each group; docs must be read in the same order each time."""
+    mark = "rid" if "rid" not in docs.columns else "rid_" + "_".join(docs.columns)
+    rows = docs.withColumn(mark, F.monotonically_increasing_id())
+    gone = exact_dedup(docs, block).filter("not kept").select(F.col("rid").alias(mark))
+    return without(rows, gone, mark, "copies").select(docs.columns)
