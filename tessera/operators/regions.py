@@ -16,7 +16,8 @@ MAX_GAP, MIN_BLOCKS, BAND_GAP, MIN_BANDS, NEAR, SELF_EVIDENT, BLOCK = 8, 16, 4,
 TYPE_ADJUST = {"ZERO_WIPE": 0.0, "FF_WIPE": -0.02, "RANDOM_WIPE": -0.04, "MULTI_PASS": -0.08, "LIKELY_ZERO_WIPE": -0.12, "LIKELY_FF_WIPE": -0.12, "LOW_ENTROPY_SUSPECT": -0.15}
 STRETCH = 65_536
 
-BY_IMAGE = Window.partitionBy("image_id").orderBy("first_block")
+def _by_image():
+    return Window.partitionBy("image_id").orderBy("first_block")
 
 
 def runs(labelled: DataFrame, stretch: int = STRETCH) -> DataFrame:
@@ -43,14 +44,14 @@ def runs(labelled: DataFrame, stretch: int = STRETCH) -> DataFrame:
         *each,
         *at,
     )
-    r = r.withColumn("new", F.coalesce((F.col("is_suspicious") != F.lag("is_suspicious").over(BY_IMAGE)).cast("int"), F.lit(1)))
-    r = r.withColumn("run", F.sum("new").over(BY_IMAGE))
+    r = r.withColumn("new", F.coalesce((F.col("is_suspicious") != F.lag("is_suspicious").over(_by_image())).cast("int"), F.lit(1)))
+    r = r.withColumn("run", F.sum("new").over(_by_image()))
     sums = [F.sum(c).alias(c) for c in ("n", "sum_entropy", "sum_confidence", *(f"c_{t}" for t in TYPES))]
     r = r.groupBy("image_id", "run").agg(
         F.first("is_suspicious").alias("is_suspicious"), F.min("first_block").alias("first_block"), F.max("last_block").alias("last_block"), *sums, *(F.min(f"f_{t}").alias(f"f_{t}") for t in TYPES)
     )
     most = F.array_max(F.array(*(F.struct(F.col(f"c_{t}").alias("c"), F.coalesce(-F.col(f"f_{t}"), F.lit(-(1 << 62))).alias("f"), F.lit(t).alias("t")) for t in TYPES)))
-    past = BY_IMAGE.rowsBetween(Window.unboundedPreceding, -1)
+    past = _by_image().rowsBetween(Window.unboundedPreceding, -1)
     return r.select(
         "image_id", "is_suspicious", "first_block", "last_block", "n", "sum_entropy", "sum_confidence",
         F.when(F.col("is_suspicious"), most["t"]).alias("dominant"),
@@ -59,7 +60,7 @@ def runs(labelled: DataFrame, stretch: int = STRETCH) -> DataFrame:
 
 
 def _islands(df: DataFrame, starts: Column) -> DataFrame:
-    return df.withColumn("new", F.coalesce(starts.cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(BY_IMAGE))
+    return df.withColumn("new", F.coalesce(starts.cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(_by_image()))
 
 
 def absorb(run: DataFrame, max_gap: int = MAX_GAP) -> DataFrame:
@@ -68,11 +69,11 @@ def absorb(run: DataFrame, max_gap: int = MAX_GAP) -> DataFrame:
     full_*: sums with all gaps. avg_entropy leaves out the blocks of the last gap. n_susp: suspicious blocks.
     """
     s = run.filter("is_suspicious")
-    gap = F.col("first_block") - F.lag("last_block").over(BY_IMAGE) - 1
+    gap = F.col("first_block") - F.lag("last_block").over(_by_image()) - 1
     for d, c in (("n", "n"), ("entropy", "sum_entropy"), ("confidence", "sum_confidence")):
-        s = s.withColumn(f"gap_{d}", F.col(f"before_{d}") - F.lag(F.col(f"before_{d}") + F.col(c)).over(BY_IMAGE))
+        s = s.withColumn(f"gap_{d}", F.col(f"before_{d}") - F.lag(F.col(f"before_{d}") + F.col(c)).over(_by_image()))
     s = s.withColumn("gap", gap)
-    s = _islands(s, ~((F.col("dominant") == F.lag("dominant").over(BY_IMAGE)) & (F.col("gap") <= max_gap)))
+    s = _islands(s, ~((F.col("dominant") == F.lag("dominant").over(_by_image())) & (F.col("gap") <= max_gap)))
     inner = [F.coalesce(F.sum(F.when(F.col("new") == 0, F.col(f"gap_{d}"))), F.lit(0.0)).alias(f"in_{d}") for d in ("n", "entropy", "confidence")]
     last = F.max_by(F.struct("gap_n", "gap_entropy"), F.when(F.col("new") == 0, F.col("first_block"))).alias("last_gap")
     g = s.groupBy("image_id", "island").agg(
@@ -95,10 +96,10 @@ def sized(regions: DataFrame, least: int = MIN_BLOCKS) -> DataFrame:
 def bands(regions: DataFrame) -> DataFrame:
     """Chains of at least MIN_BANDS neighbours of differing strong types with small gaps made one MULTI_PASS region."""
     link = (
-        (F.col("first_block") - F.lag("last_block").over(BY_IMAGE) - 1 <= BAND_GAP)
-        & (F.col("wipe_type") != F.lag("wipe_type").over(BY_IMAGE))
+        (F.col("first_block") - F.lag("last_block").over(_by_image()) - 1 <= BAND_GAP)
+        & (F.col("wipe_type") != F.lag("wipe_type").over(_by_image()))
         & F.col("wipe_type").isin(STRONG)
-        & F.lag("wipe_type").over(BY_IMAGE).isin(STRONG)
+        & F.lag("wipe_type").over(_by_image()).isin(STRONG)
     )
     r = _islands(regions, ~link)
     size = F.count("*").over(Window.partitionBy("image_id", "island"))
@@ -117,8 +118,8 @@ def bands(regions: DataFrame) -> DataFrame:
 def with_support(regions: DataFrame) -> DataFrame:
     """regions with supported: strong, large, or within NEAR blocks of a strong region."""
     strong = F.col("wipe_type").isin(STRONG)
-    before = F.last(F.when(strong, F.col("last_block")), ignorenulls=True).over(BY_IMAGE.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(F.when(strong, F.col("first_block")), ignorenulls=True).over(BY_IMAGE.rowsBetween(1, Window.unboundedFollowing))
+    before = F.last(F.when(strong, F.col("last_block")), ignorenulls=True).over(_by_image().rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first(F.when(strong, F.col("first_block")), ignorenulls=True).over(_by_image().rowsBetween(1, Window.unboundedFollowing))
     near = F.coalesce(before >= F.col("first_block") - NEAR, F.lit(False)) | F.coalesce(after <= F.col("last_block") + NEAR, F.lit(False))
     return regions.withColumn("supported", ~F.col("wipe_type").isin(PARTIAL) | (F.col("block_count") >= SELF_EVIDENT) | near)
 
@@ -171,7 +172,7 @@ def with_boundary(regions: DataFrame, maps: DataFrame | None) -> DataFrame:
 def numbered(regions: DataFrame) -> DataFrame:
     """The result's columns, with ids from 1 in order of start in each image."""
     return regions.select(
-        "image_id", F.row_number().over(BY_IMAGE).cast("long").alias("id"), (F.col("first_block") * BLOCK).alias("start"), ((F.col("last_block") + 1) * BLOCK - 1).alias("end"),
+        "image_id", F.row_number().over(_by_image()).cast("long").alias("id"), (F.col("first_block") * BLOCK).alias("start"), ((F.col("last_block") + 1) * BLOCK - 1).alias("end"),
         ((F.col("last_block") - F.col("first_block") + 1) * BLOCK).alias("size"), F.col("wipe_type").alias("type"), F.col("avg_entropy").alias("entropy"), "confidence", "block_count", "n_susp", "boundary_context",
     )
 
