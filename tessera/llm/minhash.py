@@ -7,8 +7,11 @@ earliest dart of each coordinate is the signature, and two signatures agree in a
 probability equal to the weighted Jaccard similarity. About K ln K darts are drawn per document, however long.
 
 Signatures are cut into bands. A band's bucket is linked to its smallest document; the pairs' true
-similarity is then computed from the texts. Documents of one bucket that are still in different components
-after that are compared directly, so no link that a bucket shows is lost and no group is expanded into pairs.
+similarity is then computed from the texts. Other documents of one bucket that are still in different
+components after that are compared inside tasks, those outside a bucket's largest component with all, by an
+index of shingles; one link to each component that a document is similar to comes out. So no link that a
+bucket shows is lost, and no group is expanded into rows of pairs. A large bucket is cut into blocks of both
+sides.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 #: Pairs whose signatures agree in a smaller share are not verified: 5 standard errors below 0.8.
 ESTIMATE = 0.62
+#: Documents of a bucket that meet in one task.
+BLOCK = 2000
 #: Documents are thrown at together until they have so many shingles.
 AT_ONCE = 100_000
 
@@ -188,7 +193,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     own = signed.select("doc_id", "key").join(twice, "doc_id", "left_semi").join(same, "key").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     links = written(verified(tested, reps, known, threshold).select("a", "b").unionByName(own).distinct(), "links")
     labels = written(components(links), "labels")
-    more = written(verified(_unmet(crowded, labels, tested), reps, known, threshold).select("a", "b"), "more-links")
+    more = written(_across(crowded, labels, known, threshold), "more-links")
     if not more.isEmpty():
         labels = written(components(links.unionByName(more)), "labels")
     classed = (
@@ -203,16 +208,83 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     return found.unionByName(lone)
 
 
-def _unmet(crowded: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
-    """Untested pairs of one bucket that are in different components, except those within its largest one."""
-    placed = crowded.drop("leader").join(labels, "node", "left").select("h", "node", F.coalesce("label", "node").alias("label"))
+def _units(batches):
+    """Sorted hashes of the shingles of each document, one for each time that a shingle occurs."""
+    for b in batches:
+        out = []
+        for x in text_bytes(b.column(1)):
+            e, n = _shingles(x)
+            again = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            out.append(np.sort(mix(np.repeat(e, n) + again.astype(np.uint64))).tobytes())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["node", "units"])
+
+
+def _links_of(few: list[tuple], all_: list[tuple], threshold: float) -> list[tuple]:
+    """(a, b): for each of few (node, label, units) its most similar of all_ in each other component that reaches the threshold."""
+    units = [np.frombuffer(u, np.uint64) for _, _, u in all_]
+    size = np.array([len(u) for u in units])
+    owner, unit = np.repeat(np.arange(len(units)), size), np.concatenate(units)
+    order = np.argsort(unit, kind="stable")
+    owner, unit = owner[order], unit[order]
+    label = np.array([x for _, x, _ in all_])
+    out = []
+    for node, own, u in few:
+        u = np.frombuffer(u, np.uint64)
+        lo, hi = np.searchsorted(unit, u, "left"), np.searchsorted(unit, u, "right")
+        n = hi - lo
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        both = np.bincount(owner[at], minlength=len(units))
+        like = both / (len(u) + size - both)
+        near = np.flatnonzero((like >= threshold) & (label != own))
+        best: dict[int, int] = {}
+        for i in near[np.argsort(-like[near], kind="stable")].tolist():
+            best.setdefault(int(label[i]), i)
+        out += [(min(node, all_[i][0]), max(node, all_[i][0])) for i in best.values()]
+    return out
+
+
+def _compare(threshold: float):
+    """Links of the groups (h, i, j) of sorted rows: side 0 is compared with side 1."""
+
+    def run(batches):
+        now, sides = None, ([], [])
+        for b in batches:
+            out = []
+            for h, i, j, side, node, label, units in zip(*(c.to_pylist() for c in b.columns)):
+                if (h, i, j) != now:
+                    if all(sides):
+                        out += _links_of(*sides, threshold)
+                    now, sides = (h, i, j), ([], [])
+                sides[side].append((node, label, units))
+            yield _pairs(out)
+        yield _pairs(_links_of(*sides, threshold) if all(sides) else [])
+
+    return run
+
+
+def _pairs(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _across(crowded: DataFrame, labels: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """Links between the components in one bucket; the bucket's leader has been compared with all already."""
+    placed = crowded.filter("node <> leader").select("h", "node").join(labels, "node", "left").select("h", "node", F.coalesce("label", "node").alias("label"))
     mixed = placed.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("h")
     placed = written(placed.join(mixed, "h", "left_semi"), "mixed-buckets")
     size = placed.groupBy("h", "label").agg(F.count("*").alias("m"))
-    largest = size.groupBy("h").agg(F.max_by("label", F.struct("m", "label")).alias("largest"))
-    few = placed.join(largest, "h").filter("label <> largest").select("h", F.col("node").alias("x"), F.col("label").alias("lx"))
-    pairs = few.join(placed, "h").filter("lx <> label").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    return pairs.join(tested, ["a", "b"], "left_anti")
+    sizes = size.groupBy("h").agg(F.max_by("label", F.struct("m", "label")).alias("largest"), F.sum("m").alias("m"), F.max("m").alias("top"))
+    blocks = [F.ceil(F.col(c) / BLOCK).cast("int").alias(n) for c, n in (("few", "ni"), ("m", "nj"))]
+    sizes = sizes.withColumn("few", F.col("m") - F.col("top")).select("h", "largest", *blocks)
+    rows = placed.join(sizes, "h")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    few = rows.filter("label <> largest").select("h", block("ni").alias("i"), each("nj").alias("j"), F.lit(0).alias("side"), "node", "label")
+    all_ = rows.select("h", each("ni").alias("i"), block("nj").alias("j"), F.lit(1).alias("side"), "node", "label")
+    wanted = placed.select(F.col("node").alias("doc_id")).distinct()
+    texts = join_small_or_shuffled(docs, wanted, "doc_id", "left_semi", F.lit(16))
+    units = texts.select("doc_id", "text").mapInArrow(_units, "node long, units binary")
+    met = few.unionByName(all_).join(units, "node").select("h", "i", "j", "side", "node", "label", "units")
+    return met.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "side").mapInArrow(_compare(threshold), "a long, b long").distinct()
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
