@@ -107,7 +107,8 @@ def exact_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     # a row that stands alone gets a key of its own, so that such rows don't meet in one task
     all_ = facts.join(ids, "rid", "left").withColumns({"level": F.coalesce("level", F.lit(-1)), "name": F.coalesce("name", "rid")})
     best = F.min(F.struct((-F.col("n_chars")).alias("c"), F.col("doc_id").isNull().alias("x"), "doc_id", "rid"))
-    groups = facts.join(ids, "rid").groupBy("level", "name").agg(best.alias("best"), F.count("*").alias("group_size"))
+    # written, so that the join below deals both sides out and can split a group that is large
+    groups = written(facts.join(ids, "rid").groupBy("level", "name").agg(best.alias("best"), F.count("*").alias("group_size")), "groups")
     return all_.join(groups, ["level", "name"], "left").select(
         "doc_id",
         F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
