@@ -164,6 +164,25 @@ def _feature_batches(batches):
         yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array(list(out), pa.list_(pa.float64()))], [*(b.schema.names[i] for i in kept), "features"])
 
 
+def _histogram_batches(batches):
+    for b in batches:
+        data = [d or b"" for d in b.column("data").to_pylist()]
+        who, byte, cnt = [], [], []
+        for at, c in _by_length(data, _counts):
+            i, v = np.nonzero(c)
+            who.append(at[i])
+            byte.append(v)
+            cnt.append(c[i, v])
+        who, byte, cnt = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (who, byte, cnt))
+        kept = [b.column(i).take(pa.array(who)) for i, name in enumerate(b.schema.names) if name != "data"]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(byte.astype(np.int32)), pa.array(cnt.astype(np.int64))], [*(n for n in b.schema.names if n != "data"), "byte", "cnt"])
+
+
+def histograms(blocks: DataFrame) -> DataFrame:
+    """A row for each block and byte that occurs in it: the columns of blocks but data, byte, cnt."""
+    return blocks.mapInArrow(_histogram_batches, _schema_with(blocks, "byte int, cnt long"))
+
+
 def _schema_with(blocks: DataFrame, extra: str) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.schema if f.name != "data"), extra])
 
