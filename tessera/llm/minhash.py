@@ -182,12 +182,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     known = source.filter("doc_id is not null")
     k = bands * rows
     signed = written(known.mapInArrow(_sign(k), "doc_id long, key binary, n long, sig binary"), "signatures")
-    same = signed.groupBy("key").agg(F.min("doc_id").alias("node"))
+    # this table and those below are written, so that joins with them deal both sides out and can split a large key
+    same = written(signed.groupBy("key").agg(F.min("doc_id").alias("node")), "texts")
     reps = signed.filter("n > 0").withColumnRenamed("doc_id", "node").join(same, ["key", "node"], "left_semi")
     reps = written(reps.select("node", "sig"), "representatives")
     banded = reps.mapInArrow(_band(bands, rows), "h long, node long")
-    buckets = banded.groupBy("h").agg(F.min("node").alias("leader"), F.count("*").alias("m")).filter("m > 1")
-    crowded = written(banded.join(buckets.drop("m"), "h"), "buckets")
+    leaders = banded.groupBy("h").agg(F.min("node").alias("leader"), F.count("*").alias("m")).filter("m > 1")
+    crowded = written(banded.join(written(leaders.drop("m"), "leaders"), "h"), "buckets")
     tested = written(crowded.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     twice = signed.groupBy("doc_id").agg(F.min("key").alias("x"), F.max("key").alias("y")).filter("x <> y").select("doc_id")
     own = signed.select("doc_id", "key").join(twice, "doc_id", "left_semi").join(same, "key").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
@@ -202,7 +203,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
         .join(labels, "node", "left")
         .select("doc_id", F.coalesce("label", "node").alias("class_id"))
     )
-    sizes = classed.groupBy("class_id").agg(F.count("*").alias("class_size"))
+    sizes = written(classed.groupBy("class_id").agg(F.count("*").alias("class_size")), "class-sizes")
     found = classed.join(sizes, "class_id").select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("is_kept"))
     lone = source.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("is_kept"))
     return found.unionByName(lone)
@@ -270,12 +271,12 @@ def _across(crowded: DataFrame, labels: DataFrame, docs: DataFrame, threshold: f
     """Links between the components in one bucket; the bucket's leader has been compared with all already."""
     placed = crowded.filter("node <> leader").select("h", "node").join(labels, "node", "left").select("h", "node", F.coalesce("label", "node").alias("label"))
     mixed = placed.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("h")
-    placed = written(placed.join(mixed, "h", "left_semi"), "mixed-buckets")
+    placed = written(placed.join(written(mixed, "mixed"), "h", "left_semi"), "mixed-buckets")
     size = placed.groupBy("h", "label").agg(F.count("*").alias("m"))
     sizes = size.groupBy("h").agg(F.max_by("label", F.struct("m", "label")).alias("largest"), F.sum("m").alias("m"), F.max("m").alias("top"))
     blocks = [F.ceil(F.col(c) / BLOCK).cast("int").alias(n) for c, n in (("few", "ni"), ("m", "nj"))]
     sizes = sizes.withColumn("few", F.col("m") - F.col("top")).select("h", "largest", *blocks)
-    rows = placed.join(sizes, "h")
+    rows = placed.join(written(sizes, "bucket-sizes"), "h")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     few = rows.filter("label <> largest").select("h", block("ni").alias("i"), each("nj").alias("j"), F.lit(0).alias("side"), "node", "label")
