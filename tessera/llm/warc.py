@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder, text_bytes
+from .common import new_folder, text_bytes, written
 
 INDEX = (
     "file string, offset long, length long, page_id long, url string, payload_digest string, payload_bytes long,"
@@ -111,6 +111,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     source = pages.select("page_id", "url", "html")
     few = source.mapInArrow(_digests, "page_id long, payload_digest string, payload_bytes long").filter(F.col("payload_bytes") >= min_bytes)
     first = few.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    first = written(first, "first-payloads")  # so that the join deals both sides out and can split a payload that is common
     rows = source.mapInArrow(_payloads, "page_id long, url string, payload binary, payload_digest string, payload_bytes long")
     told = rows.join(first, "payload_digest", "left").select(
         "page_id", "url", "payload", "payload_digest", "payload_bytes", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to")
