@@ -61,7 +61,7 @@ def points(pct: Column, effective: Column, random: Column, multi: Column) -> Col
 
 
 def penalties(suspicious: Column, partial: Column, strong: Column, mean_confidence: Column, beyond: Column, regions: Column, has_map: Column) -> Column:
-    share = beyond / regions
+    share = F.try_divide(beyond, regions)  # null without regions
     return (
         F.when((suspicious > 0) & (partial > strong) & (strong < 10), 10).otherwise(0)
         + F.when(mean_confidence < 0.55, 5).otherwise(0)

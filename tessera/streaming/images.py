@@ -32,7 +32,7 @@ def score_stream(labelled: DataFrame, out: str, checkpoint: str):
         batch = batch.persist()
         regions = aggregate(batch)
         for name, df in (("labels", batch), ("regions", regions), ("scores", score(batch, regions))):
-            df.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+            df.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
         batch.unpersist()
 
     return labelled.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
