@@ -11,8 +11,6 @@ from ..functions.labels import TYPES, anomalous, classified, override
 STAT_NAMES = [x.split()[0] for x in STATS.split(", ")]
 #: Blocks beyond that many candidates: only the suspicious ones, in order of id.
 CANDIDATE_CAP = 50_000
-#: Blocks of one stretch, for windows over neighbours that don't put an image into one task.
-STRETCH = 65_536
 
 
 def byte_histogram(blocks: DataFrame) -> DataFrame:
