@@ -27,7 +27,7 @@ SCHEMA = (
 #: Sequences of one partition are numbered from partition << SEQUENCE_BITS.
 SEQUENCE_BITS = 40
 #: Distinct white-space separated strings, and distinct words, whose ids a worker remembers; then it starts afresh.
-CACHE, WORDS = 800_000, 1_200_000
+CACHE, WORDS = 400_000, 400_000
 #: A mark after a word is a token of its own.
 MARKS = ".,;:!?"
 #: Longer texts are tokenised in parts that end at white space.
