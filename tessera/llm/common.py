@@ -70,6 +70,12 @@ def join_small_or_shuffled(left: DataFrame, right: DataFrame, on, how: str, size
     return left.join(F.broadcast(right) if fits_broadcast(right, size, limit_bytes) else right, on, how)
 
 
+def marked(rows: DataFrame) -> tuple[DataFrame, str]:
+    """rows with a number of its own for each row, and that column's name; rows must be read in the same order each time."""
+    mark = "rid" if "rid" not in rows.columns else "rid_" + "_".join(rows.columns)
+    return rows.withColumn(mark, F.monotonically_increasing_id()), mark
+
+
 def without(rows: DataFrame, gone: DataFrame, key: str, what: str) -> DataFrame:
     """rows whose key isn't in gone (one column, key); rows with a null key stay. gone is written once."""
     gone = written(gone.filter(F.col(key).isNotNull()).distinct(), what)

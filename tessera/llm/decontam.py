@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes, without
+from .common import marked, text_bytes, without
 from .shingles import counted, shingle_hashes, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -191,3 +191,14 @@ def _scan(items: list[tuple[int, bytes]], threshold: float):
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs, all columns, without the documents that repeat a benchmark item; rows with a null doc_id stay."""
     return without(docs, matches(docs, benchmark, threshold).select("doc_id"), "doc_id", "leaks")
+
+
+def clean_rows(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """docs, all columns, without the rows that repeat a benchmark item; docs must be read in the same order each time.
+
+    Unlike in clean, rows are dropped by a mark of their own: one with a null doc_id goes if it leaks, one that
+    shares its doc_id with a leak stays if it doesn't.
+    """
+    rows, mark = marked(docs)
+    gone = matches(rows.select(F.col(mark).alias("doc_id"), "text"), benchmark, threshold).select(F.col("doc_id").alias(mark))
+    return without(rows, gone, mark, "leaks").select(docs.columns)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small_or_shuffled, text_bytes, without, written
+from .common import join_small_or_shuffled, marked, text_bytes, without, written
 from .components import components
 from .shingles import counted, mix, shingle_hashes, weighted_jaccard, word_hashes
 
@@ -289,5 +289,16 @@ def _across(crowded: DataFrame, labels: DataFrame, docs: DataFrame, threshold: f
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs, all columns, with one document of each class of near duplicates: that with the smallest doc_id."""
-    return without(docs, near_duplicates(docs, threshold).filter("not is_kept").select("doc_id"), "doc_id", "near-copies")
+    """docs, all columns, with one row of each class of near duplicates; docs must be read in the same order each time.
+
+    Rows are compared and dropped by a mark of their own, so those with a null or repeated doc_id are too. Of a
+    class the row with the smallest doc_id stays (a null one last); of rows that repeat it one.
+    """
+    rows, mark = marked(docs)
+    near = near_duplicates(rows.select(F.col(mark).alias("doc_id"), "text"), threshold).filter("class_size > 1")
+    near = near.select(F.col("doc_id").alias("mark"), "class_id")
+    near = written(near.join(rows.select(F.col(mark).alias("mark"), "doc_id"), "mark"), "near-classes")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "mark"))
+    stays = near.groupBy("class_id").agg(best.alias("best")).select(F.col("best.mark").alias("mark"))
+    gone = near.select("mark").join(stays, "mark", "left_anti").select(F.col("mark").alias(mark))
+    return without(rows, gone, mark, "near-copies").select(docs.columns)

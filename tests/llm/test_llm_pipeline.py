@@ -40,3 +40,25 @@ def test_stages(spark, tmp_path):
     for r in pieces:
         total[r.doc_id] += r.length
     assert total.keys() == got and all(r.doc_tokens == total[r.doc_id] for r in pieces)
+
+
+def test_rows_without_an_id_of_their_own(spark, tmp_path):
+    g = random.Random(8)
+    say = lambda n: " ".join(f"w{g.randrange(3000)}" for _ in range(n))
+    item, alone = say(40), [say(60) for _ in range(4)]
+    near = lambda t, k: " ".join([*t.split()[:k], "other", *t.split()[k + 1 :]])
+    leak = lambda: say(20) + " " + item + " " + say(20)
+    rows = [(None, alone[0]), (None, near(alone[0], 30)), (None, near(alone[0], 31)), (None, leak())]  # null ids: near copies, a leak
+    rows += [(7, alone[1]), (7, near(alone[1], 30)), (7, alone[2]), (7, leak())]  # one id: near copies, another text, a leak
+    rows += [(None, alone[3]), (9, near(alone[3], 30))]  # of a class with an id and without, that with the id stays
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    corpus_pipeline.near_copies(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/near")
+    docs = spark.read.parquet(f"{tmp_path}/near")
+    got = docs.collect()
+    assert Counter(r.doc_id for r in got) == {None: 2, 7: 3, 9: 1}
+    assert sum(r.text in (rows[4][1], rows[5][1]) for r in got) == 1 and rows[6][1] in {r.text for r in got}
+    left = corpus_pipeline.benchmark_leaks(spark, docs, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in left) == {None: 1, 7: 2, 9: 1}
+    assert not any(item in r.text for r in left)
