@@ -1,8 +1,8 @@
-"""Hash-chained custody log: entries, chain hashes by a fold, and verification by a join of neighbours."""
+"""Hash-chained custody log: entries, chain hashes by a fold, and verification by another."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GENESIS = "GENESIS"
@@ -58,17 +58,24 @@ def _step(done: Column, x: Column) -> Column:
 def verified(log: DataFrame) -> DataFrame:
     """log with expected_hash and broken, each entry against the recorded hash of the one before it.
 
-    A blank recorded hash is replaced by the expected one for the next entry, as far as that follows from its
-    own predecessor's record.
+    A blank recorded hash is replaced by the expected one for the next entry, along runs of blank ones too. As
+    in chained, each session's entries are folded in one row.
     """
-    w = Window.partitionBy("session_id").orderBy("sequence")
-    own = F.nullif("entry_hash", F.lit(""))
-    first = log.withColumn("prev", F.coalesce(F.lag(own).over(w), F.lit(GENESIS)))
-    expect = lambda prev: entry_hash(prev, F.col("timestamp_utc"), F.col("event_type"), F.col("sha256_evidence"), F.col("description"))
-    first = first.withColumn("e1", expect(F.col("prev"))).withColumn("blank_before", F.lag(own.isNull()).over(w))
-    second = first.withColumn("prev", F.when(F.col("blank_before"), F.lag("e1").over(w)).otherwise(F.col("prev")))
-    second = second.withColumn("expected_hash", expect(F.col("prev")))
-    return second.withColumn("broken", ~F.col("entry_hash").eqNullSafe(F.col("expected_hash"))).drop("prev", "e1", "blank_before")
+    names = [c for c in log.columns if c != "session_id"]
+    kinds = {f.name: f.dataType.simpleString() for f in log.schema}
+    own = F.struct("sequence", F.struct(*names).alias("row"))
+    folded = log.groupBy("session_id").agg(F.array_sort(F.collect_list(own)).alias("log"))
+    empty = F.expr(f"cast(array() as array<struct<row:struct<{','.join(f'`{c}`:{kinds[c]}' for c in names)}>,expected_hash:string,next:string>>)")
+    folded = folded.select("session_id", F.explode(F.aggregate("log", empty, _verify_step)).alias("x"))
+    out = folded.select("session_id", "x.row.*", "x.expected_hash").select(*log.columns, "expected_hash")
+    return out.withColumn("broken", ~F.col("entry_hash").eqNullSafe(F.col("expected_hash")))
+
+
+def _verify_step(done: Column, x: Column) -> Column:
+    r = x["row"]
+    prev = F.coalesce(F.try_element_at(done, F.lit(-1))["next"], F.lit(GENESIS))
+    expected = entry_hash(prev, r["timestamp_utc"], r["event_type"], r["sha256_evidence"], r["description"])
+    return F.concat(done, F.array(F.struct(r.alias("row"), expected.alias("expected_hash"), F.coalesce(F.nullif(r["entry_hash"], F.lit("")), expected).alias("next"))))
 
 
 def violations(log: DataFrame) -> DataFrame:

@@ -76,3 +76,17 @@ def test_custody_chain(spark):
     assert {r.session_id: r.violations for r in custody.violations(edited).collect()} == {0: 1, 1: 2, 2: 0}
     gone = log.filter("not (session_id = 0 and sequence = 3)")
     assert {r.session_id: r.violations for r in custody.violations(gone).collect()}[0] == 1
+
+
+def test_adjacent_blank_hashes(spark):
+    rows = [(s, i, f"t{i}", "SCAN_START", None, f"{s}-{i}") for s in range(5) for i in range(7)]
+    log = custody.chained(spark.createDataFrame(rows, "session_id long, sequence int, timestamp_utc string, event_type string, sha256_evidence string, description string"))
+    blank = {0: (2, 3), 1: (2, 3, 4), 2: (0, 1), 3: (5, 6)}  # session 4 stays whole
+    for s, at in blank.items():
+        lost = F.lit("") if s % 2 else F.lit(None)
+        log = log.withColumn("entry_hash", F.when((F.col("session_id") == s) & F.col("sequence").isin(*at), lost).otherwise(F.col("entry_hash")))
+    got = custody.verified(log)
+    assert got.columns == [*log.columns, "expected_hash", "broken"]
+    broken = {(r.session_id, r.sequence) for r in got.filter("broken").collect()}
+    assert broken == {(s, i) for s, at in blank.items() for i in at}
+    assert {r.session_id: r.violations for r in custody.violations(log).collect()} == {0: 2, 1: 3, 2: 2, 3: 2, 4: 0}
