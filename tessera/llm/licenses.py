@@ -1,14 +1,16 @@
 """License scan: an exact set-similarity join of licence templates with the text blocks of every document.
 
-A template is its set of words. A block is a run of words of a document, as long as the length filter lets a
-match be. It matches if it holds at least threshold of the template's words. Words are ordered by their
-count over the whole corpus, rarest first; a block that matches must hold one of the template's first words
-in that order (prefix filter), early enough that the words after it can still reach the threshold
-(positional filter), so only the places around such words are looked at, and all of those.
+A template is its set of words. A block matches if it holds at least threshold of the template's words. Blocks
+are the runs of words of a document, across sentences, of at most the template's length / threshold, and for a
+template that no such run matches the document's sentences, however long. Words are ordered by their count over
+the whole corpus, rarest first; a block that matches must hold one of the template's first words in that order
+(prefix filter), so only the places around such words are looked at, and all of those. A positional filter is
+left out: the prefix lets every place in it reach the threshold.
 """
 
 from __future__ import annotations
 
+import re
 from math import ceil
 
 import pyarrow as pa
@@ -40,6 +42,26 @@ SCHEMA = (
 )
 
 
+#: Between sentences: an end mark and white space before anything but a digit, or a blank line.
+SENTENCE_END = re.compile(rb"[.!?]['\")\]]*\s+(?![\s0-9])|\n\s*\n")
+
+
+def tightest(words: list[bytes], own: frozenset) -> tuple[int, int]:
+    """(start, length) of the first shortest run that holds all words of own that words holds."""
+    at = [i for i, w in enumerate(words) if w in own]
+    missing, held, first, best = len({words[i] for i in at}), {}, 0, (len(words) + 1, 0)
+    for i in at:
+        held[words[i]] = held.get(words[i], 0) + 1
+        while len(held) == missing:
+            a = at[first]
+            best = min(best, (i - a + 1, a))
+            held[words[a]] -= 1
+            if not held[words[a]]:
+                del held[words[a]]
+            first += 1
+    return best[1], best[0]
+
+
 class Index:
     """Templates by the words of their prefixes, in the corpus's order of words."""
 
@@ -48,27 +70,29 @@ class Index:
         for label, text in templates:
             order = sorted(set(words_of(text.encode())), key=lambda w: (counts.get(w, 0), w))
             need = ceil(threshold * len(order) - 1e-9)
-            length = ceil(len(words_of(text.encode())) / threshold - 1e-9)  # length filter: blocks have so many words at most
+            length = ceil(len(words_of(text.encode())) / threshold - 1e-9)  # runs have so many words at most
             k = len(self.templates)
             self.templates.append((label, frozenset(order), need, length))
-            for rank, w in enumerate(order[: len(order) - need + 1]):
-                self.prefix.setdefault(w, []).append((k, rank))
+            for w in order[: len(order) - need + 1]:
+                self.prefix.setdefault(w, []).append(k)
+
+    def spans(self, words: list[bytes], text: bytes) -> list[dict]:
+        """Each template's matching places in text, whose words are given; of places that overlap the fullest, then shortest, then first.
 
-    def spans(self, words: list[bytes]) -> list[dict]:
-        """Each template's matching places; of places that overlap the fullest, then shortest, then first."""
-        places: dict[int, list[tuple[int, int]]] = {}
+        A template that no run matches has the tightest place in each sentence that matches it.
+        """
+        places: dict[int, list[int]] = {}
         for w in self.prefix.keys() & set(words):
             at = -1
             for _ in range(words.count(w)):
                 at = words.index(w, at + 1)
-                for k, rank in self.prefix[w]:
-                    if len(self.templates[k][1]) - rank >= self.templates[k][2]:
-                        places.setdefault(k, []).append((at, rank))
-        out = []
+                for k in self.prefix[w]:
+                    places.setdefault(k, []).append(at)
+        out, sentences, seen_all = [], None, set(words) if places else set()
         for k, hits in sorted(places.items()):
             label, own, need, length = self.templates[k]
             found, done = [], -1
-            for at, _ in sorted(hits):
+            for at in sorted(hits):
                 # only words of the template can begin or end a tightest block
                 near = [i for i in range(max(0, at - length + 1), min(len(words), at + length)) if words[i] in own]
                 for a in (i for i in near if i <= at and i > done):
@@ -85,6 +109,15 @@ class Index:
                 if all(a + n <= s or a >= s + m for s, m in kept):
                     kept.append((a, n))
                     out.append({"label": label, "start": a, "length": n, "containment": -neg / len(own)})
+            if not kept and len(own & seen_all) >= need:
+                sentences = sentences or [words_of(s) for s in SENTENCE_END.split(text)]
+                begin = 0
+                for sentence in sentences:
+                    both = len(own.intersection(sentence))
+                    if both >= need:
+                        a, n = tightest(sentence, own)
+                        out.append({"label": label, "start": begin + a, "length": n, "containment": both / len(own)})
+                    begin += len(sentence)
         return sorted(out, key=lambda s: (s["start"], s["label"], s["length"]))
 
 
@@ -132,7 +165,7 @@ def scan(docs: DataFrame, templates=None, phrases=None, threshold: float = THRES
             for x in text_bytes(b.column(1)):
                 words = words_of(x)
                 starts, base = phrase_places(words, b" %b " % b" ".join(words), phrases)
-                spans = index.spans(words)
+                spans = index.spans(words, x)
                 rows.append(
                     {
                         "n_words": len(words),

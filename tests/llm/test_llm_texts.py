@@ -157,6 +157,16 @@ def test_licences(spark):
     assert licenses.scan(make(spark, [])).count() == 0
 
 
+def test_licences_in_long_sentences(spark):
+    long = "This work is licensed, unless otherwise noted in the file headers, under the GNU General Public License, version 3"
+    apart = "This work is licensed. It was made under the GNU rules. A General idea. Public License, version 3"
+    rows = [(0, f"Before it. {long}. After it.", None), (1, long.replace(" file ", "\n"), None), (2, long.replace(" file ", "\n\n"), None), (3, apart, None)]
+    got = {r.doc_id: r for r in licenses.scan(make(spark, rows)).collect()}
+    assert [got[k].labels for k in range(4)] == ["gpl,gpl-3.0", "gpl,gpl-3.0", "gpl", ""]
+    (s,) = got[0].spans
+    assert (s.label, s.start, s.length, s.containment, got[0].score) == ("gpl-3.0", 2, 19, 1.0, 1.0)
+
+
 PAGES = "page_id long, url string, html string, text string"
 
 
