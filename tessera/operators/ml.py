@@ -91,12 +91,12 @@ def train(spark: SparkSession, n: int = 1500, trees: int = 200, rounds: int = 15
     weight = F.element_at(F.create_map(*(F.lit(x) for k, v in size.items() for x in (k, sum(size.values()) / len(size) / v))), F.col("label"))
     data = data.withColumn("weight", weight).persist()
     common = {"featuresCol": "vector", "labelCol": "label"}
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=12, minInstancesPerNode=2, weightCol="weight", seed=42, **common).fit(data)
-    whole = RandomForestClassifier(numTrees=trees, maxDepth=12, bootstrap=False, seed=7, **common).fit(data)
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=15, minInstancesPerNode=2, weightCol="weight", seed=42, **common).fit(data)
+    whole = RandomForestClassifier(numTrees=trees, maxDepth=15, minInstancesPerNode=2, weightCol="weight", bootstrap=False, seed=7, **common).fit(data)
     boosted = []
     for k in range(len(LABELS)):
         own = data.withColumn("label", (F.col("label") == k).cast("double"))
-        boosted.append(GBTClassifier(maxIter=rounds, stepSize=0.08, maxDepth=5, subsamplingRate=0.8, seed=42, **common).fit(own))
+        boosted.append(GBTClassifier(maxIter=rounds, stepSize=0.08, maxDepth=6, subsamplingRate=0.8, seed=42, **common).fit(own))
     data.unpersist()
     return Ensemble(forest, whole, boosted)
 

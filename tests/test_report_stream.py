@@ -58,6 +58,13 @@ def test_model_labels(spark, tmp_path):
     assert all(0 < r.ml_confidence <= 1 and set(r.votes) == {"rf", "et", "gb"} for r in got.values())
 
 
+def test_models_have_the_surveyed_settings(spark):
+    model = ml.train(spark, n=6, trees=2, rounds=1)
+    for m, seed in ((model.forest, 42), (model.whole, 7)):
+        assert (m.getMaxDepth(), m.getMinInstancesPerNode(), m.getWeightCol(), m.getSeed()) == (15, 2, "weight", seed)
+    assert all((m.getMaxDepth(), m.getStepSize(), m.getSubsamplingRate()) == (6, 0.08, 0.8) for m in model.boosted)
+
+
 def test_training_set_is_the_same_each_time(spark):
     a, b = (sorted((r.label, tuple(r.features)) for r in ml.training_set(spark, 6).collect()) for _ in range(2))
     assert a == b and len({x[0] for x in a}) == 5
