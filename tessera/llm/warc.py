@@ -29,7 +29,7 @@ INDEX = (
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 #: Ranges with a gap of at most GAP bytes are read together, up to READ bytes at once.
 GAP, READ = 64 << 10, 8 << 20
-#: Records of one file whose offsets lie in the same so many bytes are read by one task.
+#: Bytes of archives that one task reads, about; a small selection is still dealt to all cores.
 STRETCH = 64 << 20
 SOFTWARE = "WARC/1.1"
 
@@ -109,11 +109,12 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     spark = pages.sparkSession
     folder = folder or new_folder(spark, "warc")
     source = pages.select("page_id", "url", "html")
+    same = ["payload_digest", "payload_bytes"]
     few = source.mapInArrow(_digests, "page_id long, payload_digest string, payload_bytes long").filter(F.col("payload_bytes") >= min_bytes)
-    first = few.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    first = few.groupBy(*same).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     first = written(first, "first-payloads")  # so that the join deals both sides out and can split a payload that is common
     rows = source.mapInArrow(_payloads, "page_id long, url string, payload binary, payload_digest string, payload_bytes long")
-    told = rows.join(first, "payload_digest", "left").select(
+    told = rows.join(first, same, "left").select(
         "page_id", "url", "payload", "payload_digest", "payload_bytes", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to")
     )
 
@@ -146,7 +147,11 @@ def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def read_records(index: DataFrame) -> DataFrame:
-    """The records of index rows (folder, file, offset, length; any selection of them), read in byte order."""
+    """The records of index rows (folder, file, offset, length; any selection of them), read in byte order.
+
+    The rows are sorted by file and offset and cut into ranges; their number follows from the bytes to read, so
+    each task reads about STRETCH bytes of neighbouring records. An empty selection gives no rows.
+    """
 
     def run(batches):
         opened, waiting, start, end = None, [], 0, 0
@@ -171,8 +176,10 @@ def read_records(index: DataFrame) -> DataFrame:
         if waiting:
             yield read()
 
-    placed = index.select("folder", "file", "offset", "length", F.floor(F.col("offset") / STRETCH).alias("stretch"))
-    return placed.repartition("file", "stretch").sortWithinPartitions("folder", "file", "offset").mapInArrow(run, RECORDS)
+    placed, by = index.select("folder", "file", "offset", "length"), ["folder", "file", "offset"]
+    size = placed.agg(F.sum("length")).first()[0] or 0
+    tasks = max(-(-size // STRETCH), index.sparkSession.sparkContext.defaultParallelism)
+    return placed.repartitionByRange(tasks, *by).sortWithinPartitions(*by).mapInArrow(run, RECORDS)
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
