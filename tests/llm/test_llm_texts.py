@@ -55,6 +55,7 @@ def test_packing(spark, capacity):
                 assert r.start == at and r.ids_crc32 == zlib.crc32(x[at : at + r.length].tobytes())
                 at += r.length
             assert at == len(x)
+            assert len(by_doc[d]) <= -(-len(x) // capacity) + 1
     bins = {}
     for r in got:
         bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -63,10 +64,33 @@ def test_packing(spark, capacity):
         for offset, n in sorted(pieces):
             assert offset == at
             at += n
-        assert at <= capacity and at & (at - 1) == 0  # no padding at all
+        assert at <= capacity
+    assert 1 - sum(map(len, ids)) / (len(bins) * capacity) < 0.12  # two small partitions, each with some open bins
     assert packing.pack(make(spark, [])).count() == 0
-    with pytest.raises(ValueError, match="power of two"):
-        packing.pack(make(spark, []), capacity=100)
+    with pytest.raises(ValueError, match="positive"):
+        packing.pack(make(spark, []), capacity=0)
+
+
+@pytest.mark.parametrize("lengths", [[1030] * 2000, [1400] * 2000, [683] * 2000, [33] * 4000, list(range(1, 2500)), [2049] * 500, [700, 1500, 40] * 700])
+def test_bins_have_classes_and_little_padding(lengths):
+    capacity, bins, rows, waiting = 2048, packing.Bins(0, 2048), [], 0
+    for i, n in enumerate(lengths):
+        rows += bins.document(i, bytes(4 * n))
+        waiting = max(waiting, len(bins.waiting))
+    closed = bins.next
+    rows += bins.rest()
+    by_doc, by_bin = {}, {}
+    for d, start, size, _, _, sequence, _ in rows:
+        by_doc.setdefault(d, []).append((start, size))
+        by_bin.setdefault(sequence, []).append(size)
+    for i, n in enumerate(lengths):
+        assert sum(size for _, size in by_doc[i]) == n and len(by_doc[i]) <= -(-n // capacity) + 1
+    for sizes in (s for q, s in by_bin.items() if q < closed and capacity // s[0] < packing.CLASSES):  # k pieces of class k, and what fills the gap
+        k = capacity // sizes[0]
+        assert all(capacity // s == k for s in sizes[:k])
+    assert 1 - sum(lengths) / (len(by_bin) * capacity) < 0.02 and waiting < 20
+    short = [size for d, pieces in by_doc.items() if len(pieces) > 1 and lengths[d] % capacity >= packing.LEAST for _, size in pieces]
+    assert min(short, default=packing.LEAST) >= packing.LEAST
 
 
 def test_encoder_over_a_full_cache(monkeypatch):
