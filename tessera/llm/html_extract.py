@@ -2,7 +2,7 @@
 
 Every element with text and every run of text in a block is a node with a binary label, content or not. A
 node's own potential is a weighted sum of its features (tag, words of class and id, length, share of links,
-punctuation); an edge's potential depends on the labels of parent and child and on the child's tag. Sum-product
+punctuation); an edge's potential depends on the labels of parent and child and on whether the child is text. Sum-product
 messages go from the leaves up and from the root down and give each node's marginal; runs of text with a
 marginal above 0.5 are the page's text. The weights are trained by gradient steps on the log-likelihood of
 labelled pages, with the expectations from the same messages.
@@ -14,6 +14,7 @@ import html
 import math
 import random
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 #: Elements by how they are laid out.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object".split())
+RAW = frozenset("script style template textarea title".split())
 INLINE = frozenset(
     "a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub"
     " sup time tt u var img wbr".split()
@@ -34,26 +35,31 @@ ENDS_P = frozenset(
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOUNDS = frozenset("ul ol dl table body article div section".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: A tag with quoted values, in which > may stand; and one that ends at the next >, whatever quotes say.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>")
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+NAMES = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
+#: Elements nested deeper are taken as children of the element at that depth; their text is kept.
+DEPTH = 512
 SPACE = re.compile(r"\s+")
 #: Labelled pages for training that are made from LAYOUTS and the words of so many pages of the table, at most.
 SAMPLE_PAGES, SAMPLE_CHARS, COPIES = 64, 20_000, 20
 
 #: Layouts of labelled pages. T a paragraph, S a sentence, W a word; what stands in [[ ]] is content.
 LAYOUTS = [
-    "<nav><ul><li><a>W</a></li><li><a>W W</a></li><li><a>W</a></li><li><a>W</a></li></ul></nav><div class=ad>S</div><article>[[<h1>S</h1><p>T</p><p><b>S</b></p><p>T</p><p>S</p><p>W</p>]]</article><footer>&copy; W &middot; S</footer>",
-    "<nav><ul><li><a>W</a></li><li><a>W</a></li></ul></nav><div class=ad>S</div><article>[[<h1>S</h1><p><b>T<br><p>T</p>]]</article><footer>&copy; W &middot; S S</footer>",
     "<header><div class=logo><a>W</a></div><p>S</p><nav><a>W</a> <a>W</a> <a>W</a></nav></header><main><div class='post content'>[[<h2>S</h2><p>T</p><p>S</p><ul><li>S</li><li>S</li></ul><blockquote>S</blockquote><p>T</p>]]</div></main><aside class=sidebar><h3>W W</h3><ul><li><a>S</a></li><li><a>S</a></li></ul><p>S</p></aside><footer><p>S</p><a>W</a></footer>",
     "<div id=header><h1><a>W</a></h1><div class=menu><a>W</a><a>W</a></div></div><div id=cookie-notice class=banner><p>S S</p><button>W</button></div><div id=main>[[<h1>S</h1><p>T</p><p>T T</p><pre>S</pre><table><tr><td>S</td><td>W</td></tr></table>]]</div><div id=comments class=comments><h3>W</h3><div class=comment><p>T</p></div><div class=comment><p>S</p></div></div><div id=footer>S</div>",
     "<div class=topbar>S</div><div class=wrapper><div class=entry-content>[[<p>T</p><p>T</p><h2>S</h2><p>T</p>]]<div class='share social'><a>W</a><a>W</a></div></div><div class=related><h4>W W</h4><a>S</a><a>S</a></div><form><label>W</label><input><p>S</p><button>W</button></form></div>",
     "<nav>S</nav><article>[[<h1>S</h1><p>T</p>]]<aside class=advert><p>S</p></aside>[[<p>T</p><figure><figcaption>S</figcaption></figure><p>S</p>]]<section class=comments><p>S</p><p>T</p></section></article><aside><p>S</p><p>T</p></aside><footer><p>S</p></footer>",
-    "<header><h1>W</h1><p>S</p></header><div class=breadcrumb><a>W</a> &gt; <a>W</a></div><section>[[<h2>S</h2><p>T</p><p>T</p><ol><li>T</li><li>S</li></ol>]]</section><div class='sponsored promo'><p>S</p><p>T</p></div><div class=newsletter><form><p>S</p></form></div><footer><p>S S</p></footer>",
-    "<table><tr><td class=nav><a>W</a><br><a>W</a><br><a>W</a></td><td class=text>[[<p>T</p><p>T</p><p>S</p>]]</td></tr></table><div class=copyright>S</div>",
-    "<div role=navigation><a>W</a><a>W</a></div><div role=main>[[<h1>S</h1><div>T</div><div>T</div><div>S</div>]]</div><div role=complementary><p>S</p></div><div role=contentinfo><p>S</p></div>",
-    "<nav><ul><li><a>W</a></li><li><a>W</a></li></ul></nav><div class=ad>S</div><article>[[<h1>S</h1><p><b>S<br>]]</article><footer>&copy; W &middot; S</footer>",
-    "<header><nav><a>W</a><a>W</a></nav></header><article>[[<h1>S</h1><p><b>S<br><p>W</p><p>S</p><p>S</p><p>W W</p><p>S</p>]]</article><div class=ad>S</div><footer>&copy; W &middot; S S</footer>",
-    "<div class=consent><p>T</p><button>W W</button></div><div class=body-text>[[T<br>T]]</div><div class=subscribe><p>S</p></div><div class=disqus id=responses><p>T</p><p>T</p></div>",
+    "<header><h1>W</h1><p>S</p></header><div class=breadcrumb><a>W</a> &gt; <a>W</a></div><section class=story>[[<h2>S</h2><p>T</p><p>T</p><ol><li>T</li><li>S</li></ol>]]</section><div class='sponsored promo'><p>S</p><p>T</p></div><div class=newsletter><form><p>S</p></form></div><footer><p>S S</p></footer>",
+    "<table><tr><td class='nav menu'><a>W</a><br><a>W</a><br><a>W</a></td><td class='text content'>[[<p>T</p><p>W</p><p>T</p><p>S</p>]]</td></tr></table><div class='copyright footer'>S &copy; W</div>",
+    "<div role=navigation class=nav><a>W</a><a>W</a></div><div role=main class=body>[[<h1>S</h1><div>T</div><div>W</div><div>T</div><div>S</div>]]</div><div role=complementary class=sidebar><p>S</p></div><div role=contentinfo class=footer><p>S</p></div>",
+    "<div class='consent notice'><p>T</p><button>W W</button></div><div class='body text'>[[T<br>T]]</div><div class='subscribe form'><p>S</p></div><div class='comments disqus' id=responses><p>T</p><p>T</p></div>",
+    "<header><p>S</p></header><main><article>[[<p>S</p><p>W</p><p>S</p><p>W W</p><p>S</p><p>T</p>]]</article></main><div class=ads><p>S</p></div><footer>S</footer>",
+    "<article class=post>[[<p>W</p><p>W W</p><h3>W</h3><p>S</p><p>W</p>]]</article><div class=banner>S S</div><aside>S<p>W</p></aside><footer><ul><li><a>W</a></li><li>&copy; W</li></ul></footer>",
+    "<div class=menu><ul><li><a>W</a></li><li>W</li></ul></div><div class='ad slot'>S</div><div class=article>[[<h1>W</h1>T<p>W</p><p>T</p>]]<ul class=tags><li><a>W</a></li><li><a>W</a></li></ul></div><div class='ad slot'>T</div><footer><small>S</small></footer>",
+    "<header class=site-header><nav class=site-nav><a>W</a><a>W W</a></nav></header><main id=content><div class=column>[[<h1>S</h1><div><p>T</p><p>W</p></div><div><p>S</p><dl><dt>W</dt><dd>S</dd></dl></div>]]</div><div class='sidebar widget'><p>S</p><p>W</p></div></main><div class='cookie banner'>T</div>",
 ]
 
 
@@ -68,12 +74,44 @@ class Node:
         self.text = ""
 
 
+def marks(page: str) -> Iterator[tuple[int, int, re.Match | None]]:
+    """(start, end, match) of the markup of a page in order; the match is None for comments, declarations and raw elements.
+
+    A tag ends at the first > outside quotes. The first tag that has none ends at the next >, and so do all tags
+    after it, so no part of a page is searched more than a few times. What stands after the last > is text.
+    """
+    at, last, tag_at = 0, page.rfind(">"), TAG.match
+    while 0 <= (start := page.find("<", at)) <= last:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = len(page) if end < 0 else end + 3
+            yield start, at, None
+        elif page[start + 1] in "!?":
+            at = page.index(">", start) + 1
+            yield start, at, None
+        else:
+            m = tag_at(page, start)
+            if not m and tag_at == TAG.match and PLAIN_TAG.match(page, start):
+                tag_at = PLAIN_TAG.match
+                m = tag_at(page, start)
+            at = m.end() if m else start + 1
+            if m:
+                yield start, at, m
+                raw = RAW_END.get(m[2].lower())
+                if raw and not m[1] and not m[3].endswith("/"):
+                    end = raw.search(page, at)
+                    start, at = at, page.find(">", end.end()) + 1 if end else 0
+                    at = at or len(page)
+                    yield start, at, None
+
+
 def parse(page: str) -> list[Node]:
     """The nodes of a page, parents before children. Any string is parsed: ends may be missing or too many."""
     nodes = [Node("html", (), -1)]
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements and their nodes; inline ones have their block's
+    opened: dict[str, int] = {}  # how many elements of each kind are open
     run: list[str] = []
-    state = {"links": 0, "linked": 0, "label": 0}
+    state = {"linked": 0, "label": 0}
 
     def flush() -> None:
         if run:
@@ -87,69 +125,58 @@ def parse(page: str) -> list[Node]:
 
     def add(text: str) -> None:
         run.append(text)
-        if state["links"]:
+        if opened.get("a"):
             state["linked"] += len(text.strip())
 
+    def push(tag: str, node: int) -> None:
+        if len(stack) < DEPTH:
+            stack.append((tag, node))
+            opened[tag] = opened.get(tag, 0) + 1
+
     def pop(to: int) -> None:
+        if any(tag not in INLINE for tag, _ in stack[to:]):
+            flush()
         for tag, _ in stack[to:]:
-            state["links"] -= tag == "a"
-            if tag not in INLINE:
-                flush()
+            opened[tag] -= 1
         del stack[to:]
 
+    def end(tags, bounds=frozenset()) -> None:
+        """Ends the innermost open element of these kinds, if it is inside of the innermost of bounds."""
+        if any(map(opened.get, tags)):
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i][0] in tags:
+                    return pop(i)
+                if stack[i][0] in bounds:
+                    return
+
     at = 0
-    while m := TOKEN.search(page, at):
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+    for start, stop, m in marks(page):
+        if start > at:
+            add(page[at:start])
+        at = stop
+        tag = m[2].lower() if m else ""
+        if not tag or tag in RAW:
             continue
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    if tag not in INLINE:
-                        flush()
-                    pop(i)
-                    break
-            continue
-        if tag in RAW:
-            if not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>|\Z", re.I).search(page, at)
-                at = end.end()
-            continue
-        if tag in VOID:
-            if tag == "br":
-                run.append(" ")
-            elif tag == "hr":
+            end((tag,))
+        elif tag == "br":
+            run.append(" ")
+        elif tag in VOID:
+            if tag == "hr":
                 flush()
-            continue
-        ends = SIBLINGS.get(tag) or ({"p"} if tag in ENDS_P else ())
-        if ends:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in ends:
-                    flush()
-                    pop(i)
-                    break
-                if stack[i][0] in BOUNDS:
-                    break
-        if tag in INLINE:
-            if tag == "a" and state["links"]:  # links don't nest
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == "a":
-                        pop(i)
-                        break
-            stack.append((tag, stack[-1][1]))
-            state["links"] += tag == "a"
-            continue
-        flush()
-        names = ()
-        if m[3]:
-            if "data-content" in m[3]:
-                state["label"] = 0 if "off" in m[3] else 1
-            names = tuple(w for g in NAMES.findall(m[3]) for w in re.findall(r"[a-z]+", "".join(g).lower()))
-        nodes.append(Node(tag, names, stack[-1][1], state["label"]))
-        stack.append((tag, len(nodes) - 1))
+        else:
+            end(SIBLINGS.get(tag) or ({"p"} if tag in ENDS_P else ()), BOUNDS)
+            if tag in INLINE:
+                if tag == "a":  # links don't nest
+                    end((tag,))
+                push(tag, stack[-1][1])
+            else:
+                flush()
+                if "data-content" in m[3]:
+                    state["label"] = 0 if "off" in m[3] else 1
+                names = tuple(w for g in NAMES.findall(m[3]) for w in re.findall(r"[a-z]+", "".join(g).lower()))
+                nodes.append(Node(tag, names, stack[-1][1], state["label"]))
+                push(tag, len(nodes) - 1)
     add(page[at:])
     flush()
     for node in reversed(nodes):
@@ -243,8 +270,8 @@ def labelled_pages(texts: list[str], copies: int = COPIES, seed: int = 7) -> lis
 
     def fill(m: re.Match) -> str:
         if m[0] == "W":
-            return some(1)
-        n = draw.randint(3, 14) if m[0] == "S" else draw.randint(15, 150)
+            return some(1) + ("." if draw.random() < 0.3 else "")
+        n = draw.randint(2, 14) if m[0] == "S" else draw.randint(15, 150)
         return some(n) + ("." if draw.random() < 0.9 else "")
 
     out = []
@@ -282,9 +309,12 @@ def _without_marks(nodes: list[Node]) -> list[Node]:
 def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, copies: int = COPIES) -> Model:
     """A model from labelled pages that are the layouts filled with words of sample_pages pages of the table.
 
-    The sample is bounded: the pages with the smallest hashes, SAMPLE_CHARS characters of each.
+    The sample is bounded: the pages with the smallest hashes, SAMPLE_CHARS characters of each. Hashes come
+    first and alone, then only these pages are fetched; of equal pages one.
     """
-    few = pages.select(F.substring("html", 1, SAMPLE_CHARS).alias("html"), F.xxhash64("page_id", "url").alias("h")).orderBy("h", "html").limit(sample_pages).collect()
+    hashed = pages.select(F.xxhash64("page_id", "url", "html").alias("h"), F.substring("html", 1, SAMPLE_CHARS).alias("html"))
+    least = [r.h for r in hashed.select("h").orderBy("h").limit(sample_pages).collect()]
+    few = hashed.filter(F.col("h").isin(least)).groupBy("h").agg(F.first("html").alias("html")).orderBy("h").collect() if least else []
     texts = [" ".join(x.text for x in parse(r.html or "") if x.tag == "#") for r in few]
     return Model().fit(labelled_pages(texts, copies))
 
