@@ -9,7 +9,7 @@ from tessera.llm.common import new_folder
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; null texts and those without a letter go."""
+    """Documents that the profiles give a language; null texts, and those too far from all or between two, go."""
     return langid.keep_identified(docs)
 
 
