@@ -5,6 +5,7 @@ import html
 import math
 import random
 import re
+import time
 import zlib
 from base64 import b32encode
 from collections import Counter
@@ -136,6 +137,57 @@ def test_ngrams_by_hand():
         assert dict(zip(codes.tolist(), n.tolist())) == {code(g): k for g, k in plain(t).items()}
 
 
+def plain_profile(texts, size):
+    n = Counter()
+    for t in texts:
+        n.update(plain_grams(t))
+    code = lambda g: sum(ord(c) << (21 * (len(g) - 1 - i)) for i, c in enumerate(g))
+    return {x: i for i, x in enumerate(sorted(n, key=lambda x: (-n[x], code(x)))[:size])}
+
+
+def plain_grams(text):
+    out = Counter()
+    for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        out.update(w)
+        out.update(f" {w} "[i : i + n] for n in (2, 3) for i in range(len(w) + 3 - n))
+    return out
+
+
+@pytest.mark.parametrize("at_once", [200, 1])
+def test_language_by_brute_force(spark, monkeypatch, at_once):
+    monkeypatch.setattr(langid, "LANGUAGES", at_once)  # one language at a time gives the same
+    size, rows = 60, [*some_docs(150, 5), *ODD, (960, "the the ips", "xb"), (961, "über " * 3000, "xb")]
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 4 == 2
+    langs = sorted({x for i, t, x in rows if x and t is not None and not held(i)})
+    known = {x: plain_profile([t for i, t, y in rows if y == x and not held(i)], size) for x in langs}
+    want = Counter()
+    for i, t, _ in rows:
+        own = plain_profile([t], size)
+        d = sorted((sum(abs(p[x] - k) if x in p else size for x, k in own.items()), lang) for lang, p in known.items())
+        want[(i, d[0][1], round((d[1][0] - d[0][0]) / d[1][0], 9) if d[1][0] else 0.0) if own else (i, "und", 0.0)] += 1
+    assert Counter((r.doc_id, r.lang_pred, round(r.score, 9)) for r in langid.identify(make(spark, rows), size).collect()) == want
+
+
+def test_ngrams_of_long_texts(monkeypatch):
+    g = random.Random(9)
+    texts = ["".join(g.choice("abé \nЖ1") for _ in range(g.randint(0, 60))) for _ in range(100)]
+    whole = [langid.ngrams(t) for t in texts]
+    for part in (1, 2, 5):
+        monkeypatch.setattr(langid, "PART", part)
+        for t, (codes, n) in zip(texts, whole):
+            x, m = langid.ngrams(t)
+            assert x.tolist() == codes.tolist() and m.tolist() == n.tolist()
+
+
+def test_filter_by_language(spark):
+    g = random.Random(3)
+    rows = [(k, t, x) for k, t, x in some_docs(200, 2)]
+    mixed = " ".join(x for pair in zip(rows[0][1].split(), next(t for _, t, x in rows if x != rows[0][2]).split()) for x in pair)
+    strange = "".join(chr(g.randrange(0x4E00, 0x9000)) for _ in range(200))
+    kept = {r.doc_id for r in langid.keep_identified(make(spark, [*rows, (500, strange, "xa"), (502, mixed, "xa"), (503, None, "xa")]), least=0.05).collect()}
+    assert kept >= set(range(200)) and not kept & {500, 503}
+
+
 def plain_words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
@@ -271,6 +323,36 @@ def test_main_text(spark):
     assert html_extract.extract(spark.createDataFrame([], PAGES)).count() == 0
 
 
+#: Pages whose layouts, classes and ids are in no layout of the training.
+OTHER_LAYOUTS = [
+    "<header><a href=/>W</a></header><main class=k1><h1>[[W]]</h1><p>[[S]]</p><p>[[S]]</p><noscript><p>[[S]]</p></noscript></main><aside>S</aside><footer>S</footer>",
+    "<nav><ol><li><a>W</a><li><a>W</a></ol></nav><div class=k2><article class=k3><p>[[S]]<p>[[W]]<p>[[S]]</article></div><footer><p>&copy; W</p></footer>",
+    "<aside><p>S</p></aside><article><header><h2>[[W]]</h2></header><section><p>[[S]]</p><ul><li>[[S]]<li>[[W]]</ul></section></article><form><p>S</p></form>",
+    "<nav>W</nav><article><h1>[[W]]</h1><p>[[S]]</p><svg><text>[[W]]</text></svg><math><mi>[[W]]</mi></math></article><footer><nav><a>W</a><a>W</a></nav></footer>",
+]
+
+
+def test_main_text_of_other_layouts():
+    g, good, total = random.Random(12), 0, 0
+    say = lambda n: " ".join("".join(g.choice("abcdeimnorst") for _ in range(g.randint(2, 9))) for _ in range(n))
+    model = html_extract.Model().fit(html_extract.labelled_pages([say(400)]))
+    for _ in range(25):
+        for layout in OTHER_LAYOUTS:
+            page = re.sub(r"(?<=[\[> ])[WS](?=[\] <])", lambda m: say(1) if m[0] == "W" else say(g.randint(8, 60)).capitalize() + ".", layout)
+            want = {x for w in re.findall(r"\[\[(.*?)\]\]", page) for x in [w.strip()]}
+            got = set(filter(None, model.text(page.replace("[[", "").replace("]]", "")).split("\n")))
+            good, total = good + len(want & got), total + len(want | got)
+    assert good / total > 0.9, good / total
+
+
+@pytest.mark.parametrize("unit", ["<a ", "</a ", "<! ", '<a ">"', "<div>", "</x>", "<p><b>", "<script></script ", "<li><div><b>", "<", '<a class="', "<a '\">' \""])
+def test_a_page_takes_linear_time(unit):
+    page = unit * ((1 << 20) // len(unit))
+    started = time.process_time()
+    html_extract.parse(page)
+    assert time.process_time() - started < 6  # hours, were it quadratic
+
+
 def test_parser_keeps_all_text():
     g = random.Random(2)
     for _ in range(200):
