@@ -365,7 +365,7 @@ def test_scores(spark):
     rows = [*some_docs(300, 11), *ODD]
     got = lm_score.score(make(spark, rows)).collect()
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
-    toks = lambda t: (t or "").encode().translate(lm_score.LOWER).split()
+    toks = lambda t: (t or "").encode().translate(lm_score.TABLE).split()
     c, end = Counter(), object()
     for i, t, _ in rows:
         if not held(i):
@@ -381,30 +381,136 @@ def test_scores(spark):
     assert lm_score.score(make(spark, [])).count() == 0
 
 
-def test_model_is_a_distribution():
-    g = np.random.default_rng(1)
-    m = lm_score.Model([50, 30, 20, 9, 9, 3, 2, 1], 40, 10)
-    m.a += g.normal(0, 1, m.a.shape).astype(np.float32)
-    m.w += g.normal(0, 1, m.w.shape).astype(np.float32)
-    for before in ([], [0], [3, 8], [1, 2, 7]):
-        each = []
-        for x in range(m.m + 2):
-            ids = np.array([*before, x])
-            each.append(m.score(ids, np.array([0]))[-1])
-        assert abs(np.exp(each).sum() - 1) < 1e-4
+def plain_mix(x):
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> shift
+        x = x * by % 2**64
+    return x ^ (x >> 31)
+
+
+def plain_id(word):
+    assert len(word) < 16
+    lo, hi = (int.from_bytes(word.ljust(16, b"\0")[i : i + 8], "little") for i in (0, 8))
+    return plain_mix(lo ^ plain_mix((hi | len(word) << 56) + 0x452821E638D01377 & 2**64 - 1))
+
+
+def plain_row(*parts):
+    h = 0x9E3779B97F4A7C15
+    for p in parts:
+        h = (h ^ p) * 0xBF58476D1CE4E5B9 % 2**64
+        h ^= h >> 29
+    return h % lm_score.ROWS
+
+
+def plain_softmax(z):
+    e = [math.exp(v) for v in z]
+    return [v / sum(e) for v in e]
+
+
+def test_model_score_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "FREQUENT", 20)  # few words are sent, most are asked for
+    g = random.Random(4)
+    vocabulary = ["".join(g.choice("abcde") for _ in range(g.randint(1, 6))) for _ in range(900)]
+    rows = [(k, " ".join(g.choice(vocabulary[: 900 if g.random() < 0.5 else 20]) for _ in range(g.randint(0, 40))), "x") for k in range(300)]
+    rows += [(301, None, "x"), (302, " A\tb\x0b", "x"), (None, "abc", "x"), (303, "unseen1 unseen2 " * 30, "x")]
+    docs = make(spark, rows).select("doc_id", lm_score.held_out().alias("held_out"), "text")
+    train = docs.filter("not held_out")
+    counts = lm_score.word_counts(train)
+    scorer = lm_score.learn(train, counts, rounds=2)
+    m = scorer.model
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
+    toks = lambda t: (t or "").lower().encode().split()
+    c = Counter(w for i, t, _ in rows if not held(i) for w in toks(t))
+    ends = sum(not held(i) for i, _, _ in rows)
+    n, once = sum(c.values()) + ends, sum(v == 1 for v in c.values())
+    new = (once + 1) / (n + 2)
+    cell = lambda x: int(m.cells(np.array([x], np.uint64))[0])
+    x_of = {w: plain_id(w) for _, t, _ in rows for w in toks(t)}
+    in_cell = Counter()
+    for w, k in c.items():
+        in_cell[cell(x_of[w])] += k
+    assert np.abs(m.a).max() > 0.1 and len(in_cell) > 30
+    end, start = int(lm_score.END), int(lm_score.BEFORE)
+    want = {}
+    for i, t, _ in rows:
+        past, total = [start] * 3, 0.0
+        for w in [*toks(t), None]:
+            x = end if w is None else x_of[w]
+            p1, p2, p3 = past[::-1][:3]
+            cls, sub = divmod(cell(x), lm_score.CELLS)
+            a = m.class_bias.astype(float) + sum(m.a[r].astype(float) for r in (plain_row(1, p1), plain_row(2, p1, p2), plain_row(3, p2), plain_row(4, p3)))
+            y = m.cell_bias[cls].astype(float) + m.w[plain_row(5, p1, cls)]
+            p = plain_softmax(a)[cls] * plain_softmax(y)[sub] * (1 - new)
+            if w is not None:
+                p = new if not c[w] else p if cls < lm_score.OWN else p * c[w] / in_cell[cell(x)]
+            total += math.log10(p)
+            past = [*past, x][-3:]
+        want[i] = total
+    got = lm_score.apply(docs, scorer, counts).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert abs(r.score - want[r.doc_id]) < 1e-3 * max(1, r.n_tokens), (r, want[r.doc_id])
+    # over all words of all cells, the unknown one and the end, the chances after any words add up to one
+    shares = Counter()
+    for w, k in c.items():
+        q = cell(x_of[w])
+        shares[q] += 1 if q < lm_score.OWN * lm_score.CELLS else k / in_cell[q]
+    assert all(abs(v - 1) < 1e-9 for v in shares.values())
+
+
+def test_parts_of_a_long_text(monkeypatch):
+    """A text in parts has the tokens, and the words before each, that it has as a whole."""
+    g = random.Random(6)
+    for _ in range(60):
+        text = "".join(g.choice("ab \n") * g.choice([1, 1, 1, 30]) for _ in range(g.randint(0, 60))).encode()
+        (whole,) = lm_score._parts([text])
+        _, _, _, x, p, _, _ = lm_score.sequence(whole, lm_score.NONE, 0)
+        monkeypatch.setattr(lm_score, "BATCH_BYTES", 10)
+        last, begun, parts = lm_score.NONE, 0, []
+        for part in lm_score._parts([text]):
+            *_, y, q, last, begun = lm_score.sequence(part, last, begun)
+            parts.append((y, *q))
+        monkeypatch.undo()
+        assert len(text) <= 20 or len(parts) > 1 or b" " not in text.translate(lm_score.TABLE).strip()
+        for a, b in zip((x, *p), zip(*parts)):
+            assert a.tolist() == np.concatenate(b).tolist()
+    assert list(lm_score._groups([b"ab", b"c" * (9 << 20), b"", b"d"])) == [(0, 1), (1, 2), (2, 4)]
+
+
+def test_words_are_told_apart():
+    g = random.Random(5)
+    some = ["".join(g.choice("abé") for _ in range(g.randint(1, 40))) for _ in range(3000)] + ["a" * n for n in range(1, 80)]
+    text = "\n ".join(x.title() for x in some).encode()
+    start, lo, hi = lm_score.words(text)
+    want = text.translate(lm_score.TABLE).split()
+    assert len(start) == len(want)
+    by = {}
+    for w, key in zip(want, zip(lo.tolist(), hi.tolist())):
+        assert by.setdefault(key, w) == w
+    assert len(by) == len(set(want))
+    w = lm_score.Words(lo, hi)
+    assert len(w.x) == len(by) and (w.lo[w.of] == lo).all() and (w.hi[w.of] == hi).all()
+    assert (lm_score.found(w.x, w.lo, w.hi, (w.x, w.lo, w.hi)) == np.arange(len(w.x))).all()
+
+
+def test_found_tells_words_with_equal_numbers_apart():
+    x, lo = np.array([5, 5, 5, 9], np.uint64), np.array([1, 2, 3, 1], np.uint64)
+    hi = np.zeros(4, np.uint64)
+    assert lm_score.found(np.array([5, 5, 5, 7, 9], np.uint64), np.array([3, 1, 4, 1, 1], np.uint64), np.zeros(5, np.uint64), (x, lo, hi)).tolist() == [2, 0, -1, -1, 3]
 
 
 def test_gradient_is_the_slope():
     g = np.random.default_rng(2)
-    m = lm_score.Model([50, 30, 20, 9, 9, 3], 40, 10)
-    ids, starts = g.integers(0, m.m + 2, 200), np.array([0, 90])
-    ga, gw = m.gradient(ids, starts)
+    m = lm_score.Model(g.integers(1, 1 << 60, 600).astype(np.uint64))
+    m.count(g.integers(1, 100, lm_score.CLASSES * lm_score.CELLS))
+    x = np.r_[m.own[g.integers(0, 512, 150)], g.integers(1, 1 << 60, 50).astype(np.uint64)]
+    p, cell = lm_score.before(x, np.arange(200) % 90, lm_score.NONE), m.cells(x)
+    ga, gw = np.zeros_like(m.a), np.zeros_like(m.w)
+    m.gradient(p, cell, ga, gw)
     for weights, grad in ((m.a, ga), (m.w, gw)):
         at = np.unravel_index(np.abs(grad).argmax(), grad.shape)
-        before = m.score(ids, starts).sum()
+        old = m.score(p, cell).sum(dtype=float)
         weights[at] += 0.01
-        m.__dict__.pop("_table", None)
-        slope = (m.score(ids, starts).sum() - before) / 0.01
+        slope = (m.score(p, cell).sum(dtype=float) - old) / 0.01
         assert abs(slope - grad[at]) < 0.05 * abs(grad[at]) + 0.05
         weights[at] -= 0.01
-        m.__dict__.pop("_table", None)
