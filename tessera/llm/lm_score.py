@@ -41,7 +41,7 @@ OWN, SHARED, CELLS = 16, 15, 32
 CLASSES = OWN + SHARED + 1
 END_CELL = (CLASSES - 1) * CELLS
 #: Rows of hashed weights for classes and for cells, at most 65,536; rows that travel together.
-ROWS, BLOCK = 1 << 15, 64
+ROWS, BLOCK = 1 << 14, 64
 #: Rounds of training, each over a part of the rows; step, and how many tokens a feature needs for a full step.
 ROUNDS, RATE, CAUTION, LIMIT = 6, 0.5, 4.0, 8.0
 #: Bytes of text that one training task sums gradients over, about; that a batch has; and for one bucket of words.
