@@ -70,10 +70,25 @@ def join_small_or_shuffled(left: DataFrame, right: DataFrame, on, how: str, size
     return left.join(F.broadcast(right) if fits_broadcast(right, size, limit_bytes) else right, on, how)
 
 
+#: Steps of a plan that give the rows of files in the same order each time they are read.
+SAME_ORDER = {"Relation", "Project", "Filter"}
+
+
+def numbered(rows: DataFrame, mark: str, what: str) -> DataFrame:
+    """rows with a number of its own for each row, in the column mark, the same each time they are read.
+
+    Rows that come straight from files are numbered as they are read; any others are written first.
+    """
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    steps = {line.lstrip(" :+-").split(" ")[0].split("[")[0].split("(")[0] for line in plan.splitlines() if line.strip()}
+    source = rows if steps <= SAME_ORDER else written(rows, what)
+    return source.withColumn(mark, F.monotonically_increasing_id())
+
+
 def marked(rows: DataFrame) -> tuple[DataFrame, str]:
-    """rows with a number of its own for each row, and that column's name; rows must be read in the same order each time."""
+    """rows with a number of its own for each row, and that column's name."""
     mark = "rid" if "rid" not in rows.columns else "rid_" + "_".join(rows.columns)
-    return rows.withColumn(mark, F.monotonically_increasing_id()), mark
+    return numbered(rows, mark, "rows"), mark
 
 
 def without(rows: DataFrame, gone: DataFrame, key: str, what: str) -> DataFrame:

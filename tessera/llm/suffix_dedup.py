@@ -4,9 +4,13 @@ A rolling hash of 16 bytes has a trigger in every stretch of 60 bytes (its small
 a text into phrases; a phrase is kept with the LENGTH bytes after its last start, so that every string of
 LENGTH bytes lies in just one phrase, and phrases are prefix-free up to that length. The dictionary holds each
 distinct phrase once, with its first place in the corpus; the parse is the list of places. Of a phrase that
-comes again every start is a repeat, by the parse alone. What is left are the suffixes of dictionary phrases
-that share the bytes at their trigger: these are put in order by their LENGTH first bytes and the parse gives
-the first place of each, which combines dictionary and parse into the order of the corpus.
+comes again every start is a repeat, by the parse alone; phrases are told apart by 128 bits of two hashes.
+
+What is left are the suffixes of dictionary phrases that share the bytes at their trigger, as two equal strings
+of LENGTH bytes always do. The dictionary is dealt out by trigger, and a task builds the suffix array of its part
+to a depth of LENGTH bytes by doubling prefixes, on the bytes themselves. The parse gives each suffix its first
+place; of suffixes that the array finds equal, in the order of their places, all but the first are repeats.
+A trigger with more than GROUP phrases is dealt out by the strings themselves instead.
 
 Highly repetitive text costs little: beyond the first place of a phrase only a small record is moved, never
 its bytes. Equal triggers are matched in buckets of bounded size; each task first settles what it holds itself
@@ -19,11 +23,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small_or_shuffled, text_bytes, written
+from .common import join_small_or_shuffled, numbered, text_bytes, written
 from .shingles import mix
 
 LENGTH = 100
@@ -32,8 +35,8 @@ GRAM, REACH = 16, 60
 CORE = LENGTH - REACH + 1
 #: Bytes of text for one bucket of triggers, and of text that is hashed together.
 BUCKET_BYTES, STRETCH = 16 << 20, 1 << 19
-#: Triggers with more dictionary phrases than that are settled by hashes of their strings, over all tasks.
-HOT = 20_000
+#: Bytes of phrases whose suffixes are put in order together, and phrases of a trigger that are in one task.
+ORDERED_BYTES, GROUP = 1 << 20, 2_000
 LAST = (1 << 63) - 1
 
 _rng = np.random.default_rng(77)
@@ -238,42 +241,72 @@ def _suffixes(batches):
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds)], ["core", "doc", "rid", "first", "last", "phrase"])
 
 
+def suffix_ranks(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The rank of the LENGTH bytes from each place at among those of all these places; equal for equal bytes.
+
+    Prefix doubling: the ranks of 8 bytes give those of 16, these those of 32 and 64, and two of these overlap
+    in LENGTH. at: places with LENGTH bytes after them.
+    """
+    b = np.r_[data, np.zeros(8, np.uint8)]
+    rank = _dense(np.lib.stride_tricks.sliding_window_view(b, 8)[: len(data)].copy().view(">u8").ravel().astype(np.uint64))
+    width = 8
+    while 2 * width <= LENGTH:
+        rank = _dense((rank[:-width] << np.uint64(32)) | rank[width:]) if len(rank) > width else rank[:0]
+        width *= 2
+    return _dense((rank[at] << np.uint64(32)) | rank[at + LENGTH - width])
+
+
+def _dense(keys: np.ndarray) -> np.ndarray:
+    """The rank of each key among the distinct ones."""
+    order = np.argsort(keys)
+    s = keys[order]
+    out = np.empty(len(keys), np.uint64)
+    out[order] = np.cumsum(np.r_[False, s[1:] != s[:-1]], dtype=np.uint64) if len(s) else 0
+    return out
+
+
+def _repeats(rows: list[tuple]) -> pa.RecordBatch:
+    """Runs of starts whose string starts earlier too, among whole groups of phrases (core, doc, rid, first, last, bytes)."""
+    n = np.array([r[4] - r[3] + 1 for r in rows])
+    data = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
+    begin = np.cumsum([0, *(len(r[5]) for r in rows[:-1])])
+    who = np.repeat(np.arange(len(rows)), n)
+    step = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
+    doc, rid, first = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3))
+    rank, d, p = suffix_ranks(data, begin[who] + step), doc[who], first[who] + step
+    order = np.lexsort((p, d, rank))
+    lead = np.maximum.accumulate(np.where(np.r_[True, rank[order][1:] != rank[order][:-1]], np.arange(len(order)), 0))
+    later = np.empty(len(order), bool)
+    later[order] = (d[order] != d[order][lead]) | (p[order] != p[order][lead])
+    # maximal runs of later starts within a phrase
+    open_ = later & np.r_[True, ~later[:-1] | (who[1:] != who[:-1])]
+    close = later & np.r_[~later[1:] | (who[1:] != who[:-1]), True]
+    kinds = (pa.int64(), pa.int32(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(v).cast(k) for v, k in zip((rid[who[open_]], p[open_], p[close]), kinds)], ["rid", "first", "last"])
+
+
 def _ordered(batches):
-    """Runs of starts whose string starts earlier too, from phrases sorted by trigger and place."""
-    now, seen = None, {}
+    """Repeats among the phrases of each trigger, from phrases sorted by trigger; whole groups are put in order together."""
+    wait, size = [], 0
     for b in batches:
-        out = []
-        for core, doc, rid, first, last, phrase in zip(*(c.to_pylist() for c in b.columns)):
-            if core != now:
-                now, seen = core, {}
-            run = None
-            for i in range(last - first + 1):
-                p = first + i
-                was = seen.setdefault(phrase[i : i + LENGTH], (doc, p))
-                if was < (doc, p):
-                    run = (run[0] if run else p, p)
-                elif run:
-                    out.append((rid, *run))
-                    run = None
-            if run:
-                out.append((rid, *run))
-        yield _runs(out)
-
-
-def _runs(rows) -> pa.RecordBatch:
-    cols = list(zip(*rows)) if rows else [()] * 3
-    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, (pa.int64(), pa.int32(), pa.int32()))], ["rid", "first", "last"])
+        for row in zip(*(c.to_pylist() for c in b.columns)):
+            if size > ORDERED_BYTES and row[0] != wait[-1][0]:
+                yield _repeats(wait)
+                wait, size = [], 0
+            wait.append(row)
+            size += len(row[5])
+    if wait:
+        yield _repeats(wait)
 
 
 def _strings(batches):
-    """A hash of each string of some phrases, with its place."""
+    """Each string of some phrases with its place."""
+    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32())
     for b in batches:
-        rows = []
         for _, doc, rid, first, last, phrase in zip(*(c.to_pylist() for c in b.columns)):
-            rows += [(xxhash.xxh3_128_digest(phrase[i : i + LENGTH]), doc, rid, first + i) for i in range(last - first + 1)]
-        cols = list(zip(*rows)) if rows else [()] * 4
-        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds)], ["g", "doc", "rid", "p"])
+            n = last - first + 1
+            columns = [[phrase[i : i + LENGTH] for i in range(n)], [doc] * n, [rid] * n, range(first, last + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds)], ["string", "doc", "rid", "p"])
 
 
 def _cut(batches):
@@ -302,14 +335,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """The bytes of each text that a string of LENGTH bytes covers which also starts earlier.
 
     Earlier: in a document with a smaller doc_id, or at an earlier start of the same; a null doc_id is after
-    all others. docs: doc_id, text (other columns are ignored); its rows must come in the same order each
-    time they are read, as from files. A null text counts as empty; texts under LENGTH bytes lose nothing. Of
+    all others. docs: doc_id, text (other columns are ignored). A null text counts as empty; texts under LENGTH bytes lose nothing. Of
     rows that repeat a doc_id none is earlier than another at the same start. Returns a row per row: doc_id,
     n_bytes, n_removed, n_spans, kept_sha256, spans (start, stop in bytes of the removed runs). An empty table
     gives no rows.
     """
     spark = docs.sparkSession
-    source = docs.select(F.monotonically_increasing_id().alias("rid"), F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "text", "doc_id")
+    source = numbered(docs.select("doc_id", "text"), "rid", "rows").select("rid", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "text", "doc_id")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     dealt = source.select("rid", "doc", "text").mapInArrow(_deal(buckets), "bucket int, records binary, known binary")
@@ -323,12 +355,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     texts = join_small_or_shuffled(source, open_.select("rid"), "rid", "left_semi", F.lit(16))
     phrases = texts.join(open_, "rid").select("rid", "doc", "text", "several").mapInArrow(_suffixes, "core long, doc long, rid long, first int, last int, phrase binary")
     phrases = written(phrases, "dictionary")
-    hot = written(phrases.groupBy("core").count().filter(F.col("count") > HOT).select("core"), "hot-triggers")
-    few = join_small_or_shuffled(phrases, hot, "core", "left_anti", F.lit(16)).repartition("core").sortWithinPartitions("core", "doc", "first")
+    size = phrases.agg(F.sum(F.length("phrase"))).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    large = written(phrases.groupBy("core").count().filter(F.col("count") > GROUP).select("core"), "large-groups")
+    few = join_small_or_shuffled(phrases, large, "core", "left_anti", F.lit(16)).repartition(tasks, "core").sortWithinPartitions("core")
     runs = few.mapInArrow(_ordered, "rid long, first int, last int")
-    strings = join_small_or_shuffled(phrases, hot, "core", "left_semi", F.lit(16)).select(*phrases.columns).mapInArrow(_strings, "g binary, doc long, rid long, p int")
-    least = strings.groupBy("g").agg(F.min(F.struct("doc", "p")).alias("least"))
-    later = strings.join(least, "g").filter(F.struct("doc", "p") > F.col("least")).select("rid", F.col("p").alias("first"), F.col("p").alias("last"))
+    strings = join_small_or_shuffled(phrases, large, "core", "left_semi", F.lit(16)).select(*phrases.columns).mapInArrow(_strings, "string binary, doc long, rid long, p int")
+    # written, so that the join below deals both sides out and can split a string that is common
+    least = written(strings.groupBy("string").agg(F.min(F.struct("doc", "p")).alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n"), "least-places")
+    later = strings.join(least, "string").filter(F.struct("doc", "p") > F.col("least")).select("rid", F.col("p").alias("first"), F.col("p").alias("last"))
     runs = runs.unionByName(later).groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     both = lists.select("rid", "repeats").join(runs, "rid", "left")
     places = F.concat("repeats", F.coalesce("runs", F.array().cast("array<struct<first:int,last:int>>")))

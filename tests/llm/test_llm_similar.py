@@ -5,9 +5,10 @@ import random
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import numpy as np
 import pytest
 
-from tessera.llm import decontam, exact_dedup, minhash, suffix_dedup
+from tessera.llm import common, decontam, exact_dedup, minhash, suffix_dedup
 from tessera.llm.common import words_of
 from tessera.llm.components import components
 
@@ -208,9 +209,9 @@ def plain_removed(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [20_000, 0])
+@pytest.mark.parametrize("hot", [2_000, 0])
 def test_repeats(spark, hot, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "GROUP", hot)
     monkeypatch.setattr(suffix_dedup, "STRETCH", 1500)
     suffix_dedup._powers.clear()
     g = random.Random(4)
@@ -237,3 +238,23 @@ def test_repeats(spark, hot, monkeypatch):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
     assert suffix_dedup.remove_repeats(make(spark, [])).count() == 0
     suffix_dedup._powers.clear()
+
+
+def test_suffix_order():
+    g = random.Random(14)
+    unit = "".join(g.choice("ab") for _ in range(150))
+    for alphabet in ("ab", "abcdefgh \0\x7f"):
+        text = ("".join(g.choice(alphabet) for _ in range(400)) + unit + "b" + unit + unit[20:] + "a" * 130 + "\0" * 120).encode()
+        at = np.array(sorted(g.sample(range(len(text) - suffix_dedup.LENGTH + 1), 300)))
+        rank = suffix_dedup.suffix_ranks(np.frombuffer(text, np.uint8), at)
+        strings = [text[i : i + suffix_dedup.LENGTH] for i in at.tolist()]
+        order = {x: k for k, x in enumerate(sorted(set(strings)))}
+        assert len(order) < len(strings) and rank.tolist() == [order[x] for x in strings]
+
+
+def test_numbers_of_rows(spark, tmp_path):
+    spark.range(50).selectExpr("id as doc_id").write.parquet(f"{tmp_path}/t")
+    files = spark.read.parquet(f"{tmp_path}/t")
+    assert "/rows-" not in "".join(common.numbered(files.filter("doc_id > 3"), "rid", "rows").inputFiles())
+    mixed = common.numbered(files.repartition(7).orderBy("doc_id"), "rid", "rows")
+    assert "/rows-" in "".join(mixed.inputFiles()) and mixed.select("rid").distinct().count() == 50
