@@ -4,12 +4,15 @@ A template is its set of words. A block matches if it holds at least threshold o
 are the runs of words of a document, across sentences, of at most the template's length / threshold, and for a
 template that no such run matches the document's sentences, however long. Words are ordered by their count over
 the whole corpus, rarest first; a block that matches must hold one of the template's first words in that order
-(prefix filter), so only the places around such words are looked at, and all of those. A positional filter is
-left out: the prefix lets every place in it reach the threshold.
+(prefix filter), so only the places around such words are looked at, and all of those. Length filter: a run is
+no longer than the template allows. Positional filter: of the template's words at most those can match that come
+before the hit in the order and stand nearby, the hit, and as many as come after it in both the template and the
+words nearby; a place where these are too few is passed over.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from math import ceil
 
@@ -67,6 +70,9 @@ class Index:
 
     def __init__(self, templates: list[tuple[str, str]], counts: dict[bytes, int], threshold: float):
         self.templates, self.prefix, self.threshold = [], {}, threshold
+        all_ = {w for _, t in templates for w in words_of(t.encode())}
+        self.place = {w: i for i, w in enumerate(sorted(all_, key=lambda w: (counts.get(w, 0), w)))}
+        self.passed = self.rejected = 0  # hits that the positional filter lets through, and those that it doesn't
         for label, text in templates:
             order = sorted(set(words_of(text.encode())), key=lambda w: (counts.get(w, 0), w))
             need = ceil(threshold * len(order) - 1e-9)
@@ -76,6 +82,18 @@ class Index:
             for w in order[: len(order) - need + 1]:
                 self.prefix.setdefault(w, []).append(k)
 
+    def reaches(self, k: int, at: int, words: list[bytes]) -> bool:
+        """The positional filter: whether a run around the hit at can hold enough of template k's words."""
+        _, own, need, length = self.templates[k]
+        hit = self.place[words[at]]
+        near = {self.place.get(w, -1): w in own for w in words[max(0, at - length + 1) : at + length]}
+        before = sum(mine for x, mine in near.items() if x < hit)
+        after = sum(x > hit for x in near)
+        left = sum(self.place[w] > hit for w in own)
+        ok = before + 1 + min(left, after) >= need
+        self.passed, self.rejected = self.passed + ok, self.rejected + (not ok)
+        return ok
+
     def spans(self, words: list[bytes], text: bytes) -> list[dict]:
         """Each template's matching places in text, whose words are given; of places that overlap the fullest, then shortest, then first.
 
@@ -87,7 +105,9 @@ class Index:
             for _ in range(words.count(w)):
                 at = words.index(w, at + 1)
                 for k in self.prefix[w]:
-                    places.setdefault(k, []).append(at)
+                    hits = places.setdefault(k, [])
+                    if self.reaches(k, at, words):
+                        hits.append(at)
         out, sentences, seen_all = [], None, set(words) if places else set()
         for k, hits in sorted(places.items()):
             label, own, need, length = self.templates[k]
@@ -104,10 +124,11 @@ class Index:
                     if len(seen) >= need and end >= at:
                         found.append((-len(seen), end - a + 1, a))
                 done = at
-            kept: list[tuple[int, int]] = []
+            kept: list[tuple[int, int]] = []  # starts and ends in order; none overlap
             for neg, n, a in sorted(found):
-                if all(a + n <= s or a >= s + m for s, m in kept):
-                    kept.append((a, n))
+                i = bisect.bisect_right(kept, (a, a + n))
+                if (i == 0 or kept[i - 1][1] <= a) and (i == len(kept) or a + n <= kept[i][0]):
+                    kept.insert(i, (a, a + n))
                     out.append({"label": label, "start": a, "length": n, "containment": -neg / len(own)})
             if not kept and len(own & seen_all) >= need:
                 sentences = sentences or [words_of(s) for s in SENTENCE_END.split(text)]
@@ -140,9 +161,10 @@ def phrase_places(words: list[bytes], line: bytes, phrases) -> tuple[list[int],
     """Word positions at which a phrase stands, and labels; line: the words with one space before, between and after."""
     starts, labels = [], set()
     for phrase, label in phrases:
-        want, at = b" %b " % phrase, -1
+        want, at, was, before = b" %b " % phrase, -1, 0, 0
         while (at := line.find(want, at + 1)) >= 0:
-            starts.append(line.count(b" ", 0, at))
+            was, before = at, before + line.count(b" ", was, at)
+            starts.append(before)
             labels.add(label)
     return starts, labels
 
