@@ -23,16 +23,28 @@ def words_of(data: bytes) -> list[bytes]:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or with a local master a local one where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-tessera-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def _home(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/tessera/{spark.sparkContext.applicationId}"
+
+
 def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{scratch_root(spark)}/tessera/{what}-{uuid.uuid4().hex}"
+    return f"{_home(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def tidy(spark: SparkSession) -> None:
+    """Deletes all tables that this application has written; for when its results have been read or stored elsewhere."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_home(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:

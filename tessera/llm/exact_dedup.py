@@ -3,7 +3,8 @@
 The text without white space is cut into blocks of a fixed size. Blocks are sorted into integer names; then
 adjacent names are paired and the pairs sorted into new names, until one name stands for a document. Equal
 names mean equal texts at every level, with no hashing of identities, so there is no collision to settle. A
-block or pair that occurs once in the corpus proves its document unique: such a document leaves the rounds.
+block or pair that occurs once in the corpus proves its document unique: such a document leaves the rounds. So
+does one with a block whose 64-bit hash occurs once; that takes out most blocks before any is shuffled.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes, without, written
+from .common import join_small_or_shuffled, marked, numbered, text_bytes, without, written
 
 BLOCK = 2048
-#: Spark samples keys on the driver to cut their range into partitions; so much of a block does for that.
+#: Spark samples keys on the driver to cut their range into partitions: so much of a block, then its hash, so that
+#: many blocks with one beginning are cut too.
 PREFIX = 48
 SPACES = b" \t\n\x0b\x0c\r"
 
@@ -57,9 +59,9 @@ def _blocks(size: int):
 
 
 def _names(rows: DataFrame, keys: list[str], what: str) -> DataFrame:
-    """Integer names, in sort order, of the keys that occur more than once; blocks are dealt out by their first bytes."""
+    """Integer names of the keys that occur more than once; they are cut into sorted ranges and sorted in each."""
     repeated = rows.groupBy(*keys).count().filter("count > 1").select(*keys)
-    dealt = [F.substring(k, 1, PREFIX) if k == "block" else F.col(k) for k in keys]
+    dealt = [x for k in keys for x in ([F.substring(k, 1, PREFIX), F.xxhash64(k)] if k == "block" else [F.col(k)])]
     return written(repeated.repartitionByRange(*dealt).sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id()), what)
 
 
@@ -71,7 +73,9 @@ def _regroup(named: DataFrame, what: str) -> DataFrame:
 
 def identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """rid, level, name of each row whose text occurs more than once; docs: rid, doc_id, text."""
-    rows = docs.mapInArrow(_blocks(block), "rid long, n int, at int, block binary")
+    rows = docs.mapInArrow(_blocks(block), "rid long, n int, at int, block binary").withColumn("h", F.xxhash64("block"))
+    again = written(rows.groupBy("h").count().filter("count > 1").select("h"), "block-hashes")
+    rows = written(join_small_or_shuffled(rows, again, "h", "left_semi", F.lit(16)).drop("h"), "blocks")
     left = _regroup(rows.join(_names(rows, ["block"], "block-names"), "block").select("rid", "n", "at", "name"), "named")
     level, done = 0, []
     while True:
@@ -96,12 +100,14 @@ def identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 def exact_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """Groups of documents that are equal when white space ``[\\x20\\x09-\\x0D]`` is deleted.
 
-    docs: doc_id, text (other columns are ignored); its rows must come in the same order each time they are
-    read, as from files. A null text counts as empty, and all empty texts are equal. Of a group the row with
-    most code points stays, then the smallest doc_id (a null one last); of repeated rows one. Returns a row
+    docs: doc_id, text (other columns are ignored). A null text counts as empty, and all empty texts are equal.
+    Of a group the row with most code points stays, then the smallest doc_id (a null one last); of repeated rows one. Returns a row
     for each row: doc_id, keep_id, group_size, kept, text_sha256, rid. An empty table gives no rows.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
+    return _groups_of(numbered(docs.select("doc_id", "text"), "rid", "rows").select("rid", "doc_id", "text"), block)
+
+
+def _groups_of(rows: DataFrame, block: int) -> DataFrame:
     facts = rows.mapInArrow(_facts, "rid long, doc_id long, n_chars long, text_sha256 string")
     ids = identities(rows, block)
     # a row that stands alone gets a key of its own, so that such rows don't meet in one task
@@ -120,8 +126,7 @@ def exact_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """docs, all columns, with the row that stays of each group; docs must be read in the same order each time."""
-    mark = "rid" if "rid" not in docs.columns else "rid_" + "_".join(docs.columns)
-    rows = docs.withColumn(mark, F.monotonically_increasing_id())
-    gone = exact_dedup(docs, block).filter("not kept").select(F.col("rid").alias(mark))
+    """docs, all columns, with the row that stays of each group: exact_dedup's, whatever its doc_id."""
+    rows, mark = marked(docs)
+    gone = _groups_of(rows.select(F.col(mark).alias("rid"), "doc_id", "text"), block).filter("not kept").select(F.col("rid").alias(mark))
     return without(rows, gone, mark, "copies").select(docs.columns)
