@@ -12,6 +12,7 @@ any shingle of an item has similarity 0 to it.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -23,8 +24,7 @@ from .common import marked, text_bytes, without
 from .shingles import counted, shingle_hashes, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: A pair at similarity 0.8 differs in 10 of 64 bits on average, with a deviation of 3.
-RADIUS, BLOCKS = 22, 8
+BLOCKS = 8
 #: Benchmarks are sent to the workers in parts of at most so many bytes of text.
 ITEMS_BYTES = 16 << 20
 #: Starts of windows that are fingerprinted together.
@@ -43,10 +43,19 @@ def fingerprints(shingles: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray
     return np.packbits(set_, axis=1, bitorder="little").view("<u8").ravel()
 
 
+def radius_of(threshold: float) -> int:
+    """Bits of 64 in which a pair at the threshold differs: as many as follow from its cosine on average, and 4.3 deviations.
+
+    At a similarity of 0.8 that is 10 bits with a deviation of 3, so 22.
+    """
+    share = math.acos(min(1.0, 2 * threshold / (1 + threshold))) / math.pi
+    return min(64, round(64 * share + 4.3 * math.sqrt(64 * share * (1 - share))))
+
+
 class MultiIndex:
     """Fingerprints by their blocks of bits and all values near those."""
 
-    def __init__(self, prints: np.ndarray, radius: int = RADIUS, blocks: int = BLOCKS):
+    def __init__(self, prints: np.ndarray, radius: int, blocks: int = BLOCKS):
         self.prints, self.radius, self.width = prints, radius, 64 // blocks
         self.near = [0] + [sum(1 << i for i in c) for k in range(1, radius // blocks + 1) for c in combinations(range(self.width), k)]
         self.buckets: list[dict[int, list[int]]] = []
@@ -76,7 +85,7 @@ class MultiIndex:
 class Benchmark:
     """Items of one part of a benchmark, ready to look windows up."""
 
-    def __init__(self, items: list[tuple[int, bytes]]):
+    def __init__(self, items: list[tuple[int, bytes]], threshold: float = THRESHOLD):
         hashes = [h for _, some in word_hashes([t for _, t in items]) for h in some]
         kept = [(i, h) for (i, _), h in zip(items, hashes) if len(h)]
         self.ids, self.sizes = [i for i, _ in kept], [len(h) for _, h in kept]
@@ -89,7 +98,7 @@ class Benchmark:
         self.index = {}
         for n, ks in self.by_size.items():
             prints = np.array([fingerprints(shingles[k], np.array([0]), len(shingles[k]))[0] for k in ks], np.uint64)
-            self.index[n] = (ks, MultiIndex(prints))
+            self.index[n] = (ks, MultiIndex(prints, radius_of(threshold)))
         all_ = np.concatenate(shingles) if shingles else np.zeros(0, np.uint64)
         owner = np.repeat(np.array(self.sizes, np.int64), self.totals) if shingles else np.zeros(0, np.int64)
         order = np.argsort(all_, kind="stable")
@@ -174,7 +183,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
 
 def _scan(items: list[tuple[int, bytes]], threshold: float):
     def run(batches):
-        bench = Benchmark(items)
+        bench = Benchmark(items, threshold)
         for b in batches:
             ids, out = b.column(0).to_pylist(), []
             for at, docs in word_hashes(text_bytes(b.column(1))):
@@ -194,7 +203,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs, all columns, without the rows that repeat a benchmark item; docs must be read in the same order each time.
+    """docs, all columns, without the rows that repeat a benchmark item.
 
     Unlike in clean, rows are dropped by a mark of their own: one with a null doc_id goes if it leaks, one that
     shares its doc_id with a leak stays if it doesn't.

@@ -17,6 +17,7 @@ sides.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +29,28 @@ from .components import components
 from .shingles import counted, mix, shingle_hashes, weighted_jaccard, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: At a similarity of 0.8, 25 bands of 5 coordinates miss a pair once in 20,000.
-BANDS, ROWS = 25, 5
-#: Pairs whose signatures agree in a smaller share are not verified: 5 standard errors below 0.8.
-ESTIMATE = 0.62
-#: Documents of a bucket that meet in one task.
-BLOCK = 2000
+#: Coordinates of a signature, and how seldom a pair at the threshold may share no band.
+COORDINATES, MISSED = 125, 1 / 20_000
+#: Shingles, and documents, of one side of a bucket that meet in one task, about.
+UNITS, BLOCK = 1 << 18, 500
 #: Documents are thrown at together until they have so many shingles.
 AT_ONCE = 100_000
 
 
+def bands_of(threshold: float, k: int = COORDINATES) -> tuple[int, int]:
+    """(bands, coordinates of each): the longest bands that miss a pair at the threshold at most MISSED of the time.
+
+    At a similarity of 0.8 these are 25 bands of 5.
+    """
+    rows = max((r for r in range(1, k + 1) if (1 - threshold**r) ** (k // r) <= MISSED), default=1)
+    return k // rows, rows
+
+
+def estimate_of(threshold: float, k: int) -> float:
+    """Pairs whose signatures agree in a smaller share are not verified: 5 standard errors below the threshold."""
+    return threshold - 5 * math.sqrt(threshold * (1 - threshold) / k)
+
+
 def _unit(h: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) from hashes."""
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
@@ -156,11 +169,11 @@ def _shingles(text: bytes):
     return counted(shingle_hashes(next(word_hashes([text]))[1][0], SHINGLE))
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float, k: int) -> DataFrame:
     """a, b, similarity of the pairs (a, b) whose weighted Jaccard similarity is at least the threshold."""
     x = reps.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"))
     y = reps.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"))
-    likely = pairs.join(x, "a").join(y, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_agree(ESTIMATE), "a long, b long").distinct()
+    likely = pairs.join(x, "a").join(y, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_agree(estimate_of(threshold, k)), "a long, b long").distinct()
     likely = written(likely, "likely")
     wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
     texts = join_small_or_shuffled(docs, wanted, "doc_id", "left_semi", F.lit(16))
@@ -169,7 +182,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: floa
     return full.select("a", "b", "text_a", "text_b").mapInArrow(_similar(threshold), "a long, b long, similarity double")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Classes of documents linked by a weighted Jaccard similarity of five-word shingles of at least threshold.
 
     docs: doc_id, text (other columns are ignored). Words are runs of letters and digits, A-Z lower-cased. A
@@ -180,21 +193,22 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     """
     source = docs.select("doc_id", "text")
     known = source.filter("doc_id is not null")
+    bands, rows = bands_of(threshold)
     k = bands * rows
     signed = written(known.mapInArrow(_sign(k), "doc_id long, key binary, n long, sig binary"), "signatures")
     # this table and those below are written, so that joins with them deal both sides out and can split a large key
     same = written(signed.groupBy("key").agg(F.min("doc_id").alias("node")), "texts")
     reps = signed.filter("n > 0").withColumnRenamed("doc_id", "node").join(same, ["key", "node"], "left_semi")
-    reps = written(reps.select("node", "sig"), "representatives")
-    banded = reps.mapInArrow(_band(bands, rows), "h long, node long")
+    reps = written(reps.select("node", "n", "sig"), "representatives")
+    banded = reps.select("node", "sig").mapInArrow(_band(bands, rows), "h long, node long")
     leaders = banded.groupBy("h").agg(F.min("node").alias("leader"), F.count("*").alias("m")).filter("m > 1")
     crowded = written(banded.join(written(leaders.drop("m"), "leaders"), "h"), "buckets")
     tested = written(crowded.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     twice = signed.groupBy("doc_id").agg(F.min("key").alias("x"), F.max("key").alias("y")).filter("x <> y").select("doc_id")
     own = signed.select("doc_id", "key").join(twice, "doc_id", "left_semi").join(same, "key").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    links = written(verified(tested, reps, known, threshold).select("a", "b").unionByName(own).distinct(), "links")
+    links = written(verified(tested, reps, known, threshold, k).select("a", "b").unionByName(own).distinct(), "links")
     labels = written(components(links), "labels")
-    more = written(_across(crowded, labels, known, threshold), "more-links")
+    more = written(_across(crowded, labels, reps, known, threshold), "more-links")
     if not more.isEmpty():
         labels = written(components(links.unionByName(more)), "labels")
     classed = (
@@ -267,15 +281,17 @@ def _pairs(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def _across(crowded: DataFrame, labels: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+def _across(crowded: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """Links between the components in one bucket; the bucket's leader has been compared with all already."""
     placed = crowded.filter("node <> leader").select("h", "node").join(labels, "node", "left").select("h", "node", F.coalesce("label", "node").alias("label"))
     mixed = placed.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("h")
-    placed = written(placed.join(written(mixed, "mixed"), "h", "left_semi"), "mixed-buckets")
-    size = placed.groupBy("h", "label").agg(F.count("*").alias("m"))
-    sizes = size.groupBy("h").agg(F.max_by("label", F.struct("m", "label")).alias("largest"), F.sum("m").alias("m"), F.max("m").alias("top"))
-    blocks = [F.ceil(F.col(c) / BLOCK).cast("int").alias(n) for c, n in (("few", "ni"), ("m", "nj"))]
-    sizes = sizes.withColumn("few", F.col("m") - F.col("top")).select("h", "largest", *blocks)
+    placed = placed.join(written(mixed, "mixed"), "h", "left_semi").join(reps.select("node", "n"), "node")
+    placed = written(placed.select("h", "node", "label", "n"), "mixed-buckets")
+    size = placed.groupBy("h", "label").agg(F.count("*").alias("m"), F.sum("n").alias("u"))
+    sizes = size.groupBy("h").agg(F.max_by(F.struct("label", "m", "u"), F.struct("m", "label")).alias("most"), F.sum("m").alias("m"), F.sum("u").alias("u"))
+    blocks = lambda m, u: F.ceil(F.greatest(m / BLOCK, u / UNITS)).cast("int")
+    few = blocks(F.col("m") - F.col("most.m"), F.col("u") - F.col("most.u"))
+    sizes = sizes.select("h", F.col("most.label").alias("largest"), few.alias("ni"), blocks(F.col("m"), F.col("u")).alias("nj"))
     rows = placed.join(written(sizes, "bucket-sizes"), "h")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
@@ -289,7 +305,7 @@ def _across(crowded: DataFrame, labels: DataFrame, docs: DataFrame, threshold: f
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs, all columns, with one row of each class of near duplicates; docs must be read in the same order each time.
+    """docs, all columns, with one row of each class of near duplicates.
 
     Rows are compared and dropped by a mark of their own, so those with a null or repeated doc_id are too. Of a
     class the row with the smallest doc_id stays (a null one last); of rows that repeat it one.
