@@ -90,6 +90,26 @@ def test_blocks_of_a_large_bucket(spark, docs, monkeypatch):
     assert all(r.class_id == want[r.doc_id] for r in minhash.near_duplicates(make(spark, docs)).collect() if r.doc_id is not None)
 
 
+def test_lower_thresholds(spark):
+    assert minhash.bands_of(0.8) == (25, 5) and round(minhash.estimate_of(0.8, 125), 2) == 0.62 and decontam.radius_of(0.8) == 22
+    g, rows, items = random.Random(21), [], []
+    for k in range(100):  # each pair's similarity is a little over 0.6
+        base = words(g, 120)
+        for at in g.sample(range(0, 116, 8), 4):
+            base[at] = "x"
+        other = list(base)
+        for at in range(6, 114, 24):
+            other[at] = f"y{k}"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+        items.append((k, " ".join(base)))
+        a, b = shingled(rows[-2][1]), shingled(rows[-1][1])
+        assert 0.6 < sum((a & b).values()) / sum((a | b).values()) < 0.75
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(make(spark, rows), 0.6).collect()}
+    assert all(got[2 * k + 1] == 2 * k for k in range(100))
+    found = decontam.matches(make(spark, rows[1::2]), spark.createDataFrame(items, "item_id long, text string"), 0.6).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(2 * k + 1, k) for k in range(100)}
+
+
 def test_signatures_agree_as_often_as_sets_are_similar():
     import numpy as np
 
@@ -188,8 +208,8 @@ def test_index_finds_all_within_the_radius():
     items = g.integers(0, 2**63, 30).astype(np.uint64)
     near = [int(x) ^ sum(1 << int(b) for b in g.choice(64, int(k), replace=False)) for x in items for k in g.integers(0, 30, 8)]
     q = np.array(near, np.uint64)
-    index = decontam.MultiIndex(items)
-    want = {(a, b) for a in range(len(q)) for b in range(30) if int(q[a] ^ items[b]).bit_count() <= decontam.RADIUS}
+    index = decontam.MultiIndex(items, 22)
+    want = {(a, b) for a in range(len(q)) for b in range(30) if int(q[a] ^ items[b]).bit_count() <= 22}
     assert {x[:2] for x in index.within(q)} == want
 
 
@@ -252,6 +272,14 @@ def test_suffix_order():
         assert len(order) < len(strings) and rank.tolist() == [order[x] for x in strings]
 
 
+def test_tables_are_tidied(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "scratch_root", lambda s: f"file://{tmp_path}")
+    common.written(spark.range(3), "three")
+    assert len(list(tmp_path.rglob("*.parquet"))) > 0
+    common.tidy(spark)
+    assert not list(tmp_path.rglob("*.parquet"))
+
+
 def test_numbers_of_rows(spark, tmp_path):
     spark.range(50).selectExpr("id as doc_id").write.parquet(f"{tmp_path}/t")
     files = spark.read.parquet(f"{tmp_path}/t")

@@ -233,6 +233,29 @@ def test_licences(spark):
     assert licenses.scan(make(spark, [])).count() == 0
 
 
+def test_positional_filter():
+    counts = Counter({"released": 1, "mit": 2, "under": 5, "license": 9, "the": 99})
+    index = licenses.Index([("mit", "Released under the MIT License"), ("other", "zeta the under")], counts, 0.8)
+    text = b"was released by them all under the sun of the one mit license here it goes on and on released under the mit license"
+    words = plain_words(text.decode())
+    spans = index.spans([w.encode() for w in words], text)
+    assert [(s["label"], s["start"], s["containment"]) for s in spans] == [("mit", 19, 1.0)]
+    assert index.rejected > 0 and index.passed > 0
+    kept = index.rejected
+    index.reaches = lambda k, at, words: True  # nothing is lost by it
+    assert index.spans([w.encode() for w in words], text) == spans and index.rejected == kept
+
+
+def test_many_notices_take_linear_time():
+    text = " ".join(f"w{k} Released under the MIT License" for k in range(20_000)).encode()
+    index = licenses.Index(licenses.TEMPLATES, {}, 0.8)
+    started = time.process_time()
+    words = licenses.words_of(text)
+    assert len(index.spans(words, text)) == 20_000
+    starts, _ = licenses.phrase_places(words, b" %b " % b" ".join(words), [(b"mit license", "mit")])
+    assert len(starts) == 20_000 and time.process_time() - started < 8
+
+
 def test_licences_in_long_sentences(spark):
     long = "This work is licensed, unless otherwise noted in the file headers, under the GNU General Public License, version 3"
     apart = "This work is licensed. It was made under the GNU rules. A General idea. Public License, version 3"
