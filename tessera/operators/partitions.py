@@ -5,9 +5,12 @@ from __future__ import annotations
 import struct
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.blockimage import open_input
+
 SECTOR = 512
 EXTENDED = (0x05, 0x0F, 0x85)
 MAX_GPT_ENTRIES = 256
@@ -23,47 +26,66 @@ MBR_TYPES = {
     0xFB: "VMware VMFS", 0xFC: "VMware swap / VMKCORE", 0xFD: "Linux RAID auto", 0xFE: "LANstep / PS/2 IML", 0xFF: "XENIX bad track",
 }
 
-SCHEMA = "image_id string, scheme string, index int, start_lba long, end_lba long, sector_count long, part_type int, type_name string, is_bootable boolean, errors array<string>"
+SCHEMA = (
+    "image_id string, scheme string, index int, start_lba long, end_lba long, sector_count long, part_type int, type_name string, is_bootable boolean,"
+    " start_offset long, end_offset long, size_bytes long, type_code string, last_used_lba long, disk_size_lba long, errors array<string>"
+)
+GPT_TYPE = 0xFF
+#: Sectors of a block table that are looked at besides those with a boot signature: header and entries of a GPT.
+FIRST_SECTORS = 2 + MAX_GPT_ENTRIES // 4
+
+Reader = Callable[[int, int], bytes]
 
 
 def type_name(code: int) -> str:
     return MBR_TYPES.get(code, f"Unknown (0x{code:02X})")
 
 
-def _entries(sector: bytes) -> list[tuple[int, int, int, int, bool]]:
-    """(slot, type, first sector, sectors, bootable) of the used entries of a boot record."""
-    out = []
-    for i in range(4):
-        status, _, kind, _, lba, n = struct.unpack_from("<B3sB3sII", sector, 446 + 16 * i)
-        if kind and lba and n:
-            out.append((i, kind, lba, n, status == 0x80))
-    return out
+def _slots(sector: bytes) -> list[tuple[int, int, int, int]]:
+    """(status, type, first sector, sectors) of the four entries of a boot record."""
+    raw = (struct.unpack_from("<B3xB3xII", sector, 446 + 16 * i) for i in range(4))
+    return list(raw)
+
+
+def _signed(sector: bytes) -> bool:
+    return len(sector) == SECTOR and sector[510:] == b"\x55\xaa"
 
 
 def _row(scheme: str, index: int, first: int, n: int, kind: int, name: str, boot: bool) -> dict:
     return {"scheme": scheme, "index": index, "start_lba": first, "end_lba": first + n - 1, "sector_count": n, "part_type": kind, "type_name": name, "is_bootable": boot}
 
 
-def _extended(read: Callable[[int, int], bytes], base: int, errors: list[str]) -> list[dict]:
+def _primary(sector: bytes, errors: list[str]) -> list[dict]:
+    """The used entries of a boot record; an odd status byte is noted and its entry kept."""
+    out = []
+    for i, (status, kind, lba, n) in enumerate(_slots(sector)):
+        if status not in (0, 0x80):
+            errors.append(f"entry {i}: status byte 0x{status:02X}")
+        if kind and lba and n:
+            out.append(_row("MBR", i, lba, n, kind, type_name(kind), status == 0x80))
+    return out
+
+
+def _logical(read: Reader, base: int, index: int, errors: list[str]) -> list[dict]:
+    """Partitions along the chain of boot records that starts at base; a record met twice ends it."""
     out, seen, at = [], set(), base
     while at not in seen:
         seen.add(at)
         sector = read(at * SECTOR, SECTOR)
-        if len(sector) < SECTOR or sector[510:] != b"\x55\xaa":
+        if not _signed(sector):
             errors.append(f"no boot record at sector {at}")
             break
-        slots = {i: e for i, *e in _entries(sector)}
-        if 0 in slots:
-            kind, lba, n, boot = slots[0]
-            out.append(_row("MBR", 4 + len(out), at + lba, n, kind, type_name(kind), boot))
-        if 1 not in slots or slots[1][0] not in EXTENDED:
+        (_, kind, first, n), (_, link, step, _), *_ = _slots(sector)
+        if kind and n:
+            out.append(_row("MBR", index + len(out), at + first, n, kind, type_name(kind), False))
+        if link not in EXTENDED or not step:
             break
-        at = base + slots[1][1]
+        at = base + step
     return out
 
 
-def _gpt(read: Callable[[int, int], bytes], errors: list[str]) -> list[dict]:
-    head = read(SECTOR, SECTOR)
+def _gpt(read: Reader, errors: list[str]) -> list[dict]:
+    head = read(SECTOR, 92)
     if head[:8] != b"EFI PART" or len(head) < 92:
         errors.append("no GPT header")
         return []
@@ -73,62 +95,105 @@ def _gpt(read: Callable[[int, int], bytes], errors: list[str]) -> list[dict]:
         return []
     out = []
     for i in range(min(count, MAX_GPT_ENTRIES)):
-        e = read(at * SECTOR + i * size, min(size, 128))
-        if not e:
+        e = read(at * SECTOR + i * size, 128)
+        if len(e) < 32:
             break
-        if e[:16] == bytes(16):
-            continue
         if len(e) < 56:
             errors.append("GPT entries end early")
             return []
-        first, last, flags = struct.unpack_from("<QQQ", e, 32)
-        if first == 0 or last == 0 or first >= last:
+        first, last, flags = struct.unpack_from("<qqQ", e, 32)
+        if e[:16] == bytes(16) or first <= 0 or last <= 0:
+            continue
+        if first >= last:
+            errors.append(f"GPT entry {i} has no length")
             continue
-        name = e[56:128].decode("utf-16-le", "replace").rstrip("\0") or "Unknown"
-        out.append(_row("GPT", len(out), first, last - first + 1, 0xEE, name, bool(flags & 4)))
+        name = e[56:128].decode("utf-16-le", "replace").rstrip("\0") if len(e) == 128 else ""
+        out.append(_row("GPT", len(out), first, last - first + 1, GPT_TYPE, name or "Unknown", bool(flags & 4)))
     return out
 
 
-def parse(read: Callable[[int, int], bytes]) -> tuple[str, list[dict], list[str]]:
+def parse(read: Reader) -> tuple[str, list[dict], list[str]]:
     """(scheme, partitions, errors) of an image; read(offset, length) gives its bytes, fewer at its end.
 
     Never raises for what an image holds: no boot signature is scheme UNKNOWN. A GPT that gives no partition
-    falls back to the boot record's entries; only the last extended entry is followed.
+    falls back to the boot record's entries, the protective one too. A container of logical partitions isn't a
+    partition itself; only the last one is followed, and logical partitions are numbered from 4 and the number
+    of the other entries on.
     """
     errors: list[str] = []
     sector = read(0, SECTOR)
-    if len(sector) < SECTOR or sector[510:] != b"\x55\xaa":
+    if not _signed(sector):
         return "UNKNOWN", [], ["no boot signature"]
-    entries = _entries(sector)
-    guard, efi = any(e[1] == 0xEE for e in entries), read(SECTOR, 8) == b"EFI PART"
-    if guard or efi:
-        parts = _gpt(read, errors)
-        if parts:
+    entries = _primary(sector, errors)
+    guard = any(e["part_type"] == 0xEE for e in entries)
+    if guard or read(SECTOR, 8) == b"EFI PART":
+        if parts := _gpt(read, errors):
             return ("GPT" if guard else "HYBRID"), parts, errors
-    parts = [_row("MBR", i, lba, n, kind, type_name(kind), boot) for i, kind, lba, n, boot in entries if kind != 0xEE]
-    extended = [e for e in entries if e[1] in EXTENDED]
-    if extended:
-        parts += _extended(read, extended[-1][2], errors)
+        errors.append("no partition in the GPT, the boot record's entries count")
+    parts = [e for e in entries if e["part_type"] not in EXTENDED]
+    for container in [e for e in entries if e["part_type"] in EXTENDED][-1:]:
+        parts += _logical(read, container["start_lba"], 4 + len(parts), errors)
+    if not parts:
+        errors.append("no entry in the boot record")
     return "MBR", parts, errors
 
 
-def partition_tables(spark: SparkSession, readers: dict[str, Callable[[int, int], bytes]]) -> DataFrame:
-    """SCHEMA rows of some images: a row per partition, or one with nulls for an image without any. Reads a few sectors each."""
-    rows = []
-    for image, read in readers.items():
-        scheme, parts, errors = parse(read)
-        for p in parts or [{}]:
-            rows.append((image, scheme, *(p.get(k) for k in ("index", "start_lba", "end_lba", "sector_count", "part_type", "type_name", "is_bootable")), errors))
-    return spark.createDataFrame(rows, SCHEMA)
+def _rows(image: str, read: Reader, size: int) -> list[dict]:
+    """SCHEMA rows of an image: one per partition, or one with nulls for an image without any."""
+    scheme, parts, errors = parse(read)
+    whole = {"image_id": image, "scheme": scheme, "errors": errors, "disk_size_lba": size // SECTOR, "last_used_lba": max((p["end_lba"] for p in parts), default=0)}
+    for p in parts:
+        p |= {"start_offset": p["start_lba"] * SECTOR, "end_offset": (p["end_lba"] + 1) * SECTOR - 1, "size_bytes": p["sector_count"] * SECTOR, "type_code": hex(p["part_type"])}
+    return [{**p, **whole, "scheme": scheme} for p in parts or [{}]]
+
+
+def _batch(rows: list[dict]) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+    fields = [f.split() for f in SCHEMA.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], kinds[k]) for n, k in fields], [n for n, _ in fields])
+
+
+def partition_tables(images: DataFrame) -> DataFrame:
+    """SCHEMA rows of image files (image_id, path), each read in the task that has its row, a few sectors only.
+
+    path: any place that executors can read, as a local path or a URI.
+    """
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for image, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                with open_input(path) as f:
+                    rows += _rows(image, lambda at, n, f=f: f.read_at(max(0, min(n, f.size() - at)), at) if at < f.size() else b"", f.size())
+            yield _batch(rows)
+
+    return images.select("image_id", "path").mapInArrow(run, SCHEMA)
+
+
+def tables_of_blocks(blocks: DataFrame) -> DataFrame:
+    """SCHEMA rows of images that are tables of sectors (image_id, block_id, data).
+
+    Of an image only the first sectors, where a GPT lies, and sectors with a boot signature are brought together.
+    """
+    boot = F.substring("data", 511, 2) == F.lit(b"\x55\xaa")
+    few = blocks.filter((F.col("block_id") < FIRST_SECTORS) | boot).select("image_id", "block_id", "data")
+    size = blocks.groupBy("image_id").agg(F.sum(F.length("data")).cast("long").alias("size"))
+
+    def run(table: pa.Table) -> pa.Table:
+        sectors = dict(zip(table.column("block_id").to_pylist(), table.column("data").to_pylist()))
 
+        def read(at: int, n: int) -> bytes:
+            first, out = at // SECTOR, b""
+            for k in range(first, (at + n - 1) // SECTOR + 1):
+                part = sectors.get(k)
+                out += part or b""
+                if len(part or b"") < SECTOR:
+                    break
+            return out[at - first * SECTOR :][:n]
 
-def file_reader(path: str) -> Callable[[int, int], bytes]:
-    def read(offset: int, length: int) -> bytes:
-        with open(path, "rb") as f:
-            f.seek(offset)
-            return f.read(length)
+        return pa.Table.from_batches([_batch(_rows(table.column("image_id")[0].as_py(), read, table.column("size")[0].as_py()))])
 
-    return read
+    return few.join(size, "image_id").groupBy("image_id").applyInArrow(run, SCHEMA)
 
 
 def maps(tables: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.blockstats import with_features, with_statistics
 from ..functions.labels import entropy_meaning, size_text
 from ..operators import blocks, custody, ml, partitions, regions, report, scoring
-from ..sources.blockimage import blocks_of_text
+from ..sources.blockimage import blocks_of_text, read_images, write_images
+from ..sources.sinks import shared_folder
 from . import sql, synthetic
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +62,38 @@ def r6(c: str, alias: str | None = None):
     return (F.round(c, 6) + 0.0).alias(alias or c)
 
 
+def _images(spark, sf_dir) -> DataFrame:
+    """The images as files, written to the shared folder and read through the image source."""
+    folder = shared_folder(spark, "images")
+    write_images(_blocks(spark, sf_dir).filter("image_id is not null"), folder)
+    return read_images(spark, folder)
+
+
+_BYTES = "SELECT image_id, block_id, block_id * 512 AS \"offset\", length(hx) // 2 AS n_bytes, sha256(unhex(hx)) AS sha256 FROM img"
+
+
+def _hashed(b: DataFrame) -> DataFrame:
+    return b.select(*KEYS, "offset", F.length("data").cast("long").alias("n_bytes"), F.sha2("data", 256).alias("sha256"))
+
+
+@query(sql.with_(sql.IMAGES, _BYTES))
+def image_scan(spark, sf_dir):
+    """Every block of the image files."""
+    return _hashed(_images(spark, sf_dir))
+
+
+@query(sql.with_(sql.IMAGES, f"{_BYTES} WHERE block_id BETWEEN 480 AND 519"))
+def image_range(spark, sf_dir):
+    """A range of blocks; the range is the operator's, and is pushed down to the byte ranges that are read."""
+    return _hashed(_images(spark, sf_dir).filter("block_id between 480 and 519"))
+
+
+@query(sql.with_(sql.IMAGES, f"{_BYTES} WHERE block_id = 499 AND image_id = 'img0'"))
+def image_block(spark, sf_dir):
+    """One block of one image, whose bytes alone are read."""
+    return _hashed(_images(spark, sf_dir).filter("block_id = 499 and image_id = 'img0'"))
+
+
 _S = lambda cols: sql.with_(sql.STATS, f"SELECT image_id, block_id, {cols} FROM lb")
 
 
@@ -342,6 +375,32 @@ def offset_context(spark, sf_dir):
     return partitions.offset_context(synthetic.placed(e).select("image_id", "offset"), tables)
 
 
+def _tables(spark, sf_dir) -> DataFrame:
+    shown = ["image_id", "scheme", "index", "start_lba", "end_lba", "sector_count", "part_type", "type_name", "is_bootable", "start_offset", "end_offset", "type_code"]
+    return partitions.tables_of_blocks(synthetic.disks(events(spark, sf_dir))).filter("start_lba is not null").select(*shown)
+
+
+@query(sql.with_(sql.DISKS, sql.PARTS))
+def partition_entries(spark, sf_dir):
+    return _tables(spark, sf_dir)
+
+
+@query(sql.with_(sql.DISKS, f"{sql.PARTS} WHERE scheme = 'MBR' AND idx >= 4"))
+def extended_chain(spark, sf_dir):
+    return _tables(spark, sf_dir).filter("scheme = 'MBR' and index >= 4")
+
+
+@query(sql.with_(sql.DISKS, f"{sql.PARTS} WHERE scheme <> 'MBR'"))
+def gpt_entries(spark, sf_dir):
+    return _tables(spark, sf_dir).filter("scheme <> 'MBR'")
+
+
+@query(sql.with_(sql.DISKS, "SELECT 'disk' || d::VARCHAR AS image_id, scheme, partitions, last_used_lba, disk_size_lba::BIGINT AS disk_size_lba FROM mp"))
+def partition_maps(spark, sf_dir):
+    t = partitions.tables_of_blocks(synthetic.disks(events(spark, sf_dir)))
+    return t.groupBy("image_id", "scheme").agg(F.count("start_lba").alias("partitions"), F.max("last_used_lba").alias("last_used_lba"), F.max("disk_size_lba").alias("disk_size_lba"))
+
+
 @query(sql.with_(f"{sql.LABELLED}, {sql.BLOCKS_}", "SELECT image_id, total_blocks, suspicious_blocks, round(100 * suspicious_blocks / total_blocks, 4) AS suspicious_pct, round(avg_entropy_flagged, 6) AS avg_entropy_flagged FROM bs"))
 def suspicious_stats(spark, sf_dir):
     s = scoring.block_stats(_labelled(spark, sf_dir))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .synthetic import LAYOUT
+from .synthetic import AT, DISK, LAYOUT, SECTOR
 
 R = lambda n: " || ".join(f"upper(sha256(event_id::VARCHAR || ':{i}'))" for i in range(n))
 TEXT = "substr(repeat(upper(hex(encode(event_type || ' ' || user_id::VARCHAR || '; '))), 80), 1, 1024)"
@@ -87,6 +87,33 @@ ENTRIES = """e AS MATERIALIZED (SELECT event_id // 20 AS session_id, event_id %
 CHAIN = f"""WITH RECURSIVE {ENTRIES}, ch AS (SELECT session_id, sequence, ts, et, sha, d, 'GENESIS' AS prev_hash, sha256('GENESIS|' || ts || '|' || et || '|' || sha || '|' || d) AS entry_hash FROM e WHERE sequence = 0
   UNION ALL SELECT e.session_id, e.sequence, e.ts, e.et, e.sha, e.d, ch.entry_hash, sha256(ch.entry_hash || '|' || e.ts || '|' || e.et || '|' || e.sha || '|' || e.d) FROM ch JOIN e ON e.session_id = ch.session_id AND e.sequence = ch.sequence + 1)"""
 
+_B = lambda hx, at, n: "('0x' || " + " || ".join(f"substr({hx}, 2 * ({at} + {i}) + 1, 2)" for i in reversed(range(n))) + ")::BIGINT"
+_SLOT = lambda i: f"{_B('hx', f'446 + 16 * {i}', 1)} AS status, {_B('hx', f'450 + 16 * {i}', 1)} AS kind, {_B('hx', f'454 + 16 * {i}', 4)} AS first, {_B('hx', f'458 + 16 * {i}', 4)} AS n"
+_CHAIN = f"{_B('hx', '450', 1)} AS kind, {_B('hx', '454', 4)} AS first, {_B('hx', '458', 4)} AS n, {_B('hx', '466', 1)} AS link, {_B('hx', '470', 4)} AS step"
+#: Partition tables of the disks, parsed from their bytes: pt has all partitions, mp a row for each disk.
+DISKS = f"""RECURSIVE dk AS MATERIALIZED (SELECT {DISK} AS d, {AT} AS s, coalesce({SECTOR}, repeat('00', 512)) AS hx FROM events),
+rec AS MATERIALIZED (SELECT d, s, hx FROM dk WHERE substr(hx, 1021, 4) = '55AA'), boot AS (SELECT d, hx FROM rec WHERE s = 0),
+sl AS (SELECT d, i, {_SLOT('i')} FROM boot, range(4) t(i)), pr AS (SELECT * FROM sl WHERE kind > 0 AND first > 0 AND n > 0),
+gd AS (SELECT boot.d, coalesce(bool_or(kind = 238), false) AS guard FROM boot LEFT JOIN pr USING (d) GROUP BY boot.d),
+gh AS (SELECT d, {_B('hx', '72', 8)} AS tab, {_B('hx', '80', 4)} AS cnt, {_B('hx', '84', 4)} AS size FROM dk WHERE s = 1 AND substr(hx, 1, 16) = '4546492050415254'),
+ge AS (SELECT gh.d, i, substr(hx, (i * size % 512) * 2 + 1, 256) AS hx FROM gh, range(256) t(i), dk WHERE size >= 128 AND i < cnt AND dk.d = gh.d AND dk.s = tab + i * size // 512),
+gv AS (SELECT d, i, {_B('hx', '32', 8)} AS first, {_B('hx', '40', 8)} AS last, {_B('hx', '48', 8)} AS flags, rtrim(decode(unhex(regexp_replace(substr(hx, 113, 144), '(..)00', '\\1', 'g'))), chr(0)) AS nm
+  FROM ge WHERE d IN (SELECT d FROM boot) AND substr(hx, 1, 32) <> repeat('00', 16)),
+gp AS (SELECT d, row_number() OVER (PARTITION BY d ORDER BY i) - 1 AS idx, first, last, flags, CASE WHEN nm = '' THEN 'Unknown' ELSE nm END AS nm FROM gv WHERE first > 0 AND first < last),
+sc AS (SELECT gd.d, CASE WHEN gd.d IN (SELECT d FROM gp) THEN CASE WHEN guard THEN 'GPT' ELSE 'HYBRID' END ELSE 'MBR' END AS scheme, guard FROM gd),
+main AS (SELECT pr.* FROM pr JOIN sc USING (d) WHERE scheme = 'MBR' AND kind NOT IN (5, 15, 133)),
+con AS (SELECT d, arg_max(first, i) AS base FROM pr WHERE kind IN (5, 15, 133) GROUP BY d),
+ch AS (SELECT d, base, base AS s, [base] AS seen, {_CHAIN} FROM con JOIN rec USING (d) WHERE rec.s = base
+  UNION ALL SELECT c.d, c.base, r.s, list_append(c.seen, r.s), {_CHAIN.replace("hx", "r.hx")} FROM ch c JOIN rec r ON r.d = c.d AND r.s = c.base + c.step WHERE c.link IN (5, 15, 133) AND c.step > 0 AND NOT list_contains(c.seen, r.s)),
+lg AS (SELECT ch.d, 4 + (SELECT count(*) FROM main m WHERE m.d = ch.d) + row_number() OVER (PARTITION BY ch.d ORDER BY len(seen)) - 1 AS idx, s + first AS first, n, kind FROM ch WHERE kind > 0 AND n > 0),
+pt AS (SELECT d, 'MBR' AS scheme, i AS idx, first, first + n - 1 AS last, kind, status = 128 AS boot, NULL::VARCHAR AS nm FROM main UNION ALL SELECT d, 'MBR', idx, first, first + n - 1, kind, false, NULL::VARCHAR FROM lg
+  UNION ALL SELECT d, CASE WHEN guard THEN 'GPT' ELSE 'HYBRID' END, idx, first, last, 255, flags & 4 = 4, nm FROM gp JOIN sc USING (d)),
+mp AS (SELECT x.d, coalesce(any_value(sc.scheme), 'UNKNOWN') AS scheme, count(pt.d) AS partitions, coalesce(max(last), 0) AS last_used_lba, any_value(size) AS disk_size_lba
+  FROM (SELECT d, sum(length(hx)) // 1024 AS size FROM dk GROUP BY d) x LEFT JOIN sc USING (d) LEFT JOIN pt USING (d) GROUP BY x.d)"""
+PARTS = """SELECT 'disk' || d::VARCHAR AS image_id, scheme, idx::INT AS "index", first AS start_lba, last AS end_lba, last - first + 1 AS sector_count, kind::INT AS part_type,
+  coalesce(nm, CASE kind WHEN 7 THEN 'NTFS / exFAT / HPFS' WHEN 11 THEN 'FAT32 (CHS)' WHEN 131 THEN 'Linux' WHEN 238 THEN 'GPT Protective MBR' ELSE 'Unknown (0x' || upper(hex(kind)) || ')' END) AS type_name,
+  boot AS is_bootable, first * 512 AS start_offset, (last + 1) * 512 - 1 AS end_offset, '0x' || lower(ltrim(hex(kind), '0')) AS type_code FROM pt"""
+
 
 def with_(parts: str, select: str) -> str:
     return f"WITH {parts} {select}"

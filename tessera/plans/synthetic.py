@@ -110,3 +110,49 @@ def tampered(log: DataFrame) -> DataFrame:
     edited = F.when(k % 37 == 5, F.concat("description", F.lit("!"))).otherwise(F.col("description"))
     hash_ = F.when(k % 53 == 7, F.lit("0" * 64)).when(k % 101 == 11, "").otherwise(F.col("entry_hash"))
     return log.withColumns({"description": edited, "entry_hash": hash_})
+
+
+def le(x: str, size: int) -> str:
+    """SQL, in Spark's and in DuckDB's dialect, for a number as little-endian hex."""
+    h = f"lpad(hex({x}), {2 * size}, '0')"
+    return "concat(" + ", ".join(f"substr({h}, {2 * (size - i) - 1}, 2)" for i in range(size)) + ")"
+
+
+def _entry(status: str, kind: str, first: str, n: str) -> str:
+    return f"concat('{status}', '000000', '{kind}', '000000', {le(first, 4)}, {le(n, 4)})"
+
+
+def _record(*entries: str) -> str:
+    return f"concat(repeat('00', 446), {', '.join(entries)}, repeat('00', {16 * (4 - len(entries))}), '55AA')"
+
+
+def _gpt_head(size: int) -> str:
+    return f"concat(hex('EFI PART'), repeat('00', 64), {le('2', 8)}, {le('4', 4)}, {le(str(size), 4)}, repeat('00', 424))"
+
+
+def _gpt_entry(first: str, last: str, flags: int, name: str) -> str:
+    wide = "".join(f"{ord(c):02X}00" for c in name)
+    return f"concat(repeat('11', 32), {le(first, 8)}, {le(last, 8)}, {le(str(flags), 8)}, '{wide}', repeat('00', {72 - len(wide) // 2}))"
+
+
+DISK_SECTORS = 100
+DISK, AT = f"cast(floor(event_id / {DISK_SECTORS}) as bigint)", f"(event_id % {DISK_SECTORS})"
+_KIND = f"({DISK} % 5)"
+_GUARD, _PLAIN = _entry("00", "EE", "1", "99"), _entry("80", "07", "5", f"3 + {_KIND}")
+_ENTRIES = f"concat({_gpt_entry('10', '29', 4, 'boot')}, {_gpt_entry('30', '30', 0, 'one')}, {_gpt_entry('40', f'59 + {_KIND}', 0, '')}, repeat('00', 128))"
+#: The hex of sector AT of disk DISK, in SQL of both dialects: no table; primary partitions, one with an odd status; a
+#: chain of logical ones, sometimes with a loop; GPT; GPT without its guard; a GPT with short entries.
+SECTOR = f"""CASE {DISK} % 6
+  WHEN 1 THEN CASE WHEN {AT} = 0 THEN {_record(_entry('80', '07', f'10 + {_KIND}', '20'), _entry('13', '83', '40', f'10 + {_KIND}'))} END
+  WHEN 2 THEN CASE {AT} WHEN 0 THEN {_record(_entry('00', '0B', '3', '20'), _entry('00', '05', '30', '60'))}
+    WHEN 30 THEN {_record(_entry('80', '83', '1', f'5 + {_KIND}'), _entry('00', '05', '15', '20'))}
+    WHEN 45 THEN {_record(_entry('00', '99', '0', '8'), _entry('00', '05', f'15 * ({DISK} % 12 - 2)', '0'))} WHEN 105 THEN '' END
+  WHEN 3 THEN CASE {AT} WHEN 0 THEN {_record(_GUARD)} WHEN 1 THEN {_gpt_head(128)} WHEN 2 THEN {_ENTRIES} END
+  WHEN 4 THEN CASE {AT} WHEN 0 THEN {_record(_PLAIN)} WHEN 1 THEN {_gpt_head(128)} WHEN 2 THEN {_ENTRIES} END
+  WHEN 5 THEN CASE {AT} WHEN 0 THEN {_record(_GUARD, _PLAIN)} WHEN 1 THEN {_gpt_head(64)} WHEN 2 THEN {_ENTRIES} END END"""
+
+
+def disks(events: DataFrame) -> DataFrame:
+    """image_id, block_id, data: disks of DISK_SECTORS sectors with partition tables of all kinds."""
+    data = F.unhex(F.coalesce(F.expr(SECTOR), F.repeat(F.lit("00"), 512)))
+    return events.select(F.concat(F.lit("disk"), F.expr(DISK).cast("string")).alias("image_id"), F.expr(AT).alias("block_id"), data.alias("data"))

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import glob
+import fnmatch
 import hashlib
-import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 BLOCK = 512
 SCHEMA = "image_id string, block_id long, offset long, data binary"
@@ -18,14 +19,56 @@ SCHEMA = "image_id string, block_id long, offset long, data binary"
 PARTITION_BYTES, READ_BYTES = 32 << 20, 1 << 20
 
 
+def filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a local path or a URI, and the path in it."""
+    return fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
+
+
+def open_input(path: str):
+    where, at = filesystem(path)
+    return where.open_input_file(at)
+
+
+def image_files(path: str) -> list[tuple[str, str, int]]:
+    """(image id, path, bytes) of a file, of all files below a folder, or of those below a folder that match a last part with * or ?.
+
+    An image's id is its path below the folder, so files of one name in two folders are two images.
+    """
+    where, at = filesystem(path)
+    prefix = path[: len(path) - len(at)]
+    head, _, last = at.rstrip("/").rpartition("/")
+    if any(c in last for c in "*?"):
+        found = [f for f in where.get_file_info(fs.FileSelector(head)) if fnmatch.fnmatchcase(f.base_name, last)]
+        root = head
+    else:
+        info = where.get_file_info(at)
+        if info.type == fs.FileType.NotFound:
+            raise FileNotFoundError(path)
+        root = head if info.type == fs.FileType.File else at.rstrip("/")
+        found = [info] if info.type == fs.FileType.File else where.get_file_info(fs.FileSelector(at, recursive=True))
+    files = sorted((f.path[len(root) :].lstrip("/"), prefix + f.path, f.size) for f in found if f.type == fs.FileType.File)
+    if not files:
+        raise FileNotFoundError(path)
+    return files
+
+
+def part_of(image: str) -> tuple[str, int]:
+    """(image id, first block) of a file: a split image is a folder of files <first block>.part."""
+    folder, _, name = image.rpartition("/")
+    return (folder, int(name[:-5])) if folder and name.endswith(".part") and name[:-5].isdigit() else (image, 0)
+
+
 class ByteRange(InputPartition):
-    def __init__(self, path: str, first: int, last: int):
-        self.path, self.first, self.last = path, first, last
+    """Blocks first to last of an image, from a file that begins with block begin."""
+
+    def __init__(self, image: str, path: str, begin: int, first: int, last: int):
+        self.image, self.path, self.begin, self.first, self.last = image, path, begin, first, last
 
 
 class BlockImageSource(DataSource):
-    """Options: path (a file, a folder or a glob on a disk that all executors see), start_block and end_block
-    (inclusive), block_size, partition_bytes. The last block of an image may be short; an empty image has none."""
+    """Options: path (see image_files; a place that all executors can read), start_block and end_block
+    (inclusive), block_size, partition_bytes. The last block of an image may be short; an empty image has none.
+    Filters on block_id and image_id decide which byte ranges are read."""
 
     @classmethod
     def name(cls) -> str:
@@ -45,55 +88,107 @@ class BlockImageReader(DataSourceReader):
         self.start = int(options.get("start_block", 0))
         self.end = int(options["end_block"]) if "end_block" in options else None
         self.part = int(options.get("partition_bytes", PARTITION_BYTES))
+        self.images: set[str] | None = None
         if self.start < 0 or self.size < 1:
             raise ValueError("start_block and block_size must be positive")
 
+    def _between(self, first: int | None, last: int | None) -> None:
+        if first is not None:
+            self.start = max(self.start, first)
+        if last is not None:
+            self.end = last if self.end is None else min(self.end, last)
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Narrows the ranges; filters that ranges express in full aren't applied again."""
+        for f in filters:
+            column = getattr(f, "attribute", None)
+            if column == ("block_id",) and isinstance(f, EqualTo):
+                self._between(f.value, f.value)
+            elif column == ("block_id",) and isinstance(f, GreaterThan | GreaterThanOrEqual):
+                self._between(f.value + isinstance(f, GreaterThan), None)
+            elif column == ("block_id",) and isinstance(f, LessThan | LessThanOrEqual):
+                self._between(None, f.value - isinstance(f, LessThan))
+            elif column == ("image_id",) and isinstance(f, EqualTo | In):
+                own = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.images = own if self.images is None else self.images & own
+            else:
+                yield f
+
     def partitions(self) -> list[ByteRange]:
-        path = self.path
-        files = sorted(f for f in glob.glob(os.path.join(path, "*")) if os.path.isfile(f)) if os.path.isdir(path) else sorted(glob.glob(path))
-        if not files:
-            raise FileNotFoundError(path)
         step, out = max(1, self.part // self.size), []
-        for f in files:
-            last = -(-os.path.getsize(f) // self.size) - 1
-            last = last if self.end is None else min(last, self.end)
-            out += [ByteRange(f, a, min(a + step - 1, last)) for a in range(self.start, last + 1, step)]
-        return out
+        for file, path, size in image_files(self.path):
+            image, begin = part_of(file)
+            if self.images is None or image in self.images:
+                last = begin - (-size // self.size) - 1
+                last = last if self.end is None else min(last, self.end)
+                out += [ByteRange(image, path, begin, a, min(a + step - 1, last)) for a in range(max(self.start, begin), last + 1, step)]
+        return out or [ByteRange("", "", 0, 0, -1)]
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        image, per = os.path.basename(partition.path), max(1, READ_BYTES // self.size)
-        with open(partition.path, "rb") as f:
-            f.seek(partition.first * self.size)
+        per = max(1, READ_BYTES // self.size)
+        if partition.last < partition.first:
+            return
+        with open_input(partition.path) as f:
             for a in range(partition.first, partition.last + 1, per):
-                n = min(per, partition.last + 1 - a)
-                data = f.read(n * self.size)
-                blocks = [data[i : i + self.size] for i in range(0, len(data), self.size)]
-                ids = range(a, a + len(blocks))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([image] * len(blocks)), pa.array(ids, pa.int64()), pa.array([i * self.size for i in ids], pa.int64()), pa.array(blocks, pa.binary())],
-                    ["image_id", "block_id", "offset", "data"],
-                )
+                at = (a - partition.begin) * self.size
+                data = f.read_at(min(per * self.size, (partition.last + 1 - a) * self.size, f.size() - at), at)
+                n = -(-len(data) // self.size)
+                ids = np.arange(a, a + n)
+                ends = np.minimum(np.arange(n + 1) * self.size, len(data)).astype(np.int32)
+                blocks = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(data)])
+                image = pa.DictionaryArray.from_arrays(np.zeros(n, np.int32), [partition.image]).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([image, pa.array(ids, pa.int64()), pa.array(ids * self.size, pa.int64()), blocks], ["image_id", "block_id", "offset", "data"])
 
 
 def read_images(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Blocks of images; filters on block_id and image_id are pushed down to the byte ranges."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(BlockImageSource)
     return spark.read.format("blockimage").options(**{k: str(v) for k, v in options.items()}).load(path)
 
 
+def write_images(blocks: DataFrame, folder: str, size: int = BLOCK) -> None:
+    """Blocks (image_id, block_id, data; of one size but for the last of an image) as image files in folder.
+
+    A task writes a stretch of an image as a file of its own, <image_id>/<first block>.part, in order of blocks; the
+    source reads these as one image.
+    """
+
+    def run(batches):
+        where, at = filesystem(folder)
+        out, now, next_ = None, None, None
+        for b in batches:
+            for image, k, data in zip(*(b.column(c).to_pylist() for c in ("image_id", "block_id", "data"))):
+                if (image, k) != (now, next_):
+                    if out:
+                        out.close()
+                    where.create_dir(f"{at}/{image}", recursive=True)
+                    out, now = where.open_output_stream(f"{at}/{image}/{k:012d}.part", compression=None), image
+                out.write(data)
+                next_ = k + 1
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+        if out:
+            out.close()
+
+    rows = blocks.select("image_id", "block_id", "data").repartitionByRange("image_id", "block_id").sortWithinPartitions("image_id", "block_id")
+    rows.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
 def read_block(path: str, block_id: int, size: int = BLOCK) -> bytes:
     """One block of an image, by a seek; IndexError beyond its end or below 0."""
-    with open(path, "rb") as f:
-        f.seek(max(block_id, 0) * size)
-        data = f.read(size)
-    if block_id < 0 or not data:
-        raise IndexError(block_id)
-    return data
+    with open_input(path) as f:
+        if block_id < 0 or block_id * size >= f.size():
+            raise IndexError(block_id)
+        return f.read_at(min(size, f.size() - block_id * size), block_id * size)
 
 
 def hash_file(path: str) -> str:
     """SHA-256 of a whole file; sequential by nature."""
-    with open(path, "rb") as f:
-        return hashlib.file_digest(f, "sha256").hexdigest()
+    with open_input(path) as f:
+        h = hashlib.sha256()
+        while data := f.read(READ_BYTES):
+            h.update(data)
+        return h.hexdigest()
 
 
 def blocks_of_text(docs: DataFrame, size: int = BLOCK) -> DataFrame:

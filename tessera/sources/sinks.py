@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share; with a local master a local one where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-tessera-")
+    return f"{root.rstrip('/')}/tessera/{what}-{uuid.uuid4().hex}"
+
+
 def result_documents(scores: DataFrame, regions: DataFrame, reports: DataFrame, custody: DataFrame | None = None) -> DataFrame:
     """image_id, document: the public JSON result of each image, without its blocks, which are a table of their own."""
     r = regions.groupBy("image_id").agg(

@@ -122,6 +122,26 @@ def test_image_source(spark, tmp_path):
         blockimage.read_images(spark, str(tmp_path / "nothing.img")).count()
 
 
+def test_images_of_one_name_and_pushed_filters(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "disk.img").write_bytes(rand(folder, 512 * 40))
+    df = blockimage.read_images(spark, str(tmp_path), partition_bytes=512 * 4)
+    assert {(r.image_id, r["count"]) for r in df.groupBy("image_id").count().collect()} == {("a/disk.img", 40), ("b/disk.img", 40)}
+    some = df.filter("block_id >= 5 and block_id < 9 and image_id = 'b/disk.img'")
+    assert sorted(r.block_id for r in some.collect()) == [5, 6, 7, 8] and some.rdd.getNumPartitions() == 1
+    assert df.filter("block_id = 11").rdd.getNumPartitions() == 2 and df.filter("block_id = 99").count() == 0
+    assert df.filter("image_id in ('a/disk.img', 'x') and block_id > 37").count() == 2
+
+
+def test_split_images(spark, tmp_path):
+    rows = [(i, k, k * 512, rand(f"{i}{k}", 512 if (i, k) != ("y", 29) else 77)) for i in "xy" for k in range(30)]
+    blockimage.write_images(spark.createDataFrame(rows, BLOCKS).repartition(5), f"file://{tmp_path}/out")
+    df = blockimage.read_images(spark, f"file://{tmp_path}/out")
+    assert sorted((r.image_id, r.block_id, r.offset, bytes(r.data)) for r in df.collect()) == rows
+    assert [r.block_id for r in df.filter("block_id between 7 and 9 and image_id = 'y'").orderBy("block_id").collect()] == [7, 8, 9]
+
+
 def test_override_matrix(spark):
     rows = [("RANDOM_WIPE", "NORMAL", 0.7, True), ("RANDOM_WIPE", "NORMAL", 0.69, False), ("NORMAL", "MULTI_PASS", 0.9, True), ("LIKELY_FF_WIPE", "NORMAL", 0.8, True), ("ZERO_WIPE", "NORMAL", 0.99, False), ("NORMAL", "NORMAL", 0.99, False)]
     df = spark.createDataFrame(rows, "base string, ml string, c double, expected boolean")

@@ -39,12 +39,16 @@ def test_boot_records():
 
 def test_extended_chains():
     sectors = {0: mbr((0, 0x05, 1000, 900)), 1000: mbr((0, 0x83, 1, 50), (0, 0x05, 100, 60)), 1100: mbr((0, 0x07, 1, 20))}
-    _, parts, _ = partitions.parse(disk(sectors))
-    assert [(p["index"], p["start_lba"]) for p in parts] == [(0, 1000), (4, 1001), (5, 1101)]
-    loop = sectors | {1100: mbr((0, 0x07, 1, 20), (0, 0x05, 100, 60))}
-    assert len(partitions.parse(disk(loop))[1]) == 3
+    _, parts, _ = partitions.parse(disk(sectors))  # the container is no partition itself
+    assert [(p["index"], p["start_lba"]) for p in parts] == [(4, 1001), (5, 1101)]
+    _, parts, _ = partitions.parse(disk(sectors | {0: mbr((0, 7, 63, 9), (0, 0x05, 1000, 900))}))
+    assert [(p["index"], p["start_lba"], p["is_bootable"]) for p in parts] == [(0, 63, False), (5, 1001, False), (6, 1101, False)]
+    loop = sectors | {1100: mbr((0x80, 0x07, 0, 20), (0, 0x05, 100, 0))}  # a start of 0 and a link without a count are valid
+    assert [(p["start_lba"], p["is_bootable"]) for p in partitions.parse(disk(loop))[1]] == [(1001, False), (1100, False)]
     _, parts, errors = partitions.parse(disk(sectors | {1100: mbr(sign=False)}))
-    assert len(parts) == 2 and errors
+    assert len(parts) == 1 and errors
+    twice = {0: mbr((0, 5, 100, 9), (0, 15, 1000, 900)), 1000: mbr((0, 0x83, 1, 50))}  # the last container is followed
+    assert [p["start_lba"] for p in partitions.parse(disk(twice))[1]] == [1001]
 
 
 def test_gpt():
@@ -56,11 +60,33 @@ def test_gpt():
     small = bytearray(small)
     struct.pack_into("<I", small, 84, 64)
     scheme, parts, errors = partitions.parse(disk({0: mbr((0, 0xEE, 1, 9), (0, 7, 63, 9)), 1: bytes(small), 2: body2}))
-    assert scheme == "MBR" and len(parts) == 1 and errors
+    assert scheme == "MBR" and [p["part_type"] for p in parts] == [0xEE, 7] and errors  # the guard counts here
+    _, parts, errors = partitions.parse(disk({0: mbr((0x11, 7, 5, 9))}))
+    assert len(parts) == 1 and any("0x11" in e for e in errors)
+
+
+def sectors_of(spark, images, size=4000):
+    rows = [(i, k, s[:512].ljust(512, b"\0")) for i, sectors in images.items() for k, s in ({j: b"" for j in range(size)} | {k + j: x[512 * j : 512 * j + 512] for k, x in sectors.items() for j in range(-(-len(x) // 512))}).items()]
+    return spark.createDataFrame(rows, "image_id string, block_id long, data binary")
+
+
+def test_tables_of_files_and_of_blocks(spark, tmp_path):
+    head, body = gpt([(100, 199, 4, "boot"), (400, 900, 0, "")])
+    images = {"a": {0: mbr((0, 7, 100, 100), (0, 5, 300, 100)), 300: mbr((0, 0x83, 1, 50), (0, 5, 20, 9)), 320: mbr((0, 0x83, 2, 5))}, "g": {0: mbr((0, 0xEE, 1, 3999)), 1: head, 2: body}, "raw": {}}
+    for name, sectors in images.items():
+        (tmp_path / name).write_bytes(disk(sectors)(0, 4000 * 512))
+    (tmp_path / "short").write_bytes(b"abc")
+    files = partitions.partition_tables(spark.createDataFrame([(n, str(tmp_path / n)) for n in [*images, "short"]], "image_id string, path string"))
+    got = sorted(map(str, files.filter("image_id <> 'short'").collect()))
+    assert got == sorted(map(str, partitions.tables_of_blocks(sectors_of(spark, images)).collect())) and len(got) == 6
+    r = files.filter("image_id = 'a' and index = 6").first()
+    assert (r.start_lba, r.end_offset, r.size_bytes, r.type_code, r.last_used_lba, r.disk_size_lba) == (322, 327 * 512 - 1, 5 * 512, "0x83", 350, 4000)
+    assert files.filter("image_id in ('raw', 'short')").select("scheme", "start_lba", "last_used_lba").distinct().collect() == [("UNKNOWN", None, 0)]
+    assert partitions.partition_tables(spark.createDataFrame([], "image_id string, path string")).count() == 0
 
 
 def test_offsets(spark):
-    tables = partitions.partition_tables(spark, {"a": disk({0: mbr((0, 7, 100, 100), (0, 7, 300, 100))}), "raw": disk({})})
+    tables = partitions.tables_of_blocks(sectors_of(spark, {"a": {0: mbr((0, 7, 100, 100), (0, 7, 300, 100))}, "raw": {}}, 500))
     rows = [("a", 0), ("a", 250 * 512), ("a", 400 * 512 - 1), ("a", 400 * 512), ("raw", 5), ("none", 5)]
     got = {(r.image_id, r.offset): r.context for r in partitions.offset_context(spark.createDataFrame(rows, "image_id string, offset long"), tables).collect()}
     assert [got[k] for k in rows] == ["INSIDE_PARTITION"] * 3 + ["BEYOND_BOUNDARY", "UNKNOWN", "UNKNOWN"]
