@@ -63,13 +63,13 @@ def r6(c: str, alias: str | None = None):
 
 
 def _images(spark, sf_dir) -> DataFrame:
-    """The images as files, written to the shared folder and read through the image source."""
+    """The images as files, short blocks filled up with zeros, written to the shared folder and read through the image source."""
     folder = shared_folder(spark, "images")
-    write_images(_blocks(spark, sf_dir).filter("image_id is not null"), folder)
+    write_images(_blocks(spark, sf_dir).withColumn("data", F.expr("rpad(data, 512, X'00')")), folder)
     return read_images(spark, folder)
 
 
-_BYTES = "SELECT image_id, block_id, block_id * 512 AS \"offset\", length(hx) // 2 AS n_bytes, sha256(unhex(hx)) AS sha256 FROM img"
+_BYTES = "SELECT image_id, block_id, block_id * 512 AS \"offset\", 512::BIGINT AS n_bytes, sha256(unhex(rpad(hx, 1024, '0'))) AS sha256 FROM img"
 
 
 def _hashed(b: DataFrame) -> DataFrame:
