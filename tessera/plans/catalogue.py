@@ -184,7 +184,7 @@ _FE = """sub AS (SELECT image_id, block_id, n, i, b FROM bt), ent AS (SELECT ima
 
 
 def _features(spark, sf_dir, names: dict[str, int]) -> DataFrame:
-    x = with_features(_blocks(spark, sf_dir))
+    x = with_features(_blocks(spark, sf_dir), list(names.values()))
     return x.select(*KEYS, *((F.round(F.col("features")[i], 5) + 0.0).alias(n) for n, i in names.items()))
 
 
@@ -237,6 +237,20 @@ def spectral_features(spark, sf_dir):
     return _features(spark, sf_dir, {"f16": 15, "f17": 16, "f18": 17, "f19": 18})
 
 
+@query(
+    sql.with_(
+        f"""{sql.IMAGES}, sq AS (SELECT image_id, block_id, i, b, any_value(n) OVER (PARTITION BY image_id, block_id) AS n, lag(b) OVER w AS b0 FROM bt WINDOW w AS (PARTITION BY image_id, block_id ORDER BY i)),
+        gr AS (SELECT *, sum(CASE WHEN b0 IS NULL OR b0 <> b THEN 1 ELSE 0 END) OVER (PARTITION BY image_id, block_id ORDER BY i) AS g, sum(CASE WHEN b0 IS NULL OR (b0 BETWEEN 32 AND 126) <> (b BETWEEN 32 AND 126) THEN 1 ELSE 0 END) OVER (PARTITION BY image_id, block_id ORDER BY i) AS p FROM sq),
+        rn AS (SELECT image_id, block_id, max(c) AS longest, count(*) AS runs, sum(c) AS n FROM (SELECT image_id, block_id, g, count(*) AS c FROM gr GROUP BY ALL) GROUP BY ALL),
+        pr AS (SELECT image_id, block_id, coalesce(max(c) FILTER (t), 0) AS printable FROM (SELECT image_id, block_id, p, count(*) AS c, any_value(b BETWEEN 32 AND 126) AS t FROM gr GROUP BY ALL) GROUP BY ALL),
+        mg AS (SELECT image_id, block_id, bool_or(i < 16 AND b IN (80, 75, 31, 139, 255, 216, 137, 37, 127, 69, 77, 90, 82, 97, 253, 55, 66)) AS magic FROM bt GROUP BY ALL)""",
+        "SELECT image_id, block_id, round(least(n / runs / 8, 1), 5) AS f14, round(least(longest / 50, 1), 5) AS f15, round(least(printable / 128, 1), 5) AS f20, magic::INT::DOUBLE AS f21 FROM rn JOIN pr USING (image_id, block_id) JOIN mg USING (image_id, block_id)",
+    )
+)
+def run_features(spark, sf_dir):
+    return _features(spark, sf_dir, {"f14": 13, "f15": 14, "f20": 19, "f21": 20})
+
+
 _NEAR = f"""{sql.LABELLED}, nb AS (SELECT *, max(susp::INT) OVER (PARTITION BY image_id ORDER BY block_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM lab)"""
 
 
