@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 GENESIS = "GENESIS"
 
@@ -33,49 +37,62 @@ def entry_hash(prev: Column, ts: Column, event: Column, sha: Column, description
     return F.sha2(F.concat_ws("|", prev, ts, event, F.coalesce(F.nullif(sha, F.lit("")), F.lit("NULL")), description), 256)
 
 
-def chained(entries: DataFrame) -> DataFrame:
-    """entries (session_id, sequence, timestamp_utc, event_type, sha256_evidence, description) with prev_hash and entry_hash.
+def _hash(prev: str, ts, event, sha, description) -> str:
+    """entry_hash of values; what is null is left out, as concat_ws does."""
+    parts = [x for x in (prev, ts, event, sha or "NULL", description) if x is not None]
+    return hashlib.sha256("|".join(parts).encode()).hexdigest()
+
+
+HASHED = ["timestamp_utc", "event_type", "sha256_evidence", "description"]
+
+
+def _folded(entries: DataFrame, added: list[str], step) -> DataFrame:
+    """entries with columns of text added by a fold over each session's entries in order of sequence.
 
-    A chain is sequential: each session's entries, which are few, are folded in one row; sessions run in parallel.
+    step(state, row) gives the new state and the values; state is null at a session's first entry. Each session's
+    entries pass through one task in order, a batch at a time: a chain is sequential, but no session is held whole.
     """
-    e = F.struct("sequence", "timestamp_utc", "event_type", "sha256_evidence", "description")
-    log = entries.groupBy("session_id").agg(F.array_sort(F.collect_list(e)).alias("log"))
+    names = entries.columns
+    schema = StructType([*entries.schema.fields, *(StructField(c, StringType()) for c in added)])
 
-    empty = F.expr(
-        "cast(array() as array<struct<sequence:bigint,timestamp_utc:string,event_type:string,sha256_evidence:string,description:string,prev_hash:string,entry_hash:string>>)"
-    )
-    log = log.select("session_id", F.aggregate("log", empty, _step).alias("log"))
-    return log.select("session_id", F.inline("log"))
+    def run(batches):
+        now, state, begun = None, None, False
+        for b in batches:
+            sessions, out = b.column("session_id").to_pylist(), []
+            for session, *row in zip(sessions, *(b.column(c).to_pylist() for c in [*HASHED, *(["entry_hash"] if "entry_hash" in names else [])])):
+                if session != now or not begun:
+                    now, state, begun = session, None, True
+                state, values = step(state, row)
+                out.append(values)
+            columns = list(zip(*out)) if out else [()] * len(added)
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, pa.string()) for c in columns)], [*b.schema.names, *added])
 
+    return entries.repartition("session_id").sortWithinPartitions("session_id", "sequence").mapInArrow(run, schema)
 
-def _step(done: Column, x: Column) -> Column:
-    prev = F.coalesce(F.try_element_at(done, F.lit(-1))["entry_hash"], F.lit(GENESIS))
-    new = entry_hash(prev, x["timestamp_utc"], x["event_type"], x["sha256_evidence"], x["description"])
-    fields = [x[c].alias(c) for c in ("timestamp_utc", "event_type", "sha256_evidence", "description")]
-    return F.concat(done, F.array(F.struct(x["sequence"].cast("long").alias("sequence"), *fields, prev.alias("prev_hash"), new.alias("entry_hash"))))
+
+def chained(entries: DataFrame) -> DataFrame:
+    """entries (session_id, sequence, timestamp_utc, event_type, sha256_evidence, description) with prev_hash and entry_hash."""
+
+    def step(prev, row):
+        prev = prev or GENESIS
+        new = _hash(prev, *row)
+        return new, (prev, new)
+
+    return _folded(entries.select("session_id", F.col("sequence").cast("long").alias("sequence"), *HASHED), ["prev_hash", "entry_hash"], step)
 
 
 def verified(log: DataFrame) -> DataFrame:
     """log with expected_hash and broken, each entry against the recorded hash of the one before it.
 
-    A blank recorded hash is replaced by the expected one for the next entry, along runs of blank ones too. As
-    in chained, each session's entries are folded in one row.
+    A blank recorded hash is replaced by the expected one for the next entry, along runs of blank ones too.
     """
-    names = [c for c in log.columns if c != "session_id"]
-    kinds = {f.name: f.dataType.simpleString() for f in log.schema}
-    own = F.struct("sequence", F.struct(*names).alias("row"))
-    folded = log.groupBy("session_id").agg(F.array_sort(F.collect_list(own)).alias("log"))
-    empty = F.expr(f"cast(array() as array<struct<row:struct<{','.join(f'`{c}`:{kinds[c]}' for c in names)}>,expected_hash:string,next:string>>)")
-    folded = folded.select("session_id", F.explode(F.aggregate("log", empty, _verify_step)).alias("x"))
-    out = folded.select("session_id", "x.row.*", "x.expected_hash").select(*log.columns, "expected_hash")
-    return out.withColumn("broken", ~F.col("entry_hash").eqNullSafe(F.col("expected_hash")))
 
+    def step(prev, row):
+        *row, recorded = row
+        expected = _hash(prev or GENESIS, *row)
+        return recorded or expected, (expected,)
 
-def _verify_step(done: Column, x: Column) -> Column:
-    r = x["row"]
-    prev = F.coalesce(F.try_element_at(done, F.lit(-1))["next"], F.lit(GENESIS))
-    expected = entry_hash(prev, r["timestamp_utc"], r["event_type"], r["sha256_evidence"], r["description"])
-    return F.concat(done, F.array(F.struct(r.alias("row"), expected.alias("expected_hash"), F.coalesce(F.nullif(r["entry_hash"], F.lit("")), expected).alias("next"))))
+    return _folded(log, ["expected_hash"], step).withColumn("broken", ~F.col("entry_hash").eqNullSafe(F.col("expected_hash")))
 
 
 def violations(log: DataFrame) -> DataFrame:
@@ -84,6 +101,14 @@ def violations(log: DataFrame) -> DataFrame:
     return v.withColumn("is_intact", F.col("violations") == 0)
 
 
+def report_of(log: DataFrame) -> DataFrame:
+    """session_id, is_intact, messages: one text for each broken entry, in order."""
+    text = F.when(F.col("broken"), F.concat(F.lit("entry "), F.col("sequence").cast("string"), F.lit(" ("), F.coalesce("event_type", F.lit("")), F.lit(") has another hash than follows from the entry before it")))
+    v = verified(log).withColumn("text", text)
+    rows = F.array_sort(F.collect_list(F.when(F.col("broken"), F.struct("sequence", "text"))))
+    return v.groupBy("session_id").agg(rows.alias("rows")).select("session_id", (F.size("rows") == 0).alias("is_intact"), F.col("rows.text").alias("messages"))
+
+
 def summary(log: DataFrame) -> DataFrame:
     """A row per session: its events in order and its last hash."""
     e = F.array_sort(F.collect_list(F.struct("sequence", "timestamp_utc", "event_type", "description", "entry_hash")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import TYPES, entropy_meaning, region_bounds
@@ -16,6 +16,7 @@ SIGNATURES = {
     "LIKELY_ZERO_WIPE": (["Interrupted zero-fill", "Partial wipe", "TRIM-affected sectors"], "Partial evidence — incomplete overwrite"),
     "LIKELY_FF_WIPE": (["Interrupted FF-fill", "Flash device residue"], "Partial evidence — incomplete overwrite"),
 }
+# Tools by mix of types.
 ATTRIBUTION = {
     "multi": ["DBAN (Gutmann/DoD mode)", "shred -n 3+", "Blancco", "Eraser"],
     "random and zero": ["shred (multi-pass)", "DoD 5220.22-M wiper", "sdelete -p"],
@@ -40,16 +41,24 @@ LAST_ACTION = ("LOW", "Evidence Hash Verification")
 TOP_REGIONS = 20
 
 
-def types_ranked(stats: DataFrame) -> DataFrame:
-    """image_id, rank, type, block_count, tools (sorted), standard of the types that occur, most blocks first."""
+def _ranked() -> Column:
+    """The types that occur, most blocks first: an array of rank, type, block_count, tools (sorted), standard."""
     rows = F.array(*(F.struct(F.col(f"n_{t}").alias("block_count"), F.lit(-i).alias("place"), F.lit(t).alias("type")) for i, t in enumerate(TYPES)))
     ordered = F.reverse(F.array_sort(F.filter(rows, lambda r: r["block_count"] > 0)))
-    out = stats.select("image_id", F.posexplode(ordered).alias("rank", "r")).select("image_id", (F.col("rank") + 1).alias("rank"), "r.type", "r.block_count")
-    spark = stats.sparkSession
-    known = spark.createDataFrame([(t, sorted(tools), standard) for t, (tools, standard) in SIGNATURES.items()], "type string, tools array<string>, standard string")
-    return out.join(F.broadcast(known), "type", "left").select(  # six rows
-        "image_id", "rank", "type", "block_count", F.coalesce("tools", F.array(F.lit("Unknown"))).alias("tools"), F.coalesce("standard", F.lit("")).alias("standard")
-    )
+    tools = F.create_map(*(x for t, (names, _) in SIGNATURES.items() for x in (F.lit(t), F.array(*map(F.lit, sorted(names))))))
+    standards = F.create_map(*(F.lit(x) for t, (_, standard) in SIGNATURES.items() for x in (t, standard)))
+    return F.transform(
+        ordered,
+        lambda r, i: F.struct(
+            (i + 1).alias("rank"), r["type"].alias("type"), r["block_count"].alias("block_count"),
+            F.coalesce(F.try_element_at(tools, r["type"]), F.array(F.lit("Unknown"))).alias("tools"), F.coalesce(F.try_element_at(standards, r["type"]), F.lit("")).alias("standard"),
+        ),
+    )
+
+
+def types_ranked(stats: DataFrame) -> DataFrame:
+    """image_id, rank, type, block_count, tools (sorted), standard of the types that occur, most blocks first."""
+    return stats.select("image_id", F.inline(_ranked()))
 
 
 def _has(*types: str) -> Column:
@@ -59,22 +68,33 @@ def _has(*types: str) -> Column:
     return out
 
 
-def attribution(stats: DataFrame) -> DataFrame:
-    """image_id, basis, tools (sorted): the tools that the mix of types points to."""
+def _basis() -> Column:
     rnd, zero = _has("RANDOM_WIPE"), _has("ZERO_WIPE")
-    basis = F.when(_has("MULTI_PASS"), "multi").when(rnd & zero, "random and zero").when(rnd, "random").when(zero, "zero").when(_has("FF_WIPE"), "ff").otherwise("none")
+    return F.when(_has("MULTI_PASS"), "multi").when(rnd & zero, "random and zero").when(rnd, "random").when(zero, "zero").when(_has("FF_WIPE"), "ff").otherwise("none")
+
+
+def _tools(basis: Column) -> Column:
     tools = F.create_map(*(x for k, v in ATTRIBUTION.items() for x in (F.lit(k), F.array(*map(F.lit, sorted(v))))))
-    return stats.select("image_id", basis.alias("basis")).select("image_id", "basis", F.coalesce(F.try_element_at(tools, F.col("basis")), F.array().cast("array<string>")).alias("tools"))
+    return F.coalesce(F.try_element_at(tools, basis), F.array().cast("array<string>"))
+
+
+def attribution(stats: DataFrame) -> DataFrame:
+    """image_id, basis, tools (sorted): the tools that the mix of types points to."""
+    return stats.select("image_id", _basis().alias("basis")).withColumn("tools", _tools(F.col("basis")))
+
+
+def _dominant() -> Column:
+    rows = F.array(*(F.struct(F.col(f"n_{t}").alias("n"), F.lit(-i).alias("p"), F.lit(t).alias("t")) for i, t in enumerate(TYPES)))
+    return F.array_max(rows)["t"]
 
 
 def dominant_type(stats: DataFrame) -> DataFrame:
     """image_id, dominant_type by blocks; of equal counts the first key, ZERO_WIPE if all are 0."""
-    rows = F.array(*(F.struct(F.col(f"n_{t}").alias("n"), F.lit(-i).alias("p"), F.lit(t).alias("t")) for i, t in enumerate(TYPES)))
-    return stats.select("image_id", F.array_max(rows)["t"].alias("dominant_type"))
+    return stats.select("image_id", _dominant().alias("dominant_type"))
 
 
-def reliability(scores: DataFrame) -> DataFrame:
-    """image_id, factors, caveats, reliability_level from scores, with the rounding that reports have."""
+def _reliability() -> list[Column]:
+    """factors, caveats and level, with the rounding that reports have."""
     d, h = F.round(F.col("suspicious_blocks") / F.col("total_blocks"), 4), F.round("avg_entropy_flagged", 3)
     factors = F.array_compact(
         F.array(
@@ -87,19 +107,27 @@ def reliability(scores: DataFrame) -> DataFrame:
             F.when((F.col("verdict") == "MEDIUM") & (F.col("regions_count") < 3), "few regions"), F.when(F.col("n_LIKELY_ZERO_WIPE") > F.col("n_ZERO_WIPE"), "partial evidence"),
         )
     )
-    r = scores.select("image_id", factors.alias("factors"), caveats.alias("caveats"))
-    level = F.when((F.size("factors") >= 3) & (F.size("caveats") <= 1), "HIGH").when(F.size("factors") >= 2, "MEDIUM").otherwise("LOW")
-    return r.withColumn("reliability_level", level)
+    level = F.when((F.size(factors) >= 3) & (F.size(caveats) <= 1), "HIGH").when(F.size(factors) >= 2, "MEDIUM").otherwise("LOW")
+    return [factors.alias("factors"), caveats.alias("caveats"), level.alias("reliability_level")]
+
+
+def reliability(scores: DataFrame) -> DataFrame:
+    """image_id, factors, caveats, reliability_level from scores."""
+    return scores.select("image_id", *_reliability())
+
+
+def _actions() -> Column:
+    """The recommended actions of the verdict in order: an array of position, priority, action."""
+    each = lambda rows: F.array(*(F.struct(F.lit(p).alias("priority"), F.lit(a).alias("action"), F.lit(c).alias("needs")) for p, a, c in rows))
+    table = F.create_map(*(x for v, some in ACTIONS.items() for x in (F.lit(v), each([*some, (*LAST_ACTION, "")]))))
+    tools, most = _has("RANDOM_WIPE", "MULTI_PASS"), F.coalesce(F.col("coverage_pct") > 50, F.lit(False))
+    own = F.filter(F.element_at(table, F.col("verdict")), lambda r: (r["needs"] == "") | ((r["needs"] == "tools") & tools) | ((r["needs"] == "most") & most))
+    return F.transform(own, lambda r, i: F.struct((i + 1).alias("position"), r["priority"].alias("priority"), r["action"].alias("action")))
 
 
 def actions(scores: DataFrame) -> DataFrame:
     """image_id, position, priority, action: the recommended actions of each image's verdict, in order."""
-    rows = [(v, i, p, a, c) for v, some in ACTIONS.items() for i, (p, a, c) in enumerate(some)] + [(v, 99, *LAST_ACTION, "") for v in ACTIONS]
-    table = scores.sparkSession.createDataFrame(rows, "verdict string, i int, priority string, action string, needs string")
-    s = scores.select("image_id", "verdict", _has("RANDOM_WIPE", "MULTI_PASS").alias("tools"), (F.col("coverage_pct") > 50).alias("most"))
-    j = s.join(F.broadcast(table), "verdict").filter((F.col("needs") == "") | ((F.col("needs") == "tools") & F.col("tools")) | ((F.col("needs") == "most") & F.col("most")))
-    w = Window.partitionBy("image_id").orderBy("i")  # a dozen rows an image
-    return j.select("image_id", F.row_number().over(w).alias("position"), "priority", "action")
+    return scores.select("image_id", F.inline(_actions()))
 
 
 def top_regions(regions: DataFrame, n: int = TOP_REGIONS) -> DataFrame:
@@ -118,18 +146,61 @@ OPINIONS = {
 }
 
 
-def documents(scores: DataFrame, regions: DataFrame) -> DataFrame:
-    """image_id, report: one JSON document per image with the sections of a report."""
-    opinion = F.create_map(*(F.lit(x) for kv in OPINIONS.items() for x in kv))
+#: What an opinion adds for the kinds of overwriting found, and what every report says of itself.
+REMARKS = {"multi": " Several passes over the same places have hardly another cause than a wiping tool.", "random": " Random content points to a tool that is made to defeat recovery."}
+NOTE = "Made by rules and models alone; an examiner must review it before it is relied on."
+VERSION = "1.0"
+
+
+def _opinion() -> Column:
+    text = F.element_at(F.create_map(*(F.lit(x) for kv in OPINIONS.items() for x in kv)), F.col("verdict"))
+    remark = F.when(F.col("verdict") != "HIGH", "").when(_has("MULTI_PASS"), REMARKS["multi"]).when(_has("RANDOM_WIPE"), REMARKS["random"]).otherwise("")
+    return F.concat(text, remark)
+
+
+def _ml_section() -> Column:
+    """Of the columns blocks_analyzed, overrides, false_positive_reductions, model_version; null where no model was used."""
+    text = F.when(F.col("blocks_analyzed") > 0, F.format_string("A model looked at %d blocks and changed the label of %d, %d of them from suspicious to not.", "blocks_analyzed", "overrides", "false_positive_reductions")).otherwise("No model was applied.")
+    used = F.col("blocks_analyzed").isNotNull()
+    return F.struct(
+        used.alias("available"), F.when(used, F.coalesce("model_version", F.lit("unknown"))).alias("model_version"), "blocks_analyzed", F.col("overrides").alias("total_overrides"),
+        "false_positive_reductions", F.when(used, text).otherwise("No model was used, or its results are missing.").alias("description"),
+    )
+
+
+def documents(scores: DataFrame, regions: DataFrame, model: DataFrame | None = None) -> DataFrame:
+    """image_id, report: one JSON document per image with the sections of a report.
+
+    scores: a row per image, as scoring.score gives; regions: as regions.aggregate gives; model: image_id,
+    blocks_analyzed, overrides, false_positive_reductions (blocks.ml_summary) and model_version, if a model was
+    used. All sections but the regions are made of an image's scores, so scores are read once.
+    """
+    kinds = {"blocks_analyzed": "long", "overrides": "long", "false_positive_reductions": "long", "model_version": "string"}
     t = top_regions(regions).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("id", "type", "bounds", "block_count", "meaning", "confidence"))).alias("regions"))
-    a = actions(scores).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("position", "priority", "action"))).alias("actions"))
-    p = types_ranked(scores).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("rank", "type", "block_count", "tools"))).alias("types"))
-    j = scores.join(t, "image_id", "left").join(a, "image_id", "left").join(p, "image_id", "left").join(reliability(scores), "image_id").join(attribution(scores), "image_id")
+    j = scores.join(t, "image_id", "left")
+    if model is not None:
+        j = j.join(model.select("image_id", *(c if c in model.columns else F.lit(None).cast(k).alias(c) for c, k in kinds.items())), "image_id", "left")
+    else:
+        j = j.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items()})
+    pct, coverage = F.round("suspicious_pct", 2), F.round("coverage_pct", 1)
+    factors, caveats, level = _reliability()
+    largest = F.struct(F.col("largest_region_id").alias("id"), F.col("largest_region_size").alias("size"))
     report = F.struct(
-        F.struct("verdict", "intent_score", F.round("coverage_pct", 1).alias("coverage_pct"), F.element_at(opinion, F.col("verdict")).alias("opinion")).alias("executive_summary"),
-        F.struct("total_blocks", "suspicious_blocks", F.round("suspicious_pct", 2).alias("suspicious_pct"), F.round("avg_entropy_flagged", 3).alias("avg_entropy"), "regions_count", "regions").alias("technical_findings"),
-        F.struct("types", "basis", "tools").alias("pattern_analysis"),
-        F.struct("reliability_level", "factors", "caveats").alias("reliability"),
-        F.col("actions").alias("recommended_actions"),
-    )
+        F.lit(VERSION).alias("report_version"),
+        F.lit(NOTE).alias("note"),
+        F.struct("verdict", "intent_score", coverage.alias("coverage_pct"), "regions_count", _opinion().alias("opinion")).alias("executive_summary"),
+        F.struct(
+            "total_blocks", "suspicious_blocks", pct.alias("suspicious_pct"), F.round("avg_entropy_flagged", 3).alias("avg_entropy"), entropy_meaning(F.col("avg_entropy_flagged")).alias("meaning"),
+            "regions_count", largest.alias("largest_region"), F.round("avg_region_size", 1).alias("avg_region_size"), "regions",
+        ).alias("technical_findings"),
+        F.struct(_ranked().alias("types"), _basis().alias("basis"), _tools(_basis()).alias("tools")).alias("pattern_analysis"),
+        F.struct(level, factors, caveats).alias("reliability"),
+        _ml_section().alias("ml_analysis"),
+        F.struct(_opinion().alias("forensic_opinion"), "intent_score", "verdict", F.lit(NOTE).alias("confidence_note")).alias("conclusions"),
+        _actions().alias("recommended_actions"),
+        F.struct(
+            "intent_score", "verdict", pct.alias("coverage_pct"), F.col("regions_count").alias("regions_found"), pct.alias("suspicious_pct"), _dominant().alias("dominant_type"),
+            _has("MULTI_PASS").alias("has_multi_pass"), _has("RANDOM_WIPE").alias("has_random_wipe"),
+        ).alias("metrics"),
+    )
     return j.select("image_id", F.to_json(report).alias("report"))

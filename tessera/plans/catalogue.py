@@ -173,11 +173,43 @@ def text_blocks(spark, sf_dir):
     return b.join(size, "image_id").select("image_id", "block_id", "blocks_of_image", F.length("data").cast("long").alias("n_bytes"))
 
 
-@query()
+@query(sql.with_(sql.TEXTS, "SELECT wipe_type, count(*) AS blocks FROM lb GROUP BY wipe_type"))
 def text_block_labels(spark, sf_dir):
     return blocks.classify(blocks_of_text(spark.read.parquet(f"{sf_dir}/documents.parquet"))).groupBy("wipe_type").agg(F.count("*").alias("blocks"))
 
 
+def _scan(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Labels and regions of the image files; the labels, which several steps need, are a table."""
+    labels = blocks.classify(_images(spark, sf_dir)).select(*KEYS, "offset", "wipe_type", "entropy", "confidence", "is_suspicious")
+    folder = shared_folder(spark, "labels")
+    labels.write.parquet(folder)
+    labels = spark.read.schema(labels.schema).parquet(folder)
+    return labels, regions.aggregate(labels, synthetic.maps(events(spark, sf_dir)))
+
+
+@query(sql.with_(sql.SCAN_REGIONS, 'SELECT image_id, id, start, "end", type, round(entropy, 6) AS entropy, round(confidence, 3) AS confidence, block_count, boundary_context FROM rg'))
+def scan_regions(spark, sf_dir):
+    """From the bytes of image files to regions."""
+    _, found = _scan(spark, sf_dir)
+    return found.select("image_id", "id", "start", "end", "type", r6("entropy"), F.round("confidence", 3).alias("confidence"), "block_count", "boundary_context")
+
+
+@query(sql.with_(sql.SCAN_SCORES, "SELECT image_id, total_blocks, suspicious_blocks, intent_score, verdict, regions_count, dominant_type FROM t3"))
+def scan_verdict(spark, sf_dir):
+    """From the bytes of image files to scores."""
+    return scoring.score(*_scan(spark, sf_dir)).select("image_id", "total_blocks", "suspicious_blocks", "intent_score", "verdict", "regions_count", "dominant_type")
+
+
+@query(sql.with_(sql.SCAN_SCORES, """SELECT image_id, intent_score, verdict, regions_count AS regions_found, (SELECT arg_max(t, n * 10 - i) FROM (SELECT unnest(['ZERO_WIPE', 'FF_WIPE', 'RANDOM_WIPE', 'MULTI_PASS']) AS t, unnest(["n_ZERO_WIPE", "n_FF_WIPE", "n_RANDOM_WIPE", "n_MULTI_PASS"]) AS n, unnest([0, 1, 2, 3]) AS i)) AS dominant_type,
+"n_MULTI_PASS" > 0 AS has_multi_pass, "n_RANDOM_WIPE" > 0 AS has_random_wipe FROM t3"""))
+def scan_report(spark, sf_dir):
+    """From the bytes of image files to reports; the metrics of each, read back from its JSON."""
+    labels, found = _scan(spark, sf_dir)
+    d = report.documents(scoring.score(labels, found), found)
+    kind = "struct<intent_score:int,verdict:string,regions_found:long,dominant_type:string,has_multi_pass:boolean,has_random_wipe:boolean>"
+    return d.select("image_id", F.from_json(F.get_json_object("report", "$.metrics"), kind).alias("r")).select("image_id", "r.*")
+
+
 _FE = """sub AS (SELECT image_id, block_id, n, i, b FROM bt), ent AS (SELECT image_id, block_id, part, -sum(c / t * log2(c / t)) + 0.0 AS e FROM (
   SELECT *, sum(c) OVER (PARTITION BY image_id, block_id, part) AS t FROM (SELECT image_id, block_id, part, b, count(*) AS c FROM (
     SELECT image_id, block_id, b, unnest(list_filter(['all', CASE WHEN i < 128 THEN 'head' END, CASE WHEN i >= n - 128 THEN 'tail' END, CASE WHEN i % 2 = 0 THEN 'even' ELSE 'odd' END], lambda x: x IS NOT NULL)) AS part FROM sub) GROUP BY ALL)) GROUP BY ALL)"""
@@ -497,7 +529,9 @@ def actions(spark, sf_dir):
 
 @query()
 def report_documents(spark, sf_dir):
-    return report.documents(_scores(spark, sf_dir), _regions(spark, sf_dir))
+    model = blocks.ml_summary(_applied(spark, sf_dir)).withColumn("model_version", F.lit("injected"))
+    found = _regions(spark, sf_dir)
+    return report.documents(scoring.score(_labelled(spark, sf_dir), found), found, model)
 
 
 _GB = "CASE WHEN n < 1024 THEN printf('%.1f B', n::DOUBLE) WHEN n < 1024 ** 2 THEN printf('%.1f KB', n / 1024) WHEN n < 1024 ** 3 THEN printf('%.1f MB', n / 1024 ** 2) WHEN n < 1024 ** 4 THEN printf('%.1f GB', n / 1024 ** 3) ELSE "
@@ -532,7 +566,7 @@ def custody_chain_fold(spark, sf_dir):
 
 @query(
     f"""{sql.CHAIN}, tp AS (SELECT session_id, sequence, ts, et, sha, CASE WHEN (session_id * 20 + sequence) % 37 = 5 THEN d || '!' ELSE d END AS d,
-    CASE WHEN (session_id * 20 + sequence) % 53 = 7 THEN repeat('0', 64) WHEN (session_id * 20 + sequence) % 101 = 11 THEN '' ELSE entry_hash END AS h FROM ch),
+    CASE WHEN (session_id * 20 + sequence) % 53 = 7 THEN repeat('0', 64) WHEN (session_id * 20 + sequence) % 101 IN (11, 12) THEN '' ELSE entry_hash END AS h FROM ch),
     vf AS (SELECT session_id, sequence, h, sha256('GENESIS|' || ts || '|' || et || '|' || sha || '|' || d) AS x FROM tp WHERE sequence = 0
       UNION ALL SELECT t.session_id, t.sequence, t.h, sha256(CASE WHEN vf.h = '' THEN vf.x ELSE vf.h END || '|' || t.ts || '|' || t.et || '|' || t.sha || '|' || t.d) FROM vf JOIN tp t ON t.session_id = vf.session_id AND t.sequence = vf.sequence + 1)
     SELECT session_id, count(*) AS entries, count(*) FILTER (h <> x) AS violations, count(*) FILTER (h <> x) = 0 AS is_intact FROM vf GROUP BY session_id"""

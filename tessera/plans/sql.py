@@ -9,16 +9,17 @@ TEXT = "substr(repeat(upper(hex(encode(event_type || ' ' || user_id::VARCHAR ||
 
 PLACED = "p AS (SELECT *, 'img' || (event_id // 5000)::VARCHAR AS image_id, event_id % 5000 AS block_id, event_id % 500 AS m FROM events)"
 
-IMAGES = f"""{PLACED}, img AS (SELECT image_id, block_id, CASE
+_IMG = f"""img AS (SELECT image_id, block_id, CASE
   WHEN m < 85 OR m BETWEEN 105 AND 124 THEN repeat('00', 512) WHEN m BETWEEN 127 AND 146 THEN repeat('FF', 512)
   WHEN m BETWEEN 150 AND 169 OR m % 11 = 0 THEN {R(16)} WHEN m BETWEEN 190 AND 209 THEN repeat('00', 384) || {R(4)}
   WHEN m BETWEEN 300 AND 319 THEN repeat('FF', 384) || {R(4)} WHEN m BETWEEN 330 AND 334 THEN repeat('00', 502) || substr({R(1)}, 1, 20)
   WHEN m BETWEEN 390 AND 459 THEN repeat('55AA', 256) WHEN m BETWEEN 470 AND 475 THEN repeat('00', 384) || repeat('0102', 64)
-  WHEN m = 499 THEN substr({TEXT}, 1, 600) ELSE {TEXT} END AS hx FROM p),
-bt AS MATERIALIZED (SELECT image_id, block_id, i, length(hx) // 2 AS n, ('0x' || substr(hx, 2 * i + 1, 2))::INT AS b FROM img, range(512) t(i) WHERE 2 * i < length(hx)),
+  WHEN m = 499 THEN substr({TEXT}, 1, 600) ELSE {TEXT} END AS hx FROM p)"""
+_BYTES = """bt AS MATERIALIZED (SELECT image_id, block_id, i, length(hx) // 2 AS n, ('0x' || substr(hx, 2 * i + 1, 2))::INT AS b FROM img, range(512) t(i) WHERE 2 * i < length(hx)),
 h AS MATERIALIZED (SELECT image_id, block_id, n, b, count(*) AS c FROM bt GROUP BY ALL)"""
 
-STATS = f"""{IMAGES}, runs_ AS (SELECT image_id, block_id, string_agg(CASE WHEN b BETWEEN 32 AND 126 THEN 'P' ELSE 'N' END, '' ORDER BY i) AS pn,
+IMAGES = f"{PLACED}, {_IMG}, {_BYTES}"
+_STATS = """runs_ AS (SELECT image_id, block_id, string_agg(CASE WHEN b BETWEEN 32 AND 126 THEN 'P' ELSE 'N' END, '' ORDER BY i) AS pn,
   bool_or(i < 16 AND b IN (80,75,31,139,255,216,137,78,71,37,68,70,127,69,76,77,90,82,97,114,33,253,55,122,88,66,104)) AS magic FROM bt GROUP BY ALL),
 bk AS (SELECT image_id, block_id, max(x) AS max_bucket FROM (SELECT image_id, block_id, b // 32 AS k, sum(c) / any_value(n) AS x FROM h GROUP BY ALL) GROUP BY ALL),
 st AS MATERIALIZED (SELECT image_id, block_id, any_value(n) AS n, -sum(c / n * log2(c / n)) + 0.0 AS entropy, sqrt(greatest(sum((c / n) * (c / n)) - 1 / 256, 0) / 256) AS uniformity,
@@ -40,6 +41,12 @@ lb AS MATERIALIZED (SELECT *, wipe_type <> 'NORMAL' AS is_suspicious, CASE wipe_
   ELSE CASE WHEN zero_ratio >= 0.6 AND zero_ratio < 0.9 OR ff_ratio >= 0.6 AND ff_ratio < 0.9 THEN 0.82 WHEN entropy >= 7.6 THEN CASE WHEN uniformity <= 0.014 THEN 0.72 ELSE 0.87 END
     WHEN entropy > 0.21 AND entropy <= 1.5 THEN 0.82 ELSE 0.90 END END AS confidence FROM cl)"""
 
+STATS = f"{IMAGES}, {_STATS}"
+#: The same for the images as files, whose short blocks are filled up, and for texts cut into blocks.
+FILES = STATS.replace(f"substr({TEXT}, 1, 600)", f"rpad(substr({TEXT}, 1, 600), 1024, '0')")
+_TEXTS = "img AS (SELECT image_id, i AS block_id, substr(hx, 1024 * i + 1, 1024) AS hx FROM (SELECT doc_id::VARCHAR AS image_id, hex(encode(text)) AS hx, unnest(range((length(hex(encode(text))) + 1023) // 1024)) AS i FROM documents))"
+TEXTS = f"{_TEXTS}, {_BYTES}, {_STATS}"
+
 LABEL = "CASE " + " ".join(f"WHEN m BETWEEN {a} AND {z} THEN '{t}'" for a, z, t in LAYOUT) + " ELSE 'NORMAL' END"
 LABELLED = f"""{PLACED}, lab AS MATERIALIZED (SELECT image_id, block_id, {LABEL} AS wipe_type, ((event_id * 7919) % 8000) / 1000 AS entropy, 0.5 + ((event_id * 104729) % 500) / 1000 AS confidence, {LABEL} <> 'NORMAL' AS susp, event_id FROM p)"""
 
@@ -68,6 +75,7 @@ rg AS MATERIALIZED (SELECT image_id, row_number() {_F} AS id, fb * 512 AS start,
     WHEN 'INSIDE_PARTITION' THEN floor(least(confidence0 + 0.04, 1) * 1000 + 0.5) / 1000 ELSE confidence0 END AS confidence FROM bc)"""
 _TYPES = ["ZERO_WIPE", "FF_WIPE", "RANDOM_WIPE", "MULTI_PASS", "LIKELY_ZERO_WIPE", "LIKELY_FF_WIPE", "LOW_ENTROPY_SUSPECT"]
 _N = ", ".join(f"count(*) FILTER (wipe_type = '{t}') AS \"n_{t}\"" for t in _TYPES)
+SCANNED = f"{FILES}, lab AS MATERIALIZED (SELECT image_id, block_id, wipe_type, entropy, confidence, is_suspicious AS susp FROM lb)"
 BLOCKS_ = f"bs AS MATERIALIZED (SELECT image_id, count(*) AS total_blocks, count(*) FILTER (susp) AS suspicious_blocks, coalesce(avg(entropy) FILTER (susp), 0) AS avg_entropy_flagged, {_N} FROM lab GROUP BY image_id)"
 _FILLS = "('ZERO_WIPE', 'FF_WIPE', 'LIKELY_ZERO_WIPE', 'LIKELY_FF_WIPE')"
 SCORES = f"""{REGIONS}, {BLOCKS_}, ry AS (SELECT image_id, type, sum(block_count) AS b, min(id) AS i FROM rg GROUP BY ALL), rt AS (SELECT image_id, arg_max(type, b * 100000 - i) AS dominant_type FROM ry GROUP BY image_id),
@@ -81,6 +89,8 @@ t1 AS (SELECT *, 40 * least(adjusted_density * 10, 1) + 20 * least(effective / 1
   CASE WHEN adjusted_density > 0.3 THEN 3 WHEN adjusted_density > 0.1 THEN 2 WHEN adjusted_density > 0.02 THEN 1 WHEN suspicious_blocks >= 2 THEN 1 ELSE 0 END AS floor_level FROM t0),
 t2 AS (SELECT *, greatest(least(round_even(points - penalty, 0), 100), 0)::INT AS intent_score FROM t1),
 t3 AS MATERIALIZED (SELECT *, ['NEGLIGIBLE', 'LOW', 'MEDIUM', 'HIGH'][greatest(floor_level, CASE WHEN intent_score >= 70 THEN 3 WHEN intent_score >= 35 THEN 2 WHEN intent_score >= 10 THEN 1 ELSE 0 END) + 1] AS verdict, 100 * rb / total_blocks AS coverage_pct FROM t2)"""
+#: Regions and scores of the scanned files.
+SCAN_REGIONS, SCAN_SCORES = (x.replace(LABELLED, SCANNED) for x in (REGIONS, SCORES))
 
 ENTRIES = """e AS MATERIALIZED (SELECT event_id // 20 AS session_id, event_id % 20 AS sequence, '2024-01-01T00:00:' || lpad((event_id % 20)::VARCHAR, 2, '0') || 'Z' AS ts, upper(event_type) AS et,
   CASE event_id % 4 WHEN 0 THEN sha256(event_id::VARCHAR) ELSE 'NULL' END AS sha, 'user ' || user_id::VARCHAR || ' did ' || event_type AS d FROM events)"""

@@ -104,11 +104,11 @@ def custody_entries(events: DataFrame) -> DataFrame:
 
 
 def tampered(log: DataFrame) -> DataFrame:
-    """log with some descriptions and recorded hashes changed, some blank."""
+    """log with some descriptions and recorded hashes changed, some blank, also two in a row."""
     s, q = F.col("session_id"), F.col("sequence")
     k = s * 20 + q
     edited = F.when(k % 37 == 5, F.concat("description", F.lit("!"))).otherwise(F.col("description"))
-    hash_ = F.when(k % 53 == 7, F.lit("0" * 64)).when(k % 101 == 11, "").otherwise(F.col("entry_hash"))
+    hash_ = F.when(k % 53 == 7, F.lit("0" * 64)).when((k % 101).isin(11, 12), "").otherwise(F.col("entry_hash"))
     return log.withColumns({"description": edited, "entry_hash": hash_})
 
 
