@@ -22,7 +22,7 @@ PROFILE = 400
 #: Profiles of so many languages are sent to the workers at once: a table of 4 bytes x n-grams x languages.
 LANGUAGES = 200
 #: A filter keeps texts with at least this score and at most this share of the greatest distance to the nearest language.
-LEAST_SCORE, FAR = 0.05, 0.8
+LEAST_SCORE, FAR = 0.02, 0.8
 #: Characters of a text whose n-grams are made at once, and n-grams that are counted at once.
 PART, COUNTED = 1 << 20, 1 << 21
 
