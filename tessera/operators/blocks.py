@@ -38,11 +38,9 @@ def candidates(labelled: DataFrame, reach: int = 2) -> DataFrame:
 def capped_candidates(labelled: DataFrame, cap: int = CANDIDATE_CAP, reach: int = 2) -> DataFrame:
     """The candidates of each image; of an image with more than cap only suspicious blocks, the first cap by id."""
     found = candidates(labelled, reach)
-    size = found.groupBy("image_id").agg(F.count("*").alias("n_candidates"))
-    found = found.join(size, "image_id")
-    first = Window.partitionBy("image_id").orderBy("block_id")
-    over = found.filter((F.col("n_candidates") > cap) & F.col("is_suspicious")).withColumn("k", F.row_number().over(first)).filter(F.col("k") <= cap).drop("k")
-    return found.filter(F.col("n_candidates") <= cap).unionByName(over).drop("n_candidates")
+    image = Window.partitionBy("image_id")
+    numbered = found.withColumn("n_candidates", F.count("*").over(image)).withColumn("k", F.row_number().over(image.orderBy(F.desc("is_suspicious"), "block_id")))
+    return numbered.filter((F.col("n_candidates") <= cap) | (F.col("is_suspicious") & (F.col("k") <= cap))).drop("n_candidates", "k")
 
 
 def apply_model(labelled: DataFrame, predicted: DataFrame) -> DataFrame:

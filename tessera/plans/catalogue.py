@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.blockstats import with_features, with_statistics
 from ..functions.labels import entropy_meaning, size_text
+from ..functions.registered import register
 from ..operators import blocks, custody, ml, partitions, regions, report, scoring
 from ..sources.blockimage import blocks_of_text, read_images, write_images
 from ..sources.sinks import shared_folder
@@ -210,6 +211,17 @@ def scan_report(spark, sf_dir):
     return d.select("image_id", F.from_json(F.get_json_object("report", "$.metrics"), kind).alias("r")).select("image_id", "r.*")
 
 
+@query(sql.with_(sql.TEXTS, "SELECT image_id, block_id, octet_length(unhex(hx)) AS n_bytes, round(entropy, 5) + 0.0 AS entropy FROM img JOIN lb USING (image_id, block_id)"))
+def registered_functions(spark, sf_dir):
+    """Texts as blocks by the registered functions, in SQL."""
+    register(spark)
+    spark.read.parquet(f"{sf_dir}/documents.parquet").createOrReplaceTempView("tessera_documents")
+    return spark.sql(
+        "SELECT cast(d.doc_id AS string) AS image_id, b.block_id, cast(length(b.data) AS bigint) AS n_bytes, round(block_entropy(b.data), 5) + 0.0 AS entropy"
+        " FROM tessera_documents d, LATERAL split_blocks(encode(d.text, 'UTF-8'), 512) b"
+    )
+
+
 _FE = """sub AS (SELECT image_id, block_id, n, i, b FROM bt), ent AS (SELECT image_id, block_id, part, -sum(c / t * log2(c / t)) + 0.0 AS e FROM (
   SELECT *, sum(c) OVER (PARTITION BY image_id, block_id, part) AS t FROM (SELECT image_id, block_id, part, b, count(*) AS c FROM (
     SELECT image_id, block_id, b, unnest(list_filter(['all', CASE WHEN i < 128 THEN 'head' END, CASE WHEN i >= n - 128 THEN 'tail' END, CASE WHEN i % 2 = 0 THEN 'even' ELSE 'odd' END], lambda x: x IS NOT NULL)) AS part FROM sub) GROUP BY ALL)) GROUP BY ALL)"""
@@ -353,7 +365,7 @@ def ml_refine(spark, sf_dir):
     b = _blocks(spark, sf_dir)
     found = blocks.classify(b)
     few = blocks.candidates(found).select(*KEYS)
-    predicted = ml.predict(b.join(few, KEYS, "left_semi"), ml.train(spark, n=120, trees=20, rounds=5))
+    predicted = ml.predict(b.join(few, KEYS, "left_semi"), ml.train(spark, n=120, trees=20, rounds=5, folds=0))
     return blocks.apply_model(found, predicted).groupBy("base_label", "wipe_type").agg(F.count("*").alias("blocks"))
 
 

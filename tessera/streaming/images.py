@@ -23,21 +23,32 @@ def label_stream(blocks: DataFrame) -> DataFrame:
 
 
 def score_stream(labelled: DataFrame, out: str, checkpoint: str):
-    """Writes labels, regions and scores of each batch under out; an image must arrive within one batch.
+    """Writes labels, regions and scores of each batch under out; an image may be spread over many batches.
 
-    A batch that runs again after a failure overwrites its own part, so results are there once.
+    Labels are kept. Regions and scores of the images that a batch adds to are made anew from all of their
+    labels so far; latest() has the last ones of each image. A batch that runs again after a failure overwrites
+    its own part, so results are there once.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        regions = aggregate(batch)
-        for name, df in (("labels", batch), ("regions", regions), ("scores", score(batch, regions))):
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{out}/labels/batch={number}")
+        new = spark.read.schema(batch.schema).parquet(f"{out}/labels/batch={number}").select("image_id").distinct()
+        all_ = spark.read.schema(batch.schema).option("basePath", f"{out}/labels").parquet(f"{out}/labels/*").join(new, "image_id", "left_semi")
+        regions = aggregate(all_)
+        for name, df in (("regions", regions), ("scores", score(all_, regions))):
             df.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
-        batch.unpersist()
 
     return labelled.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def latest(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """The regions or scores (name) of each image from the last batch that added to it."""
+    rows = spark.read.parquet(f"{out}/{name}")
+    last = spark.read.parquet(f"{out}/scores").groupBy("image_id").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["image_id", "batch"], "left_semi").drop("batch")
+
+
 def suspicious_rate(labelled: DataFrame, seconds: int = 60) -> DataFrame:
     """Blocks and suspicious blocks per window of arrival time; needs a column ts."""
     timed = labelled.withWatermark("ts", f"{seconds} seconds")
