@@ -1,4 +1,9 @@
-"""A training corpus from raw documents: five stages, each written as Parquet and read again by the next."""
+"""A training corpus from raw documents: five stages, each written as Parquet and read again by the next.
+
+Every stage reads the whole text of every row that the one before kept and judges rows, not ids: nulls in any
+column, repeated rows and repeated or null ids are rows like others. All but the last keep every column, whatever
+its name. An empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -14,22 +19,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One row of each group of texts that are equal but for white space: the longest, then the smallest doc_id (null last), of ties one."""
     return exact_dedup.keep_one(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of near duplicates, whatever the doc_id."""
+    """One row of each class of near duplicates: the smallest doc_id (null last), of ties one. Texts without a word are one class."""
     return minhash.keep_one(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that repeat no benchmark item; each row is judged by itself."""
+    """Rows that repeat no benchmark item; each is judged by itself. Texts without a word stay."""
     return decontam.clean_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, packed into sequences."""
+    """The pieces of all documents, packed into sequences; a null or empty text is the end id alone."""
     return packing.pack(docs)
 
 

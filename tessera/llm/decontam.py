@@ -198,7 +198,10 @@ def _scan(items: list[tuple[int, bytes]], threshold: float):
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs, all columns, without the documents that repeat a benchmark item; rows with a null doc_id stay."""
+    """docs, all columns, without the documents that repeat a benchmark item.
+
+    A document is all rows of a doc_id: they go together. Rows with a null doc_id stay; clean_rows judges rows.
+    """
     return without(docs, matches(docs, benchmark, threshold).select("doc_id"), "doc_id", "leaks")
 
 
