@@ -520,9 +520,12 @@ def top_regions(spark, sf_dir):
     return report.top_regions(_regions(spark, sf_dir)).select("image_id", "id", "type", "bounds", "block_count")
 
 
-@query(sql.with_(f"{sql.LABELLED}, {sql.BLOCKS_}", "SELECT image_id, CASE WHEN \"n_MULTI_PASS\" > 0 THEN 'multi' WHEN \"n_RANDOM_WIPE\" > 0 AND \"n_ZERO_WIPE\" > 0 THEN 'random and zero' WHEN \"n_RANDOM_WIPE\" > 0 THEN 'random' WHEN \"n_ZERO_WIPE\" > 0 THEN 'zero' WHEN \"n_FF_WIPE\" > 0 THEN 'ff' ELSE 'none' END AS basis FROM bs"))
+_TOOLS = "SELECT image_id, basis, CASE basis " + " ".join(f"WHEN '{k}' THEN '{'; '.join(sorted(v))}'" for k, v in report.ATTRIBUTION.items()) + " ELSE '' END AS tools FROM ba"
+
+
+@query(sql.with_(f"{sql.LABELLED}, {sql.BLOCKS_}, ba AS (SELECT image_id, CASE WHEN \"n_MULTI_PASS\" > 0 THEN 'multi' WHEN \"n_RANDOM_WIPE\" > 0 AND \"n_ZERO_WIPE\" > 0 THEN 'random and zero' WHEN \"n_RANDOM_WIPE\" > 0 THEN 'random' WHEN \"n_ZERO_WIPE\" > 0 THEN 'zero' WHEN \"n_FF_WIPE\" > 0 THEN 'ff' ELSE 'none' END AS basis FROM bs)", _TOOLS))
 def tool_attribution(spark, sf_dir):
-    return report.attribution(scoring.block_stats(_labelled(spark, sf_dir))).select("image_id", "basis")
+    return report.attribution(scoring.block_stats(_labelled(spark, sf_dir))).select("image_id", "basis", F.concat_ws("; ", "tools").alias("tools"))
 
 
 _REL = """rl AS (SELECT *, round(suspicious_blocks / total_blocks, 4) AS d FROM t3), rf AS (SELECT image_id, (d > 0.3)::INT + ("n_RANDOM_WIPE" > 0)::INT + ("n_MULTI_PASS" > 0)::INT + (regions_count >= 3)::INT AS factors,
@@ -539,6 +542,15 @@ def actions(spark, sf_dir):
     return report.actions(_scores(spark, sf_dir)).groupBy("image_id").agg(F.count("*").alias("actions"))
 
 
+_TITLES = " ".join(f"WHEN '{v}' THEN [{', '.join(repr(a) for _, a, c in some if not c)}]" for v, some in report.ACTIONS.items())
+
+
+@query(sql.with_(f"{sql.SCORES}, ac AS (SELECT image_id, unnest(list_concat(CASE verdict {_TITLES} END, CASE WHEN \"n_RANDOM_WIPE\" + \"n_MULTI_PASS\" > 0 THEN CASE verdict WHEN 'HIGH' THEN ['Wipe Tool Identification'] WHEN 'MEDIUM' THEN ['Wipe Tool Artefact Search'] ELSE [] END ELSE [] END,"
+    " CASE WHEN coverage_pct > 50 AND verdict = 'HIGH' THEN ['Full-Disk Sanitisation Confirmation'] ELSE [] END, ['Evidence Hash Verification'])) AS action FROM t3)", "SELECT image_id, action FROM ac"))
+def action_titles(spark, sf_dir):
+    return report.actions(_scores(spark, sf_dir)).select("image_id", "action")
+
+
 @query()
 def report_documents(spark, sf_dir):
     model = blocks.ml_summary(_applied(spark, sf_dir)).withColumn("model_version", F.lit("injected"))
@@ -552,11 +564,11 @@ _GB = "CASE WHEN n < 1024 THEN printf('%.1f B', n::DOUBLE) WHEN n < 1024 ** 2 TH
 @query(
     f"WITH s AS (SELECT event_id, event_id * event_id * event_id * 4097 AS n FROM events) SELECT event_id, {_GB}printf('%.1f TB', n / 1024 ** 4) END AS gb,"
     f" {_GB}CASE WHEN n < 1024 ** 5 THEN printf('%.1f TB', n / 1024 ** 4) ELSE printf('%.1f PB', n / 1024 ** 5) END END AS tb,"
-    " CASE WHEN n < 1024 THEN n::VARCHAR || ' B' WHEN n < 1048576 THEN (n // 1024)::VARCHAR || ' KB' WHEN n < 1073741824 THEN (n // 1048576)::VARCHAR || ' MB' WHEN n < 1099511627776 THEN (n // 1073741824)::VARCHAR || ' GB' ELSE (n // 1099511627776)::VARCHAR || ' TB' END AS floored FROM s"
+    " CASE WHEN n < 1024 THEN n::VARCHAR || ' B' WHEN n < 1048576 THEN (n // 1024)::VARCHAR || ' KB' WHEN n < 1073741824 THEN (n // 1048576)::VARCHAR || ' MB' WHEN n < 1099511627776 THEN (n // 1073741824)::VARCHAR || ' GB' ELSE (n // 1099511627776)::VARCHAR || ' TB' END AS floored, CASE WHEN n = 0 THEN '0 B' ELSE floored END AS floored0 FROM s"
 )
 def format_bytes(spark, sf_dir):
     n = F.col("event_id") * F.col("event_id") * F.col("event_id") * 4097
-    return events(spark, sf_dir).select("event_id", size_text(n, "gb").alias("gb"), size_text(n, "tb").alias("tb"), size_text(n, "floor").alias("floored"))
+    return events(spark, sf_dir).select("event_id", size_text(n, "gb").alias("gb"), size_text(n, "tb").alias("tb"), size_text(n, "floor").alias("floored"), size_text(n, "floor0").alias("floored0"))
 
 
 @query(sql.with_(sql.LABELLED, "SELECT image_id, block_id, CASE WHEN entropy >= 7.5 THEN 'random' WHEN entropy >= 6 THEN 'compressed or mixed' WHEN entropy <= 0.5 THEN 'fill' ELSE 'structured' END AS meaning FROM lab"))

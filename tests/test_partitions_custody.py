@@ -116,3 +116,15 @@ def test_adjacent_blank_hashes(spark):
     broken = {(r.session_id, r.sequence) for r in got.filter("broken").collect()}
     assert broken == {(s, i) for s, at in blank.items() for i in at}
     assert {r.session_id: r.violations for r in custody.violations(log).collect()} == {0: 2, 1: 3, 2: 2, 3: 2, 4: 0}
+
+
+def test_custody_messages(spark):
+    rows = [(s, i, f"t{i}", "SCAN_START", None, f"d{i}") for s in ("ok", "bad") for i in range(6)]
+    log = custody.chained(spark.createDataFrame(rows, "session_id string, sequence int, timestamp_utc string, event_type string, sha256_evidence string, description string"))
+    hurt = F.col("session_id") == "bad"
+    log = log.withColumn("entry_hash", F.when(hurt & F.col("sequence").isin(1, 2), "").otherwise(F.col("entry_hash")))  # two blanks in a row
+    log = log.withColumn("description", F.when(hurt & (F.col("sequence") == 4), "other").otherwise(F.col("description")))
+    got = {r.session_id: r for r in custody.report_of(log).collect()}
+    assert got["ok"].is_intact and got["ok"].messages == [] and not got["bad"].is_intact
+    assert [m.split(" ")[1] for m in got["bad"].messages] == ["1", "2", "4"]
+    assert custody.report_of(log.limit(0)).count() == 0
