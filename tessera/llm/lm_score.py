@@ -45,7 +45,7 @@ ROWS, BLOCK = 1 << 14, 64
 #: Rounds of training, each over a part of the rows; step, and how many tokens a feature needs for a full step.
 ROUNDS, RATE, CAUTION, LIMIT = 6, 0.5, 4.0, 8.0
 #: Bytes of text that one training task sums gradients over, about; that a batch has; and for one bucket of words.
-TASK_BYTES, BATCH_BYTES, BUCKET_BYTES = 256 << 20, 8 << 20, 64 << 20
+TASK_BYTES, BATCH_BYTES, BUCKET_BYTES = 256 << 20, 4 << 20, 64 << 20
 #: Tokens whose weights are looked up together.
 AT_ONCE = 1 << 13
 END, BEFORE = np.uint64(0x9D5C0F5B9F1E3D71), np.uint64(0x3C6EF372FE94F82B)
@@ -394,6 +394,23 @@ def _deal(s: Scorer, buckets: int):
     return run
 
 
+def _postings(each: np.ndarray, word: np.ndarray, times: np.ndarray, logs: np.ndarray) -> bytes:
+    """How many words each document asks for, these, how often it has them, and logs of the words of documents that are held out."""
+    wide = "<i4" if len(times) and times.max() > 255 else "u1"
+    return b"".join([bytes([np.dtype(wide).itemsize]), *(v.astype(k).tobytes() for v, k in ((each, "<i4"), (word, "<i4"), (times, wide), (logs, "<f4")))])
+
+
+def _unpacked(blob: bytes, held: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(document, word, times, log) of postings; the log is 0 in documents that aren't held out."""
+    each = np.frombuffer(blob, "<i4", len(held), 1)
+    doc = np.repeat(np.arange(len(held)), each)
+    at, m = 1 + 4 * len(held), len(doc)
+    word, times = np.frombuffer(blob, "<i4", m, at), np.frombuffer(blob, "u1" if blob[0] == 1 else "<i4", m, at + 4 * m).astype(np.int64)
+    logs = np.zeros(m)
+    logs[held.astype(bool)[doc]] = np.frombuffer(blob, "<f4", -1, at + (4 + blob[0]) * m) if held.any() and each[held.astype(bool)].sum() else 0
+    return doc, word, times, logs
+
+
 def _requests(s: Scorer, buckets: int, key: int, ids: list, held: list, texts: list[bytes]):
     n = len(ids)
     size, known, base, score = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
@@ -410,7 +427,7 @@ def _requests(s: Scorer, buckets: int, key: int, ids: list, held: list, texts: l
         base += np.bincount(who, flat[0][of], n)
         score += np.bincount(who, np.where(here[of], logs + flat[1][of], 0), n)
         known += np.bincount(who, flat[2][of], n).astype(np.int64)
-        # words to ask for, by bucket; postings: document, word, times, sum of the logs of the word's cell
+        # words to ask for, by bucket
         ask = np.flatnonzero(~here)
         to = (w.x[ask] >> np.uint64(24)) % np.uint64(buckets)
         ask = ask[np.argsort(to, kind="stable")]
@@ -420,8 +437,10 @@ def _requests(s: Scorer, buckets: int, key: int, ids: list, held: list, texts: l
         token = rank[of]
         pair, to_pair, times = np.unique((who * max(1, len(ask)) + token)[token >= 0], return_inverse=True, return_counts=True)
         doc, word = np.divmod(pair, max(1, len(ask)))
-        sums = np.bincount(to_pair, logs[token >= 0], len(pair))
-        postings = b"".join(v.astype(k).tobytes() for v, k in ((doc, "<i4"), (word + asked, "<i4"), (times, "<i4"), (sums, "<f4")))
+        # the words of training documents are known; in others the log of a word's cell counts if its count isn't 0
+        sums, on = np.bincount(to_pair, logs[token >= 0], len(pair)), np.array(held, bool)[doc]
+        score += np.bincount(doc[~on], sums[~on], n)
+        postings = _postings(np.bincount(doc, minlength=n), word + asked, times, sums[on])
         full, first = np.unique(to, return_index=True)
         stop = np.r_[first[1:], len(to)].astype(np.int64)
         rows = [(key, k, int(q), int(a) + asked, w.lo[ask[a:z]].tobytes(), w.hi[ask[a:z]].tobytes(), None, None) for q, a, z in zip(full, first, stop)]
@@ -500,8 +519,7 @@ def _joined(s: Scorer):
                     counts[first : first + len(n)] = n
                     cells[first : first + len(n)] = s.model.cells(np.frombuffer(x, "<u8"))
                 else:
-                    doc, word, times = np.frombuffer(postings, "<i4").reshape(4, -1)[:3]
-                    logs = np.frombuffer(postings, "<f4").reshape(4, -1)[3]
+                    doc, word, times, logs = _unpacked(postings, facts["held"])
                     c, m = counts[word], len(facts["ids"])
                     facts["base"] += np.bincount(doc, s.base_logs(c) * times, m)
                     facts["score"] += np.bincount(doc, np.where(c > 0, logs + s.word_logs(c, cells[word]) * times, math.log10(s.new) * times), m)
