@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from tessera.llm import common, decontam, exact_dedup, minhash, suffix_dedup
+from tessera.llm import common, decontam, exact_dedup, licenses, lm_score, minhash, suffix_dedup
 from tessera.llm.common import words_of
 from tessera.llm.components import components
 
@@ -286,3 +286,25 @@ def test_numbers_of_rows(spark, tmp_path):
     assert "/rows-" not in "".join(common.numbered(files.filter("doc_id > 3"), "rid", "rows").inputFiles())
     mixed = common.numbered(files.repartition(7).orderBy("doc_id"), "rid", "rows")
     assert "/rows-" in "".join(mixed.inputFiles()) and mixed.select("rid").distinct().count() == 50
+
+
+def test_very_long_texts(spark):
+    """Texts longer than all stretches and parts in which operators work, with what they look for late in the text."""
+    g = random.Random(31)
+    base = words(g, 260_000, 10**6)
+    near = edited(g, base, 0.01)
+    item = words(g, 40, 300)
+    texts = [" ".join(base), " ".join(near), " ".join(base), " ".join([*words(g, 230_000, 10**6), *item, "released under the mit license", *words(g, 5)])]
+    assert min(map(len, texts)) > 3 << 19
+    df = make(spark, list(enumerate(texts)) + [(4, "short"), (5, None)])
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(df).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5}
+    assert {r.doc_id: r.keep_id for r in exact_dedup.exact_dedup(df).collect()} == {0: 0, 1: 1, 2: 0, 3: 3, 4: 4, 5: 5}
+    found = decontam.matches(df, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.start_word, r.similarity) for r in found] == [(3, 7, 230_000, 1.0)]
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(df).collect()}
+    assert [got[k].n_removed for k in (0, 3, 4, 5)] == [0] * 4 and got[2].n_removed == len(texts[2]) and got[2].n_spans == 1
+    assert 0.2 * len(texts[1]) < got[1].n_removed < len(texts[1])
+    scanned = {r.doc_id: r for r in licenses.scan(df).collect()}
+    assert (scanned[3].labels, scanned[3].first_word, scanned[3].n_words) == ("mit", 230_043, 230_050) and scanned[0].labels == ""
+    scores = {r.doc_id: r for r in lm_score.score(df).collect()}
+    assert scores[0].n_tokens == 260_001 and scores[0].score == scores[2].score and scores[5].n_tokens == 1
