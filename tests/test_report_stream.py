@@ -48,7 +48,7 @@ def test_no_blocks(spark):
 
 
 def test_model_labels(spark, tmp_path):
-    sizes = {"n": 30, "trees": 5, "rounds": 2, "folds": 3}
+    sizes = {"n": 30, "trees": 5, "rounds": 2, "folds": 2}
     first = ml.cached(spark, str(tmp_path / "model"), **sizes)
     model = ml.cached(spark, str(tmp_path / "model"), **sizes)
     assert model.available and model.summary == first.summary and not ml.Ensemble(None, None, []).available
@@ -62,7 +62,7 @@ def test_model_labels(spark, tmp_path):
 
 
 def test_models_have_the_surveyed_settings(spark):
-    model = ml.train(spark, n=6, trees=2, rounds=1)
+    model = ml.train(spark, n=6, trees=2, rounds=1, folds=0)
     for m, seed in ((model.forest, 42), (model.whole, 7)):
         assert (m.getMaxDepth(), m.getMinInstancesPerNode(), m.getWeightCol(), m.getSeed()) == (15, 2, "weight", seed)
     assert all((m.getMaxDepth(), m.getStepSize(), m.getSubsamplingRate()) == (6, 0.08, 0.8) for m in model.boosted)
