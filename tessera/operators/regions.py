@@ -70,9 +70,8 @@ def absorb(run: DataFrame, max_gap: int = MAX_GAP) -> DataFrame:
     """
     s = run.filter("is_suspicious")
     gap = F.col("first_block") - F.lag("last_block").over(_by_image()) - 1
-    for d, c in (("n", "n"), ("entropy", "sum_entropy"), ("confidence", "sum_confidence")):
-        s = s.withColumn(f"gap_{d}", F.col(f"before_{d}") - F.lag(F.col(f"before_{d}") + F.col(c)).over(_by_image()))
-    s = s.withColumn("gap", gap)
+    sums = (("n", "n"), ("entropy", "sum_entropy"), ("confidence", "sum_confidence"))
+    s = s.withColumns({"gap": gap, **{f"gap_{d}": F.col(f"before_{d}") - F.lag(F.col(f"before_{d}") + F.col(c)).over(_by_image()) for d, c in sums}})
     s = _islands(s, ~((F.col("dominant") == F.lag("dominant").over(_by_image())) & (F.col("gap") <= max_gap)))
     inner = [F.coalesce(F.sum(F.when(F.col("new") == 0, F.col(f"gap_{d}"))), F.lit(0.0)).alias(f"in_{d}") for d in ("n", "entropy", "confidence")]
     last = F.max_by(F.struct("gap_n", "gap_entropy"), F.when(F.col("new") == 0, F.col("first_block"))).alias("last_gap")

@@ -47,7 +47,7 @@ def region_stats(regions: DataFrame) -> DataFrame:
         F.avg("size").alias("avg_region_size"),
         F.max(F.col("boundary_context") != "UNKNOWN").alias("has_map"),
     )
-    return out.join(top, "image_id").withColumn("largest_region_id", -F.col("largest")["col2"]).withColumn("largest_region_size", F.col("largest.size")).drop("largest")
+    return out.join(top, "image_id").withColumns({"largest_region_id": -F.col("largest")["col2"], "largest_region_size": F.col("largest.size")}).drop("largest")
 
 
 def density_floor(density: Column, suspicious: Column) -> Column:
@@ -76,17 +76,15 @@ def level_of(score: Column) -> Column:
 def score(labelled: DataFrame, regions: DataFrame) -> DataFrame:
     """Scan statistics, intent score and verdict of each image; an image without blocks has no row."""
     s = block_stats(labelled).join(region_stats(regions), "image_id", "left")
-    for c in ("regions_count", "effective_regions", "beyond_regions", "excluded_blocks", "random_regions", "multi_regions", "region_blocks"):
-        s = s.withColumn(c, F.coalesce(c, F.lit(0)))
+    s = s.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("regions_count", "effective_regions", "beyond_regions", "excluded_blocks", "random_regions", "multi_regions", "region_blocks")})
     total = F.col("total_blocks")
     adjusted = F.greatest(F.col("suspicious_blocks") - F.col("excluded_blocks"), F.lit(0))
     strong, partial = sum((F.col(f"n_{t}") for t in STRONG), F.lit(0)), sum((F.col(f"n_{t}") for t in PARTIAL), F.lit(0))
     s = s.withColumn("adjusted_density", adjusted / total)
     raw = points(100 * F.col("adjusted_density"), F.col("effective_regions"), F.col("random_regions"), F.col("multi_regions"))
     less = penalties(F.col("suspicious_blocks"), partial, strong, F.col("mean_confidence"), F.col("beyond_regions"), F.col("regions_count"), F.coalesce("has_map", F.lit(False)))
-    s = s.withColumn("floor_level", density_floor(F.col("adjusted_density"), F.col("suspicious_blocks")))
-    s = s.withColumn("points", raw).withColumn("penalty", less)
+    s = s.withColumns({"floor_level": density_floor(F.col("adjusted_density"), F.col("suspicious_blocks")), "points": raw, "penalty": less})
     s = s.withColumn("intent_score", F.greatest(F.least(F.bround(F.col("points") - F.col("penalty"), 0), F.lit(100.0)), F.lit(0.0)).cast("int"))
     names = F.array(*map(F.lit, LEVELS))
-    s = s.withColumn("verdict", F.element_at(names, F.greatest("floor_level", level_of(F.col("intent_score"))) + 1))
-    return s.withColumn("suspicious_pct", 100 * F.col("suspicious_blocks") / total).withColumn("coverage_pct", 100 * F.col("region_blocks") / total)
+    verdict = F.element_at(names, F.greatest("floor_level", level_of(F.col("intent_score"))) + 1)
+    return s.withColumns({"verdict": verdict, "suspicious_pct": 100 * F.col("suspicious_blocks") / total, "coverage_pct": 100 * F.col("region_blocks") / total})
