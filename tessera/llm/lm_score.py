@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -126,16 +127,30 @@ def found(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, known: tuple[np.ndarray
     return out
 
 
-def _groups(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+def _groups(sizes: list[int]) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about BATCH_BYTES together."""
     a, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > BATCH_BYTES:
+    for i, n in enumerate(sizes):
+        if size and size + n > BATCH_BYTES:
             yield a, i
             a, size = i, 0
-        size += len(t) + 1
-    if a < len(texts):
-        yield a, len(texts)
+        size += n + 1
+    if a < len(sizes):
+        yield a, len(sizes)
+
+
+def _texts(column: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
+    """The texts of an Arrow column, a group at a time, so that a large batch isn't copied at once."""
+    raw = column.cast(pa.binary())
+    for i, j in _groups(pc.fill_null(pc.binary_length(raw), 0).to_pylist()):
+        yield i, j, text_bytes(raw.slice(i, j - i))
+
+
+def _rows_of(batch: pa.RecordBatch) -> Iterator[list]:
+    """The rows of a batch, with buffers in place of bytes, so that none are copied."""
+    for i in range(batch.num_rows):
+        row = [c[i] for c in batch.columns]
+        yield [x.as_buffer() if x.is_valid and pa.types.is_binary(x.type) else x.as_py() for x in row]
 
 
 def _parts(texts: list[bytes]) -> Iterator[tuple[bytes, np.ndarray, bool]]:
@@ -165,9 +180,8 @@ def _parts(texts: list[bytes]) -> Iterator[tuple[bytes, np.ndarray, bool]]:
 
 def _count(batches):
     for b in batches:
-        texts = text_bytes(b.column(0))
-        for i, j in _groups(texts):
-            for data, _, _ in _parts(texts[i:j]):
+        for _, _, texts in _texts(b.column(0)):
+            for data, _, _ in _parts(texts):
                 _, lo, hi = words(data)
                 w = Words(lo, hi)
                 n = np.bincount(w.of, minlength=len(w.x))
@@ -302,10 +316,9 @@ def _gradients(model: Model):
     def run(batches):
         ga, gw = np.zeros_like(model.a), np.zeros_like(model.w)
         for b in batches:
-            texts = text_bytes(b.column(0))
-            for i, j in _groups(texts):
+            for _, _, texts in _texts(b.column(0)):
                 last, begun = NONE, 0
-                for part in _parts(texts[i:j]):
+                for part in _parts(texts):
                     w, order, _, x, p, last, begun = sequence(part, last, begun)
                     cell = np.r_[model.cells(w.x), END_CELL][np.where(order < 0, len(w.x), np.r_[w.of, 0][order])]
                     model.gradient(p, cell, ga, gw)
@@ -323,7 +336,7 @@ def _gradients(model: Model):
 def _added(batches):
     total: dict[int, np.ndarray] = {}
     for b in batches:
-        for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        for k, x in _rows_of(b):
             x = np.frombuffer(x, np.float32)
             total[k] = total[k] + x if k in total else x.astype(np.float64)
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.astype("<f4").tobytes() for v in total.values()], pa.binary())], ["block", "sums"])
@@ -386,10 +399,10 @@ def _deal(s: Scorer, buckets: int):
     def run(batches):
         task, number = TaskContext.get().partitionId(), -1
         for b in batches:
-            ids, held, texts = b.column(0).to_pylist(), b.column(1).to_pylist(), text_bytes(b.column(2))
-            for i, j in _groups(texts):
+            ids, held = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for i, j, texts in _texts(b.column(2)):
                 number += 1
-                yield from _requests(s, buckets, (task << 32) | number, ids[i:j], held[i:j], texts[i:j])
+                yield from _requests(s, buckets, (task << 32) | number, ids[i:j], held[i:j], texts)
 
     return run
 
@@ -402,12 +415,13 @@ def _postings(each: np.ndarray, word: np.ndarray, times: np.ndarray, logs: np.nd
 
 def _unpacked(blob: bytes, held: np.ndarray) -> tuple[np.ndarray, ...]:
     """(document, word, times, log) of postings; the log is 0 in documents that aren't held out."""
+    width = int(np.frombuffer(blob, "u1", 1)[0])
     each = np.frombuffer(blob, "<i4", len(held), 1)
     doc = np.repeat(np.arange(len(held)), each)
     at, m = 1 + 4 * len(held), len(doc)
-    word, times = np.frombuffer(blob, "<i4", m, at), np.frombuffer(blob, "u1" if blob[0] == 1 else "<i4", m, at + 4 * m).astype(np.int64)
+    word, times = np.frombuffer(blob, "<i4", m, at), np.frombuffer(blob, "u1" if width == 1 else "<i4", m, at + 4 * m).astype(np.int64)
     logs = np.zeros(m)
-    logs[held.astype(bool)[doc]] = np.frombuffer(blob, "<f4", -1, at + (4 + blob[0]) * m) if held.any() and each[held.astype(bool)].sum() else 0
+    logs[held.astype(bool)[doc]] = np.frombuffer(blob, "<f4", -1, at + (4 + width) * m) if held.any() and each[held.astype(bool)].sum() else 0
     return doc, word, times, logs
 
 
@@ -482,7 +496,7 @@ def _answers(batches):
     now, known, parts = None, None, []
     for b in batches:
         out = []
-        for bucket, kind, batch, first, lo, hi, n in zip(*(c.to_pylist() for c in b.columns)):
+        for bucket, kind, batch, first, lo, hi, n in _rows_of(b):
             lo, hi = np.frombuffer(lo, "<u8"), np.frombuffer(hi, "<u8")
             if bucket != now:
                 now, known, parts = bucket, None, []
@@ -507,7 +521,7 @@ def _joined(s: Scorer):
     def run(batches):
         now, facts, counts, cells = None, None, None, None
         for b in batches:
-            for batch, kind, first, blob, x, postings in zip(*(c.to_pylist() for c in b.columns)):
+            for batch, kind, first, blob, x, postings in _rows_of(b):
                 if batch != now:
                     if facts is not None:
                         yield _result(s, facts)
@@ -530,9 +544,9 @@ def _joined(s: Scorer):
     return run
 
 
-def _facts(blob: bytes) -> dict[str, np.ndarray]:
+def _facts(blob) -> dict[str, np.ndarray]:
     kinds = [("null", "u1"), ("ids", "<i8"), ("held", "u1"), ("size", "<i8"), ("known", "<i8"), ("base", "<f8"), ("score", "<f8")]
-    n, at, out = len(blob) // sum(np.dtype(k).itemsize for _, k in kinds), 0, {}
+    n, at, out = memoryview(blob).nbytes // sum(np.dtype(k).itemsize for _, k in kinds), 0, {}
     for name, k in kinds:
         out[name] = np.frombuffer(blob, k, n, at).copy()
         at += n * np.dtype(k).itemsize
