@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +66,17 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def slices(batch: pa.RecordBatch, text: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about limit bytes in its column of texts, so that a large batch isn't copied at once."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        past = int(ends[at - 1]) if at else 0
+        n = max(1, int(np.searchsorted(ends, past + limit, "right")) - at)
+        yield batch.slice(at, n)
+        at += n
+
+
 def crc_of(doc_id) -> int:
     """crc32 of an id written as text; a null id counts as the empty text."""
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode())

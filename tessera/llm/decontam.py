@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import marked, text_bytes, without
+from .common import marked, slices, text_bytes, without
 from .shingles import counted, shingle_hashes, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -184,7 +184,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
 def _scan(items: list[tuple[int, bytes]], threshold: float):
     def run(batches):
         bench = Benchmark(items, threshold)
-        for b in batches:
+        for b in (part for b in batches for part in slices(b, 1)):
             ids, out = b.column(0).to_pylist(), []
             for at, docs in word_hashes(text_bytes(b.column(1))):
                 for i, words in enumerate(docs, at):

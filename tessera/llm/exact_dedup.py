@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small_or_shuffled, marked, numbered, text_bytes, without, written
+from .common import join_small_or_shuffled, marked, numbered, slices, text_bytes, without, written
 
 BLOCK = 2048
 #: Spark samples keys on the driver to cut their range into partitions: so much of a block, then its hash, so that
@@ -26,7 +26,7 @@ SPACES = b" \t\n\x0b\x0c\r"
 
 
 def _facts(batches):
-    for b in batches:
+    for b in (part for b in batches for part in slices(b, 2)):
         bare = [x.translate(None, SPACES) for x in text_bytes(b.column(2))]
         yield pa.RecordBatch.from_arrays(
             [
@@ -41,7 +41,7 @@ def _facts(batches):
 
 def _blocks(size: int):
     def run(batches):
-        for b in batches:
+        for b in (part for b in batches for part in slices(b, 2)):
             rid, n, at, block = [], [], [], []
             for r, x in zip(b.column(0).to_pylist(), text_bytes(b.column(2))):
                 x = x.translate(None, SPACES)

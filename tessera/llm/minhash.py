@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small_or_shuffled, marked, text_bytes, without, written
+from .common import join_small_or_shuffled, marked, slices, text_bytes, without, written
 from .components import components
 from .shingles import counted, mix, shingle_hashes, weighted_jaccard, word_hashes
 
@@ -102,7 +102,7 @@ def signatures(weighted: list[tuple[np.ndarray, np.ndarray]], k: int, spread: fl
 
 def _sign(k: int):
     def run(batches):
-        for b in batches:
+        for b in (part for b in batches for part in slices(b, 1)):
             texts, ids = text_bytes(b.column(1)), b.column(0)
             keys, sizes, sigs, wait = [], [], [], []
 
@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def _units(batches):
     """Sorted hashes of the shingles of each document, one for each time that a shingle occurs."""
-    for b in batches:
+    for b in (part for b in batches for part in slices(b, 1)):
         out = []
         for x in text_bytes(b.column(1)):
             e, n = _shingles(x)

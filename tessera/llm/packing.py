@@ -149,6 +149,9 @@ class Encoder:
         self.cache: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        self.cache, self.words = {}, {}
+
     def learn(self, strings: list[str]) -> None:
         """Puts the ids of strings without white space into the cache: words, words with one mark, and the rest."""
         if len(self.words) > WORDS:
@@ -336,5 +339,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, en
                 rows += bins.document(doc_id, ids + last)
             yield _batch(rows)
         yield _batch(bins.rest())
+        enc.forget()  # workers serve other stages too
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
