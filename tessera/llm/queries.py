@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_dedup, html_extract, langid, licenses, lm_score, minhash, packing, suffix_dedup, warc
+from . import decontam, exact_dedup, html_extract, langid, licenses, lm_score, minhash, packing, periodic, repair, simhash, suffix_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,18 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_recompression_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.runs(table(spark, sf_dir, "documents")).drop("runs")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.audit(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op2_language_id": op2_language_id,
@@ -62,6 +74,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_maxent_scores": op9_maxent_scores,
     "op10_dart_minhash": op10_dart_minhash,
+    "op11_recompression_runs": op11_recompression_runs,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_simhash": op13_simhash,
 }
 
 #: DuckDB SQL for the rows of a query, where SQL can express it.
