@@ -134,6 +134,8 @@ def backpointers(keyed: DataFrame) -> DataFrame:
                 if conv != now or not begun:
                     close(True)
                     now, begun, state, cost, done = conv, True, 0, 0, 0
+                if len(choices) == CHUNK:
+                    close(False)
                 place = at
                 if known & GONE:
                     continue
@@ -142,8 +144,6 @@ def backpointers(keyed: DataFrame) -> DataFrame:
                 choices.append(edits)
                 for k, bit in enumerate((BLANK, DUPLICATE, TRUNCATED)):
                     faults[k] += bool(known & bit)
-                if len(choices) == CHUNK:
-                    close(False)
             if len(out) >= 1000:
                 yield pd.DataFrame(out, columns=CHUNK_NAMES)
                 out = []
