@@ -35,6 +35,10 @@ CLASSES, LEAST = 12, 32
 SEQUENCE_BITS = 40
 #: Distinct white-space separated strings, and distinct words, whose ids a worker remembers; then it starts afresh.
 CACHE, WORDS = 400_000, 400_000
+#: Words of more bytes are merged by the tokenizer, whose time grows with a word's length alone; Merges suits many short ones.
+LONG_WORD = 256
+#: Bytes of strings whose ids a worker remembers.
+HELD = 64 << 20
 #: A mark after a word is a token of its own.
 MARKS = ".,;:!?"
 #: Longer texts are tokenised in parts that end at white space.
@@ -145,12 +149,25 @@ class Encoder:
             self.pattern = regex.compile(splits[0]["pattern"]["Regex"])
             shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
             hidden = [b for b in range(256) if b not in set(shown)]
-            self.merges = Merges(spec, {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)})
+            self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+            self.merges = Merges(spec, self.letters)
+        self.forget()
+
+    def forget(self) -> None:
         self.cache: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.held = 0
 
-    def forget(self) -> None:
-        self.cache, self.words = {}, {}
+    def merged(self, words: list[str]) -> list[bytes]:
+        """Ids of each word: short ones together, each long one by the tokenizer's own model."""
+        coded = [w.encode() for w in words]
+        long = {k for k, w in enumerate(coded) if len(w) > LONG_WORD}
+        short = iter(self.merges([w for k, w in enumerate(coded) if k not in long]) if len(long) < len(coded) else ())
+        return [self._model(w) if k in long else next(short) for k, w in enumerate(coded)]
+
+    def _model(self, word: bytes) -> bytes:
+        tokens = self.full.model.tokenize("".join(map(self.letters.__getitem__, word)))
+        return np.array([t.id for t in tokens], "<u4").tobytes()
 
     def learn(self, strings: list[str]) -> None:
         """Puts the ids of strings without white space into the cache: words, words with one mark, and the rest."""
@@ -164,7 +181,7 @@ class Encoder:
         rest = {s: self.pattern.findall(x) for (s, x), m in zip(others, marked) if not m}
         known = self.words
         new = [w for w in set().union(words, compress(bodies, marked), MARKS, *rest.values()) if w not in known]
-        known.update(zip(new, self.merges([w.encode() for w in new])))
+        known.update(zip(new, self.merged(new)))
         self.cache.update(zip(compress(strings, plain), map(known.__getitem__, words)))
         self.cache.update((s, known[w] + known[x[-1]]) for w, (s, x), m in zip(bodies, others, marked) if m)
         self.cache.update((s, b"".join([known[w] for w in ws])) for s, ws in rest.items())
@@ -192,11 +209,12 @@ class Encoder:
         return text.split()
 
     def _know(self, lists: list[list[str]]) -> None:
-        if len(self.cache) > CACHE:
-            self.cache = {}
+        if len(self.cache) > CACHE or self.held > HELD:
+            self.forget()
         known = self.cache
         new = [s for s in set().union(*lists) if s not in known]
         if new:
+            self.held += sum(map(len, new))
             self.learn(new)
 
     def _whole(self, text: str) -> bytes:

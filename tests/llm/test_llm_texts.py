@@ -104,6 +104,18 @@ def test_encoder_over_a_full_cache(monkeypatch):
         assert np.frombuffer(got, "<u4").tolist() == e.full.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "a", "\u65e5\u672c\u8a9e\u6f22\u5b57", "\xe9\xe8\xfc"])
+def test_long_words(letters):
+    """A million letters without white space take seconds and have the tokenizer's ids."""
+    e, g = packing.Encoder(packing.default_tokenizer()), random.Random(3)
+    for n in (255, 256, 257, 3000, 1_000_000):
+        text = "".join(g.choices(letters, k=n))
+        started = time.process_time()
+        got = next(e.ids([text]))
+        assert time.process_time() - started < 20
+        assert got == np.array(e.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_language(spark):
     rows = [*some_docs(400), *ODD]
     got = langid.identify(make(spark, rows)).collect()
