@@ -1,13 +1,13 @@
 """Benchmark decontamination by SimHash windows of the items' sizes.
 
-A document's windows of an item's number of words are fingerprinted with a 64-bit SimHash of their five-word
-shingles, at every start. Fingerprints are looked up in a multi-index of the items' fingerprints: 64 bits are
-cut into blocks, and a fingerprint within the radius must be within radius // blocks of the item's in at
-least one block, so no fingerprint within the radius is missed. The weighted shingle similarity of the
-candidates is then computed exactly.
-
-Only stretches around shingles that an item holds are fingerprinted. That loses nothing: a window without
-any shingle of an item has similarity 0 to it.
+A document's windows of an item's number of words are fingerprinted with a 256-bit SimHash of their five-word
+shingles. Fingerprints are looked up in a multi-index of the items' fingerprints: they are cut into blocks of 16 bits,
+each block has a radius, and the radii are such that a fingerprint within the whole radius must be within them in
+several blocks. So no fingerprint within the radius is missed, and few others are candidates. The weighted shingle
+similarity of those within the radius is then computed exactly.
+
+A window needs as many shingles that items of its size hold as the threshold asks to be shared; others can't match
+any of these items and aren't fingerprinted.
 """
 
 from __future__ import annotations
@@ -21,65 +21,113 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import marked, slices, text_bytes, without
-from .shingles import counted, shingle_hashes, word_hashes
+from .shingles import counted, mix, shingle_hashes, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
-BLOCKS = 8
+#: Bits of a fingerprint, and of each block.
+BITS, WIDTH = 256, 16
+#: Share of unlike fingerprints that may be candidates, and blocks that may be asked for to get there.
+CANDIDATES, MOST_BLOCKS = 0.03, 6
 #: Benchmarks are sent to the workers in parts of at most so many bytes of text.
 ITEMS_BYTES = 16 << 20
 #: Starts of windows that are fingerprinted together.
 STARTS = 4096
 RESULT = "doc_id long, item_id long, start_word long, n_words long, similarity double, hamming int"
+_SALTS = np.random.default_rng(6).integers(1, 1 << 63, BITS // 64, dtype=np.uint64)
 
 
 def fingerprints(shingles: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-    """SimHash of the n shingles from each start on, each shingle weighted by its count."""
-    lo, hi = int(starts[0]), int(starts[-1]) + n
-    bits = np.unpackbits(shingles[lo:hi].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    sums = np.zeros((hi - lo + 1, 64), np.int32)
-    np.cumsum(bits, axis=0, out=sums[1:], dtype=np.int32)
-    at = starts - lo
-    set_ = 2 * (sums[at + n] - sums[at]) > n
-    return np.packbits(set_, axis=1, bitorder="little").view("<u8").ravel()
+    """SimHash of the n shingles from each start on (in order), each shingle weighted by its count: a row of 64-bit words."""
+    lo = int(starts[0])
+    cuts = np.unique(np.r_[starts, starts + n]) - lo
+    a, b = np.searchsorted(cuts, starts - lo), np.searchsorted(cuts, starts - lo + n)
+    out = np.empty((len(starts), BITS // 64), np.uint64)
+    for k, salt in enumerate(_SALTS):
+        bits = np.unpackbits(mix(shingles[lo : lo + cuts[-1]] ^ salt).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        sums = np.zeros((len(cuts), 64), np.int32)
+        np.cumsum(np.add.reduceat(bits, cuts[:-1], axis=0, dtype=np.int32), axis=0, out=sums[1:])
+        out[:, k] = np.packbits(2 * (sums[b] - sums[a]) > n, axis=1, bitorder="little").view(np.uint64).ravel()
+    return out
 
 
 def radius_of(threshold: float) -> int:
-    """Bits of 64 in which a pair at the threshold differs: as many as follow from its cosine on average, and 4.3 deviations.
+    """Bits in which a pair at the threshold differs: as many as follow from its cosine on average, and 4.3 deviations.
 
-    At a similarity of 0.8 that is 10 bits with a deviation of 3, so 22.
+    At a similarity of 0.8 that is 39 of 256 with a deviation of 6, so 63.
     """
     share = math.acos(min(1.0, 2 * threshold / (1 + threshold))) / math.pi
-    return min(64, round(64 * share + 4.3 * math.sqrt(64 * share * (1 - share))))
+    return min(BITS, round(BITS * share + 4.3 * math.sqrt(BITS * share * (1 - share))))
+
+
+def block_radii(radius: int, blocks: int = BITS // WIDTH) -> tuple[list[int], int, float]:
+    """(radius of each block, blocks that must be within theirs, share of unlike fingerprints for which that holds).
+
+    If under k blocks are within their radii t, the others differ in over t bits each; so k blocks must be if the sum
+    of t + 1 over all but the k - 1 largest is beyond the whole radius. The least k is taken whose share is small.
+    """
+    best = None
+    for k in range(1, MOST_BLOCKS + 1):
+        t = -(-(radius + 1) // (blocks - k + 1)) - 1
+        spare = (blocks - k + 1) * (t + 1) - (radius + 1)
+        lower = min(spare, blocks - k + 1) if t > 0 else 0
+        radii = [min(t, WIDTH)] * (blocks - lower) + [min(t - 1, WIDTH)] * lower
+        passing = np.zeros(blocks + 1)
+        passing[0] = 1.0
+        for r in radii:
+            p = sum(math.comb(WIDTH, i) for i in range(r + 1)) / 2**WIDTH
+            passing = passing * (1 - p) + np.r_[0, passing[:-1]] * p
+        share = float(passing[k:].sum())
+        if best is None or share < best[2]:
+            best = radii, k, share
+        if share <= CANDIDATES:
+            break
+    return best
 
 
 class MultiIndex:
-    """Fingerprints by their blocks of bits and all values near those."""
-
-    def __init__(self, prints: np.ndarray, radius: int, blocks: int = BLOCKS):
-        self.prints, self.radius, self.width = prints, radius, 64 // blocks
-        self.near = [0] + [sum(1 << i for i in c) for k in range(1, radius // blocks + 1) for c in combinations(range(self.width), k)]
-        self.buckets: list[dict[int, list[int]]] = []
-        for j in range(blocks):
-            table: dict[int, list[int]] = {}
-            for i, v in enumerate(self._block(prints, j).tolist()):
-                for flip in self.near:
-                    table.setdefault(v ^ flip, []).append(i)
-            self.buckets.append(table)
-
-    def _block(self, prints: np.ndarray, j: int) -> np.ndarray:
-        return (prints >> np.uint64(j * self.width)) & np.uint64((1 << self.width) - 1)
+    """Fingerprints by their blocks; a lookup walks the ball around each block of the one that is asked for."""
+
+    def __init__(self, prints: np.ndarray, radius: int):
+        self.prints, self.radius = prints, radius
+        self.radii, self.needed, _ = block_radii(radius)
+        values = self._blocks(prints)
+        self.order = [np.argsort(v, kind="stable") for v in values]
+        self.offsets = [np.searchsorted(v[o], np.arange((1 << WIDTH) + 1)) for v, o in zip(values, self.order)]
+
+    @staticmethod
+    def _blocks(prints: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(prints).view(np.uint16).reshape(len(prints), -1).T.astype(np.int64)
+
+    def candidates(self, values: np.ndarray) -> np.ndarray:
+        """Numbers of the indexed prints that are near enough in enough blocks; values: the blocks of one print."""
+        found = []
+        for v, t, order, offsets in zip(values.tolist(), self.radii, self.order, self.offsets):
+            keys = v ^ ball(t)
+            lo, n = offsets[keys], offsets[keys + 1] - offsets[keys]
+            on = np.flatnonzero(n)
+            at = np.repeat(lo[on] - np.r_[0, np.cumsum(n[on])[:-1]], n[on]) + np.arange(n[on].sum())
+            found.append(order[at])
+        hits = np.sort(np.concatenate(found))
+        return np.unique(hits[self.needed - 1 :][hits[self.needed - 1 :] == hits[: len(hits) - self.needed + 1]])
 
     def within(self, prints: np.ndarray) -> list[tuple[int, int, int]]:
         """(number of the print, number of the indexed print, Hamming distance) of all within the radius."""
-        found = set()
-        for j, table in enumerate(self.buckets):
-            for q, v in enumerate(self._block(prints, j).tolist()):
-                found.update((q, i) for i in table.get(v, ()))
-        if not found:
-            return []
-        q, i = np.array(sorted(found)).T
-        d = np.bitwise_count(prints[q] ^ self.prints[i])
-        return [x for x in zip(q.tolist(), i.tolist(), d.tolist()) if x[2] <= self.radius]
+        out = []
+        for q, (values, own) in enumerate(zip(self._blocks(prints).T, prints)):
+            some = self.candidates(values)
+            d = np.bitwise_count(self.prints[some] ^ own).sum(1, dtype=np.int64)
+            out += [(q, i, x) for i, x in zip(some.tolist(), d.tolist()) if x <= self.radius]
+        return out
+
+
+_balls: dict[int, np.ndarray] = {}
+
+
+def ball(radius: int) -> np.ndarray:
+    """All values of WIDTH bits with at most radius bits set."""
+    if radius not in _balls:
+        _balls[radius] = np.array([sum(1 << i for i in c) for k in range(radius + 1) for c in combinations(range(WIDTH), k)], np.int64)
+    return _balls[radius]
 
 
 class Benchmark:
@@ -92,20 +140,23 @@ class Benchmark:
         shingles = [shingle_hashes(h, SHINGLE) for _, h in kept]
         self.sets = [dict(zip(*(x.tolist() for x in counted(s)))) for s in shingles]
         self.totals = [len(s) for s in shingles]
-        self.by_size: dict[int, list[int]] = {}
+        by_size: dict[int, list[int]] = {}
         for k, n in enumerate(self.sizes):
-            self.by_size.setdefault(n, []).append(k)
+            by_size.setdefault(n, []).append(k)
         self.index = {}
-        for n, ks in self.by_size.items():
-            prints = np.array([fingerprints(shingles[k], np.array([0]), len(shingles[k]))[0] for k in ks], np.uint64)
+        for n, ks in by_size.items():
+            prints = np.concatenate([fingerprints(shingles[k], np.array([0]), len(shingles[k])) for k in ks])
             self.index[n] = (ks, MultiIndex(prints, radius_of(threshold)))
-        all_ = np.concatenate(shingles) if shingles else np.zeros(0, np.uint64)
-        owner = np.repeat(np.array(self.sizes, np.int64), self.totals) if shingles else np.zeros(0, np.int64)
-        order = np.argsort(all_, kind="stable")
-        self.shingles, self.owner_size = all_[order], owner[order]
+        pairs = np.zeros((0, 2), np.uint64)
+        for n, ks in by_size.items():
+            own = np.unique(np.concatenate([shingles[k] for k in ks]))
+            pairs = np.concatenate([pairs, np.stack([own, np.full(len(own), n, np.uint64)], 1)])
+        order = np.argsort(pairs[:, 0], kind="stable")
+        #: Each shingle with each size of the items that hold it.
+        self.shingles, self.owner_size = pairs[order, 0], pairs[order, 1].astype(np.int64)
         self.coarse = np.zeros(1 << 16, bool)
         self.coarse[(self.shingles >> np.uint64(48)).astype(np.int64)] = True
-        self.short = sorted(n for n in self.by_size if n < SHINGLE)
+        self.short = sorted(n for n in by_size if n < SHINGLE)
 
     def seeds(self, shingles: np.ndarray) -> dict[int, np.ndarray]:
         """By size of window, the places whose shingle an item of that size holds."""
@@ -113,12 +164,15 @@ class Benchmark:
         if not len(at):
             return {}
         lo, hi = (np.searchsorted(self.shingles, shingles[at], side) for side in ("left", "right"))
-        at, lo, hi = at[hi > lo], lo[hi > lo], hi[hi > lo]
-        out: dict[int, list[int]] = {}
-        for p, a, b in zip(at.tolist(), lo.tolist(), hi.tolist()):
-            for n in set(self.owner_size[a:b].tolist()):
-                out.setdefault(n, []).append(p)
-        return {n: np.array(v) for n, v in out.items()}
+        at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+        if not len(at):
+            return {}
+        places = np.repeat(at, n)
+        sizes = self.owner_size[np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
+        order = np.argsort(sizes, kind="stable")
+        sizes, places = sizes[order], places[order]
+        cut = np.flatnonzero(np.r_[True, sizes[1:] != sizes[:-1]])
+        return dict(zip(sizes[cut].tolist(), np.split(places, cut[1:])))
 
     def matches(self, words: np.ndarray, threshold: float) -> list[tuple]:
         """(item_id, start, words, similarity, distance) of the best window of each item at or above the threshold."""
@@ -129,23 +183,31 @@ class Benchmark:
             if len(words) >= (size or 1):
                 by_width[width] = shingle_hashes(words, width)
         for width, shingles in by_width.items():
-            found = self.seeds(shingles)
-            for n, places in found.items():
+            for n, places in self.seeds(shingles).items():
                 if (n < SHINGLE or width < SHINGLE) and n != width and len(words) >= SHINGLE:
                     continue
                 take = min(n, len(words))
                 m = max(1, take - SHINGLE + 1) if width == SHINGLE else 1
-                last = len(shingles) - m
-                lo, hi = np.maximum(places - m + 1, 0), np.minimum(places, last)
-                starts = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(lo, hi)]))
-                for part in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
-                    for i in range(0, len(part), STARTS):
-                        self._look(shingles, part[i : i + STARTS], m, take, n, threshold, best)
+                starts = self._starts(places, len(shingles), m, max(1, n - SHINGLE + 1), threshold)
+                for i in range(0, len(starts), STARTS):
+                    self._look(shingles, starts[i : i + STARTS], m, take, n, threshold, best)
         return [(self.ids[k], *v) for k, v in sorted(best.items())]
 
+    @staticmethod
+    def _starts(places: np.ndarray, n_shingles: int, m: int, total: int, threshold: float) -> np.ndarray:
+        """Starts of windows of m shingles with enough of the places for a similarity of threshold to an item of total shingles."""
+        least = max(1, math.ceil(threshold * (m + total) / (1 + threshold) - 1e-9))
+        if len(places) < least:
+            return np.zeros(0, np.int64)
+        # The window's first place is places[i], and it has least places or more: it ends at or after places[i + least - 1].
+        first, last = places[: len(places) - least + 1], places[least - 1 :]
+        before = np.r_[-1, places[: len(first) - 1]]
+        lo, hi = np.maximum(before + 1, last - m + 1), np.minimum(first, n_shingles - m)
+        on = np.flatnonzero(lo <= hi)
+        size = (hi - lo + 1)[on]
+        return np.repeat(lo[on] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()) if len(on) else np.zeros(0, np.int64)
+
     def _look(self, shingles, starts, m, take, n, threshold, best) -> None:
-        if not len(starts):
-            return
         ks, index = self.index[n]
         for q, i, d in index.within(fingerprints(shingles, starts, m)):
             k, at = ks[i], int(starts[q])

@@ -91,7 +91,7 @@ def test_blocks_of_a_large_bucket(spark, docs, monkeypatch):
 
 
 def test_lower_thresholds(spark):
-    assert minhash.bands_of(0.8) == (25, 5) and round(minhash.estimate_of(0.8, 125), 2) == 0.62 and decontam.radius_of(0.8) == 22
+    assert minhash.bands_of(0.8) == (25, 5) and round(minhash.estimate_of(0.8, 125), 2) == 0.62 and decontam.radius_of(0.8) == 63
     g, rows, items = random.Random(21), [], []
     for k in range(100):  # each pair's similarity is a little over 0.6
         base = words(g, 120)
@@ -168,14 +168,14 @@ def test_exact_dedup(spark, docs, block):
 
 def test_decontamination(spark):
     g = random.Random(2)
-    items = [(k, " ".join(words(g, g.randint(5, 60), 300))) for k in range(40)] + [(40, "one two"), (41, ""), (42, None), (43, "a b c d e"), (None, "no id but words enough here")]
+    items = [(k, " ".join(words(g, g.randint(5, 60), 300))) for k in range(40)] + [(40, "one two"), (41, ""), (42, None), (43, "a b c d e"), (None, "no id but words enough here"), (44, "two"), (45, "c d e f"), (46, "d e f")]
     texts = []
     for k in range(60):
         item = g.choice(items[:40])[1].split()
         change = g.choice([0, 0, 0.02, 0.05, 0.3])
         cut = item[: len(item) * 9 // 10] if k % 5 == 0 else item
         texts.append(" ".join(words(g, g.randint(0, 80), 300) + edited(g, cut, change) + words(g, g.randint(0, 80), 300)))
-    texts += ["", None, "a b c d e", "A, b. c d - e f", items[3][1], items[4][1].rsplit(" ", 1)[0], "no id but words enough here", texts[0]]
+    texts += ["", None, "a b c d e", "A, b. c d - e f", items[3][1], items[4][1].rsplit(" ", 1)[0], "no id but words enough here", texts[0], "one", "two", "One two", "zero one two", "c d e f", "d e f g h"]
     rows = list(enumerate(texts)) + [(None, items[5][1])]
     got = {(r.doc_id, r.item_id): r for r in decontam.matches(make(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
     want = {}
@@ -184,7 +184,9 @@ def test_decontamination(spark):
         for k, x in items:
             y = words_of((x or "").encode())
             n, m = min(len(y), len(w)), len(y)
-            if m < 5 or n < 5:
+            if m < 5 or n < 5:  # an item under five words is one shingle; a document under five words holds no longer one
+                places = [s for s in range(len(w) - m + 1) if w[s : s + m] == y] if 0 < m < 5 else []
+                want |= {(i, k): (1.0, places[0])} if places else {}
                 continue
             a = Counter(tuple(y[j : j + 5]) for j in range(m - 4))
             for s in range(len(w) - n + 1):
@@ -205,12 +207,26 @@ def test_index_finds_all_within_the_radius():
     import numpy as np
 
     g = np.random.default_rng(1)
-    items = g.integers(0, 2**63, 30).astype(np.uint64)
-    near = [int(x) ^ sum(1 << int(b) for b in g.choice(64, int(k), replace=False)) for x in items for k in g.integers(0, 30, 8)]
-    q = np.array(near, np.uint64)
-    index = decontam.MultiIndex(items, 22)
-    want = {(a, b) for a in range(len(q)) for b in range(30) if int(q[a] ^ items[b]).bit_count() <= 22}
-    assert {x[:2] for x in index.within(q)} == want
+    items = g.integers(0, 1 << 63, (30, 4)).astype(np.uint64)
+    number = lambda p: sum(int(x) << 64 * k for k, x in enumerate(p))
+    near = [number(x) ^ sum(1 << int(b) for b in g.choice(256, int(k), replace=False)) for x in items for k in g.integers(40, 70, 12)]
+    near += [number(x) ^ sum(1 << 16 * b + j for b in range(16) for j in range(4)) for x in items]  # as even as can be
+    q = np.array([[p >> 64 * k & (1 << 64) - 1 for k in range(4)] for p in near], np.uint64)
+    for radius in (0, 15, 63, 64, 88):
+        index = decontam.MultiIndex(items, radius)
+        want = {(a, b, (near[a] ^ number(items[b])).bit_count()) for a in range(len(q)) for b in range(30)}
+        assert set(index.within(q)) == {x for x in want if x[2] <= radius}
+
+
+def test_index_lets_few_others_through():
+    import numpy as np
+
+    g = np.random.default_rng(2)
+    hashes = g.integers(0, 1 << 63, 10_000 * 30).astype(np.uint64)
+    items = np.concatenate([decontam.fingerprints(hashes, np.arange(k, k + 1), 30) for k in range(0, len(hashes), 30)])
+    index = decontam.MultiIndex(items, decontam.radius_of(0.8))
+    asked = decontam.fingerprints(g.integers(0, 1 << 63, 1000).astype(np.uint64), np.arange(200), 30)
+    assert np.mean([len(index.candidates(v)) for v in index._blocks(asked).T]) < 0.05 * len(items)
 
 
 def plain_removed(rows):
