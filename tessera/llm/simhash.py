@@ -7,9 +7,10 @@ and its low segment in the second; whole distances are then verified. A ball is
 is 0 to 1, since the other fingerprint of a pair walks the rest.
 
 Only different fingerprints are looked up, each once, however many texts have it. A segment that more than CROWD
-fingerprints share gets keys of a second level: the ball of radius one around the other segment, on both sides. Two
-fingerprints that may match share at least one of those, and such a key holds at most 33 * 33 fingerprints, so no
-bucket grows with the data.
+fingerprints share, or that those reach, gets keys of a second level from the other segment. Two fingerprints with the
+same first segment both have the ball of radius one around their other one; where the first differs in a bit, one
+has the ball and the other its segment itself. Two that may match share one of these keys, and such a key holds at
+most 33 * 33 fingerprints, so no bucket grows with the data.
 """
 
 from __future__ import annotations
@@ -69,30 +70,51 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, print long")
 
 
-def _ball(segment, upwards: bool = False):
-    """A segment of 32 bits and all values one bit from it; upwards: those with one bit more."""
-    bits = F.array(*(F.lit(1 << i).cast("long") for i in range(32)))
-    near = F.filter(bits, lambda m: segment.bitwiseAND(m) == 0) if upwards else bits
-    return F.concat(F.array(segment), F.transform(near, lambda m: segment.bitwiseXOR(m)))
+def _bits(*before: int):
+    """An array of the numbers before, -1, and those of a segment's bits."""
+    return F.array(*map(F.lit, [*before, -1, *range(32)]))
+
+
+def _mask(bit: str):
+    """The bit as a long; 0 for negative numbers."""
+    return F.when(F.col(bit) < 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.col(bit)))
+
+
+def _lookups(prints: DataFrame) -> DataFrame:
+    """side, key, own (whether it is the print's own segment), other, print: where each print is looked up."""
+    rows = prints.select("print", F.shiftrightunsigned("print", 32).alias("high"), F.col("print").bitwiseAND(F.lit(0xFFFFFFFF)).alias("low"), F.explode(_bits(-2)).alias("bit"))
+    rows = rows.withColumn("mask", _mask("bit")).filter(F.col("high").bitwiseAND(F.col("mask")) == 0)
+    low = F.col("bit") == -2
+    key, other = F.when(low, F.col("low")).otherwise(F.col("high").bitwiseXOR(F.col("mask"))), F.when(low, F.col("high")).otherwise(F.col("low"))
+    return rows.select(low.cast("int").alias("side"), key.alias("key"), (F.col("bit") < 0).alias("own"), other.alias("other"), "print")
 
 
 def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     """u, v: pairs of the different values of print that are at most RADIUS bits apart, each at least once."""
-    high, low = F.shiftrightunsigned("print", 32), F.col("print").bitwiseAND(F.lit(0xFFFFFFFF))
-    both = prints.select("print", high.alias("high"), low.alias("low"))
-    looked = F.concat(
-        F.transform(_ball(F.col("high"), upwards=True), lambda k: F.struct(F.lit(0).alias("side"), k.alias("key"), (k == F.col("high")).alias("own"), F.col("low").alias("other"))),
-        F.array(F.struct(F.lit(1).alias("side"), F.col("low").alias("key"), F.lit(True).alias("own"), F.col("high").alias("other"))),
-    )
-    asked = both.select("print", F.explode(looked).alias("x")).select("print", "x.*")
-    indexed = both.select(F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("high").alias("key")), F.struct(F.lit(1).alias("side"), F.col("low").alias("key")))).alias("x")).select("x.*")
-    crowded = written(indexed.groupBy("side", "key").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).drop("n"), "crowded").withColumn("full", F.lit(True))
-    rows = join_small_or_shuffled(asked, crowded, ["side", "key"], "left", F.lit(16))
-    second = F.when(F.col("full"), _ball(F.col("other"))).otherwise(F.array(F.lit(-1).cast("long")))
-    rows = written(rows.select("side", "key", "own", "print", F.explode(second).alias("near")), "buckets")
-    a, b = rows.filter("own").select("side", "key", "near", F.col("print").alias("u")), rows.select("side", "key", "near", F.col("print").alias("v"))
+    asked = _lookups(prints)
+    crowded = _crowded(written(asked.filter("own").groupBy("side", "key").agg(F.count("*").alias("n")), "segments"), crowd)
+    rows = join_small_or_shuffled(asked, crowded, ["side", "key"], "left", F.lit(16)).filter("full is null or full")
+    steps = F.when(F.col("full") & F.col("own"), _bits(-2)).when(F.col("full"), _bits()).otherwise(F.array(F.lit(-3)))
+    rows = rows.select("side", "key", "own", "print", "other", F.explode(steps).alias("bit"))
+    kind = F.when(F.col("bit") == -3, 0).when(F.col("own") & (F.col("bit") > -2), 2).otherwise(1)
+    near = F.when(F.col("bit") == -3, F.lit(-1).cast("long")).otherwise(F.col("other").bitwiseXOR(_mask("bit")))
+    rows = rows.select("side", "key", "own", "print", kind.alias("kind"), near.alias("near"))
+    on = ["side", "key", "kind", "near"]
+    a, b = rows.filter("own").select(*on, F.col("print").alias("u")), rows.select(*on, F.col("print").alias("v"))
     close = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS
-    return a.join(b, ["side", "key", "near"]).filter((F.col("u") != F.col("v")) & close).select("u", "v")
+    return a.join(b, on).filter((F.col("u") != F.col("v")) & close).select("u", "v")
+
+
+def _crowded(segments: DataFrame, crowd: int) -> DataFrame:
+    """side, key, full of the segments that many fingerprints have or ask for: full if they get a second level, else no fingerprint has them.
+
+    segments: side, key, n. Besides a segment that over crowd fingerprints have, those that they reach upwards.
+    """
+    hot = segments.filter(F.col("n") > crowd).select("side", "key")
+    reached = hot.filter("side = 0").select("side", "key", F.explode(_bits()).alias("bit")).withColumn("mask", _mask("bit")).filter(F.col("key").bitwiseAND(F.col("mask")) == 0)
+    around = written(hot.unionByName(reached.select("side", F.col("key").bitwiseXOR(F.col("mask")).alias("key"))).distinct(), "around")
+    there = join_small_or_shuffled(segments, around, ["side", "key"], "left_semi", F.lit(16)).select("side", "key", F.lit(True).alias("full"))
+    return written(around.join(there, ["side", "key"], "left").withColumn("full", F.coalesce("full", F.lit(False))), "crowded")
 
 
 def _join_crowded(rows: DataFrame, found: DataFrame, key: str, value: str) -> DataFrame:
