@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.blockstats import STATS, histograms, with_statistics
 from ..functions.labels import TYPES, anomalous, classified, override
+from ..sources.sinks import small, written
 
 STAT_NAMES = [x.split()[0] for x in STATS.split(", ")]
 #: Blocks beyond that many candidates: only the suspicious ones, in order of id.
@@ -36,11 +37,21 @@ def candidates(labelled: DataFrame, reach: int = 2) -> DataFrame:
 
 
 def capped_candidates(labelled: DataFrame, cap: int = CANDIDATE_CAP, reach: int = 2) -> DataFrame:
-    """The candidates of each image; of an image with more than cap only suspicious blocks, the first cap by id."""
-    found = candidates(labelled, reach)
-    image = Window.partitionBy("image_id")
-    numbered = found.withColumn("n_candidates", F.count("*").over(image)).withColumn("k", F.row_number().over(image.orderBy(F.desc("is_suspicious"), "block_id")))
-    return numbered.filter((F.col("n_candidates") <= cap) | (F.col("is_suspicious") & (F.col("k") <= cap))).drop("n_candidates", "k")
+    """The candidates of each image; of an image with more than cap only suspicious blocks, the first cap by id.
+
+    Candidates are counted by stretch of an image. Sums over the stretches before say which are kept whole and in
+    which one the cap falls, so ranks are of blocks within a stretch and no image is ever in one place.
+    """
+    found = written(candidates(labelled, reach).withColumn("stretch", F.call_function("shiftright", "block_id", F.lit(16))), "candidates")
+    before = Window.partitionBy("image_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    per = found.groupBy("image_id", "stretch").agg(F.count("*").alias("n"), F.count_if("is_suspicious").alias("s"))
+    per = per.withColumns({"few": F.sum("n").over(Window.partitionBy("image_id")) <= cap, "room": cap - F.coalesce(F.sum("s").over(before), F.lit(0))})
+    per = per.filter("few or (room > 0 and s > 0)").select("image_id", "stretch", "few", "room", (F.col("s") > F.col("room")).alias("cut"))
+    rank = F.row_number().over(Window.partitionBy("image_id", "stretch").orderBy("block_id"))
+    j = found.join(small(per), ["image_id", "stretch"]).filter("few or is_suspicious")
+    inside = j.filter("few or not cut").drop("cut", "room", "few", "stretch")
+    last = j.filter("not few and cut").withColumn("rank", rank).filter("rank <= room").drop("cut", "room", "few", "stretch", "rank")
+    return inside.unionByName(last)
 
 
 def apply_model(labelled: DataFrame, predicted: DataFrame) -> DataFrame:

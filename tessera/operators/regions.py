@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import PARTIAL, STRONG, TYPES, round3
+from .intervals import containing
 
 # Fixed values.
 MAX_GAP, MIN_BLOCKS, BAND_GAP, MIN_BANDS, NEAR, SELF_EVIDENT, BLOCK = 8, 16, 4, 3, 50, 64, 512
@@ -179,3 +180,9 @@ def numbered(regions: DataFrame) -> DataFrame:
 def aggregate(labelled: DataFrame, maps: DataFrame | None = None) -> DataFrame:
     """Regions of labelled blocks: image_id, block_id, wipe_type, entropy, confidence, is_suspicious."""
     return numbered(with_boundary(scored(suppress(bands(sized(absorb(runs(labelled)))))), maps))
+
+
+def region_blocks(blocks: DataFrame, regions: DataFrame) -> DataFrame:
+    """blocks (image_id, block_id, any others) with region_id and region_type of each region (see numbered) that holds them; regions may overlap."""
+    r = regions.select("image_id", F.col("id").alias("region_id"), F.col("type").alias("region_type"), (F.col("start") / BLOCK).cast("long").alias("from_block"), ((F.col("end") + 1) / BLOCK - 1).cast("long").alias("to_block"))
+    return containing(blocks, r, "block_id", "from_block", "to_block", top=20).drop("from_block", "to_block")

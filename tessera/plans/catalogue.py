@@ -12,7 +12,9 @@ from ..functions.labels import entropy_meaning, size_text
 from ..functions.registered import register
 from ..operators import blocks, custody, ml, partitions, regions, report, scoring
 from ..sources.blockimage import blocks_of_text, read_images, write_images
-from ..sources.sinks import shared_folder
+from ..sources.ranges import image_hashes as hashes_of_images
+from ..sources.ranges import reread
+from ..sources.sinks import shared_folder, written
 from . import sql, synthetic
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,10 +66,15 @@ def r6(c: str, alias: str | None = None):
 
 
 def _images(spark, sf_dir) -> DataFrame:
-    """The images as files, short blocks filled up with zeros, written to the shared folder and read through the image source."""
+    """The images as files, read through the image source."""
+    return read_images(spark, _folder(spark, sf_dir))
+
+
+def _folder(spark, sf_dir) -> str:
+    """The images as files in the shared folder, short blocks filled up with zeros."""
     folder = shared_folder(spark, "images")
     write_images(_blocks(spark, sf_dir).withColumn("data", F.expr("rpad(data, 512, X'00')")), folder)
-    return read_images(spark, folder)
+    return folder
 
 
 _BYTES = "SELECT image_id, block_id, block_id * 512 AS \"offset\", 512::BIGINT AS n_bytes, sha256(unhex(rpad(hx, 1024, '0'))) AS sha256 FROM img"
@@ -179,12 +186,27 @@ def text_block_labels(spark, sf_dir):
     return blocks.classify(blocks_of_text(spark.read.parquet(f"{sf_dir}/documents.parquet"))).groupBy("wipe_type").agg(F.count("*").alias("blocks"))
 
 
+def _scanned(images: DataFrame) -> DataFrame:
+    """Labels of the blocks of images; several steps need them, so they are a table."""
+    return written(blocks.classify(images).select(*KEYS, "offset", "wipe_type", "entropy", "confidence", "is_suspicious"), "labels")
+
+
+@query(sql.with_(f"{sql.SCANNED}, nb AS (SELECT *, max(susp::INT) OVER (PARTITION BY image_id ORDER BY block_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM lab)", f"{_BYTES} JOIN nb USING (image_id, block_id) WHERE near = 1"))
+def rescan_candidates(spark, sf_dir):
+    """The candidates of a scan of image files, read again by seeks to their byte ranges."""
+    folder = _folder(spark, sf_dir)
+    return _hashed(reread(spark, blocks.candidates(_scanned(read_images(spark, folder))), folder))
+
+
+@query(sql.with_(sql.IMAGES, "SELECT image_id, count(*) * 512 AS n_bytes, sha256(unhex(string_agg(rpad(hx, 1024, '0'), '' ORDER BY block_id))) AS sha256 FROM img GROUP BY image_id"))
+def image_hashes(spark, sf_dir):
+    """The hash of each image's files, one task an image."""
+    return hashes_of_images(spark, _folder(spark, sf_dir))
+
+
 def _scan(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Labels and regions of the image files; the labels, which several steps need, are a table."""
-    labels = blocks.classify(_images(spark, sf_dir)).select(*KEYS, "offset", "wipe_type", "entropy", "confidence", "is_suspicious")
-    folder = shared_folder(spark, "labels")
-    labels.write.parquet(folder)
-    labels = spark.read.schema(labels.schema).parquet(folder)
+    """Labels and regions of the image files."""
+    labels = _scanned(_images(spark, sf_dir))
     return labels, regions.aggregate(labels, synthetic.maps(events(spark, sf_dir)))
 
 
@@ -306,12 +328,11 @@ def neighbour_window(spark, sf_dir):
 @query(
     sql.with_(
         _NEAR + ", ct AS (SELECT *, count(*) OVER (PARTITION BY image_id) AS k, row_number() OVER (PARTITION BY image_id, susp ORDER BY block_id) AS rn FROM nb WHERE near = 1)",
-        "SELECT image_id, block_id, wipe_type FROM ct WHERE k <= 500 OR susp AND rn <= 500",
+        "SELECT image_id, block_id, wipe_type FROM ct WHERE k <= 50000 OR susp AND rn <= 50000",
     )
 )
 def candidate_cap(spark, sf_dir):
-    """The cap is the operator's; here it is low enough to bind on these tables."""
-    return blocks.capped_candidates(_labelled(spark, sf_dir), cap=500).select(*KEYS, "wipe_type")
+    return blocks.capped_candidates(_labelled(spark, sf_dir)).select(*KEYS, "wipe_type")
 
 
 _ML = f"""{sql.LABELLED}, pr AS (SELECT image_id, block_id, ['RANDOM_WIPE', 'NORMAL', 'ZERO_WIPE', 'FF_WIPE', 'MULTI_PASS'][(event_id // 3) % 5 + 1] AS ml, 0.4 + ((event_id * 31) % 60) / 100 AS mc FROM p WHERE event_id % 3 <> 0),
@@ -346,13 +367,14 @@ def ml_summary(spark, sf_dir):
     sql.with_(
         sql.PLACED + ", ".join(["", *(f"v{a} AS (SELECT image_id, block_id, event_id, list_transform(range(5), lambda j: ((event_id * {a} + j * j * 7) % 10 + 1)) AS w FROM p)" for a in (3, 7, 9))])
         + ", mv AS (SELECT v3.image_id, v3.block_id, list_transform(range(1, 6), lambda j: (v3.w[j] / list_sum(v3.w) + v7.w[j] / list_sum(v7.w) + v9.w[j] / list_sum(v9.w)) / 3) AS p FROM v3 JOIN v7 USING (event_id) JOIN v9 USING (event_id))",
-        "SELECT image_id, block_id, round(list_max(p), 6) AS ml_confidence FROM mv",
+        "SELECT image_id, block_id, ['RANDOM_WIPE', 'NORMAL', 'ZERO_WIPE', 'FF_WIPE', 'MULTI_PASS'][list_position(list_transform(p, lambda x: round(x, 9)), round(list_max(p), 9))] AS ml_label, round(list_max(p), 6) AS ml_confidence FROM mv",
     )
 )
 def mean_vote(spark, sf_dir):
     v = synthetic.votes(events(spark, sf_dir))
-    _, sure = ml.label_of(ml.mean_vote([F.col("rf"), F.col("et"), F.col("gb")]))
-    return v.select(*KEYS, r6_of(sure, "ml_confidence"))
+    mean = F.transform(ml.mean_vote([F.col("rf"), F.col("et"), F.col("gb")]), lambda x: F.round(x, 9))  # equal sums of thirds are ties
+    label, sure = ml.label_of(mean)
+    return v.select(*KEYS, label.alias("ml_label"), r6_of(sure, "ml_confidence"))
 
 
 def r6_of(c, alias: str):
@@ -421,6 +443,12 @@ def boundary_context(spark, sf_dir):
     return _regions(spark, sf_dir).select("image_id", "id", "boundary_context", F.round("confidence", 3).alias("confidence"))
 
 
+@query(sql.with_(sql.REGIONS, 'SELECT lab.image_id, block_id, wipe_type, id AS region_id, type AS region_type FROM rg JOIN lab ON lab.image_id = rg.image_id AND block_id * 512 BETWEEN start AND "end"'))
+def region_blocks(spark, sf_dir):
+    """The blocks of each region."""
+    return regions.region_blocks(_labelled(spark, sf_dir).select(*KEYS, "wipe_type"), _regions(spark, sf_dir)).select(*KEYS, "wipe_type", "region_id", "region_type")
+
+
 @query(sql.with_(sql.REGIONS, 'SELECT image_id, id, start, "end", size, type, round(entropy, 6) AS entropy, round(confidence, 3) AS confidence, block_count, n_susp, boundary_context FROM rg'))
 def region_ids(spark, sf_dir):
     return _regions(spark, sf_dir).withColumns({"entropy": F.round("entropy", 6), "confidence": F.round("confidence", 3)})
@@ -459,6 +487,21 @@ def partition_maps(spark, sf_dir):
     return t.groupBy("image_id", "scheme").agg(F.count("start_lba").alias("partitions"), F.max("last_used_lba").alias("last_used_lba"), F.max("disk_size_lba").alias("disk_size_lba"))
 
 
+@query(sql.with_(f"{sql.DISKS}, {sql.PART_ERRORS}", "SELECT 'disk' || d::VARCHAR AS image_id, coalesce(string_agg(t, '; ' ORDER BY o, i), '') AS errors FROM (SELECT DISTINCT d FROM dk) LEFT JOIN er USING (d) GROUP BY d"))
+def partition_errors(spark, sf_dir):
+    """What is wrong with each disk's tables."""
+    t = partitions.tables_of_blocks(synthetic.disks(events(spark, sf_dir)))
+    return t.select("image_id", F.array_join("errors", "; ").alias("errors")).distinct()
+
+
+@query(sql.with_(f"{sql.DISKS}, pa AS ({sql.PARTS})", "SELECT 'disk' || d::VARCHAR AS image_id, s * 512 AS \"offset\", coalesce(min(\"index\"), -1) AS \"index\", arg_min(type_name, \"index\") AS type_name FROM dk LEFT JOIN pa ON pa.image_id = 'disk' || d::VARCHAR AND s * 512 BETWEEN start_offset AND end_offset GROUP BY d, s"))
+def offset_partition(spark, sf_dir):
+    """The partition that holds the first byte of each sector; -1 and null in gaps."""
+    disks = synthetic.disks(events(spark, sf_dir))
+    found = partitions.partition_of(disks.select("image_id", (F.col("block_id") * 512).alias("offset")), partitions.tables_of_blocks(disks))
+    return found.withColumn("index", F.coalesce("index", F.lit(-1)))
+
+
 @query(sql.with_(f"{sql.LABELLED}, {sql.BLOCKS_}", "SELECT image_id, total_blocks, suspicious_blocks, round(100 * suspicious_blocks / total_blocks, 4) AS suspicious_pct, round(avg_entropy_flagged, 6) AS avg_entropy_flagged FROM bs"))
 def suspicious_stats(spark, sf_dir):
     s = scoring.block_stats(_labelled(spark, sf_dir))
@@ -510,9 +553,9 @@ def largest_region(spark, sf_dir):
     return _scores(spark, sf_dir).select("image_id", F.col("largest_region_id").cast("long").alias("largest_region_id"), "largest_region_size", F.round("avg_region_size", 3).alias("avg_region_size"))
 
 
-@query(sql.with_(f"{sql.LABELLED}, u AS (SELECT image_id, wipe_type AS type, count(*) AS block_count FROM lab WHERE susp GROUP BY ALL)", "SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY block_count DESC, list_position(['ZERO_WIPE', 'FF_WIPE', 'RANDOM_WIPE', 'MULTI_PASS', 'LIKELY_ZERO_WIPE', 'LIKELY_FF_WIPE', 'LOW_ENTROPY_SUSPECT'], type)) AS rank, type, block_count FROM u"))
+@query(sql.with_(f"{sql.LABELLED}, u AS (SELECT image_id, wipe_type AS type, count(*) AS block_count FROM lab WHERE susp GROUP BY ALL)", f"SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY block_count DESC, list_position(['ZERO_WIPE', 'FF_WIPE', 'RANDOM_WIPE', 'MULTI_PASS', 'LIKELY_ZERO_WIPE', 'LIKELY_FF_WIPE', 'LOW_ENTROPY_SUSPECT'], type)) AS rank, type, block_count, {sql.TYPE_TOOLS} AS tools FROM u"))
 def types_ranked(spark, sf_dir):
-    return report.types_ranked(scoring.block_stats(_labelled(spark, sf_dir))).select("image_id", F.col("rank").cast("long").alias("rank"), "type", "block_count")
+    return report.types_ranked(scoring.block_stats(_labelled(spark, sf_dir))).select("image_id", F.col("rank").cast("long").alias("rank"), "type", "block_count", F.concat_ws("; ", "tools").alias("tools"))
 
 
 @query(sql.with_(sql.REGIONS, "SELECT image_id, id, type, '0x' || lpad(upper(to_hex(start)), 8, '0') || '-0x' || lpad(upper(to_hex(\"end\")), 8, '0') AS bounds, block_count FROM rg WHERE id <= 20"))
@@ -520,10 +563,7 @@ def top_regions(spark, sf_dir):
     return report.top_regions(_regions(spark, sf_dir)).select("image_id", "id", "type", "bounds", "block_count")
 
 
-_TOOLS = "SELECT image_id, basis, CASE basis " + " ".join(f"WHEN '{k}' THEN '{'; '.join(sorted(v))}'" for k, v in report.ATTRIBUTION.items()) + " ELSE '' END AS tools FROM ba"
-
-
-@query(sql.with_(f"{sql.LABELLED}, {sql.BLOCKS_}, ba AS (SELECT image_id, CASE WHEN \"n_MULTI_PASS\" > 0 THEN 'multi' WHEN \"n_RANDOM_WIPE\" > 0 AND \"n_ZERO_WIPE\" > 0 THEN 'random and zero' WHEN \"n_RANDOM_WIPE\" > 0 THEN 'random' WHEN \"n_ZERO_WIPE\" > 0 THEN 'zero' WHEN \"n_FF_WIPE\" > 0 THEN 'ff' ELSE 'none' END AS basis FROM bs)", _TOOLS))
+@query(sql.with_(f"{sql.LABELLED}, {sql.BLOCKS_}, ba AS (SELECT image_id, CASE WHEN \"n_MULTI_PASS\" > 0 THEN 'multi' WHEN \"n_RANDOM_WIPE\" > 0 AND \"n_ZERO_WIPE\" > 0 THEN 'random and zero' WHEN \"n_RANDOM_WIPE\" > 0 THEN 'random' WHEN \"n_ZERO_WIPE\" > 0 THEN 'zero' WHEN \"n_FF_WIPE\" > 0 THEN 'ff' ELSE 'none' END AS basis FROM bs)", f"SELECT image_id, basis, {sql.TOOLS} AS tools FROM ba"))
 def tool_attribution(spark, sf_dir):
     return report.attribution(scoring.block_stats(_labelled(spark, sf_dir))).select("image_id", "basis", F.concat_ws("; ", "tools").alias("tools"))
 
@@ -542,10 +582,7 @@ def actions(spark, sf_dir):
     return report.actions(_scores(spark, sf_dir)).groupBy("image_id").agg(F.count("*").alias("actions"))
 
 
-_TITLES = " ".join(f"WHEN '{v}' THEN [{', '.join(repr(a) for _, a, c in some if not c)}]" for v, some in report.ACTIONS.items())
-
-
-@query(sql.with_(f"{sql.SCORES}, ac AS (SELECT image_id, unnest(list_concat(CASE verdict {_TITLES} END, CASE WHEN \"n_RANDOM_WIPE\" + \"n_MULTI_PASS\" > 0 THEN CASE verdict WHEN 'HIGH' THEN ['Wipe Tool Identification'] WHEN 'MEDIUM' THEN ['Wipe Tool Artefact Search'] ELSE [] END ELSE [] END,"
+@query(sql.with_(f"{sql.SCORES}, ac AS (SELECT image_id, unnest(list_concat({sql.TITLES}, CASE WHEN \"n_RANDOM_WIPE\" + \"n_MULTI_PASS\" > 0 THEN CASE verdict WHEN 'HIGH' THEN ['Wipe Tool Identification'] WHEN 'MEDIUM' THEN ['Wipe Tool Artefact Search'] ELSE [] END ELSE [] END,"
     " CASE WHEN coverage_pct > 50 AND verdict = 'HIGH' THEN ['Full-Disk Sanitisation Confirmation'] ELSE [] END, ['Evidence Hash Verification'])) AS action FROM t3)", "SELECT image_id, action FROM ac"))
 def action_titles(spark, sf_dir):
     return report.actions(_scores(spark, sf_dir)).select("image_id", "action")
@@ -599,6 +636,8 @@ def custody_verify(spark, sf_dir):
     return custody.violations(synthetic.tampered(custody.chained(synthetic.custody_entries(events(spark, sf_dir)))))
 
 
-@query(f"{sql.CHAIN} SELECT session_id, count(*) AS total_entries, arg_max(entry_hash, sequence) AS final_hash FROM ch GROUP BY session_id")
+@query(f"{sql.CHAIN} SELECT session_id, count(*) AS total_entries, arg_max(entry_hash, sequence) AS final_hash, sha256(string_agg(sequence || '|' || ts || '|' || et || '|' || d || '|' || entry_hash, chr(10) ORDER BY sequence)) AS events_sha256 FROM ch GROUP BY session_id")
 def custody_summary(spark, sf_dir):
-    return custody.summary(custody.chained(synthetic.custody_entries(events(spark, sf_dir)))).select("session_id", "total_entries", "final_hash")
+    s = custody.summary(custody.chained(synthetic.custody_entries(events(spark, sf_dir))))
+    lines = F.transform("events", lambda e: F.concat_ws("|", e["sequence"].cast("string"), e["timestamp_utc"], e["event_type"], e["description"], e["entry_hash"]))
+    return s.select("session_id", "total_entries", "final_hash", F.sha2(F.array_join(lines, "\n"), 256).alias("events_sha256"))

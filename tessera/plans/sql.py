@@ -120,10 +120,33 @@ pt AS (SELECT d, 'MBR' AS scheme, i AS idx, first, first + n - 1 AS last, kind,
   UNION ALL SELECT d, CASE WHEN guard THEN 'GPT' ELSE 'HYBRID' END, idx, first, last, 255, flags & 4 = 4, nm FROM gp JOIN sc USING (d)),
 mp AS (SELECT x.d, coalesce(any_value(sc.scheme), 'UNKNOWN') AS scheme, count(pt.d) AS partitions, coalesce(max(last), 0) AS last_used_lba, any_value(size) AS disk_size_lba
   FROM (SELECT d, sum(length(hx)) // 1024 AS size FROM dk GROUP BY d) x LEFT JOIN sc USING (d) LEFT JOIN pt USING (d) GROUP BY x.d)"""
+#: What is wrong with them, in order; for DISKS.
+PART_ERRORS = """lost AS (SELECT con.d, base AS target FROM con JOIN sc USING (d) WHERE scheme = 'MBR' AND NOT EXISTS (SELECT 1 FROM rec r WHERE r.d = con.d AND r.s = base)
+  UNION ALL SELECT ch.d, base + step FROM ch JOIN sc USING (d) WHERE scheme = 'MBR' AND link IN (5, 15, 133) AND step > 0 AND NOT EXISTS (SELECT 1 FROM rec r WHERE r.d = ch.d AND r.s = ch.base + ch.step)),
+er AS (SELECT d, 0 AS o, i, 'entry ' || i || ': status byte 0x' || lpad(upper(hex(status)), 2, '0') AS t FROM sl WHERE status NOT IN (0, 128)
+  UNION ALL SELECT d, 1, 0, 'no GPT header' FROM gd WHERE guard AND d NOT IN (SELECT d FROM gh)
+  UNION ALL SELECT d, 2, 0, 'GPT entries of ' || size || ' bytes' FROM gh JOIN gd USING (d) WHERE size < 128
+  UNION ALL SELECT d, 3, i, 'GPT entry ' || i || ' has no length' FROM gv WHERE first > 0 AND last > 0 AND first >= last
+  UNION ALL SELECT d, 4, 0, 'no partition in the GPT, the boot record''s entries count' FROM sc WHERE scheme = 'MBR' AND (guard OR d IN (SELECT d FROM gh))
+  UNION ALL SELECT d, 5, 0, 'no boot record at sector ' || target FROM lost
+  UNION ALL SELECT d, 6, 0, 'no entry in the boot record' FROM sc WHERE scheme = 'MBR' AND d NOT IN (SELECT d FROM pt)
+  UNION ALL SELECT DISTINCT d, 7, 0, 'no boot signature' FROM dk WHERE d NOT IN (SELECT d FROM boot))"""
 PARTS = """SELECT 'disk' || d::VARCHAR AS image_id, scheme, idx::INT AS "index", first AS start_lba, last AS end_lba, last - first + 1 AS sector_count, kind::INT AS part_type,
-  coalesce(nm, CASE kind WHEN 7 THEN 'NTFS / exFAT / HPFS' WHEN 11 THEN 'FAT32 (CHS)' WHEN 131 THEN 'Linux' WHEN 238 THEN 'GPT Protective MBR' ELSE 'Unknown (0x' || upper(hex(kind)) || ')' END) AS type_name,
+  coalesce(nm, CASE kind WHEN 7 THEN 'NTFS / exFAT / HPFS' WHEN 11 THEN 'FAT32 (CHS)' WHEN 131 THEN 'Linux' WHEN 238 THEN 'GPT Protective MBR' WHEN 255 THEN 'Unknown' ELSE 'Unknown (0x' || upper(hex(kind)) || ')' END) AS type_name,
   boot AS is_bootable, first * 512 AS start_offset, (last + 1) * 512 - 1 AS end_offset, '0x' || lower(ltrim(hex(kind), '0')) AS type_code FROM pt"""
 
 
+# Written out apart from the operators, which must give the same.
+TOOLS = """CASE basis WHEN 'multi' THEN 'Blancco; DBAN (Gutmann/DoD mode); Eraser; shred -n 3+' WHEN 'random and zero' THEN 'DoD 5220.22-M wiper; sdelete -p; shred (multi-pass)'
+  WHEN 'random' THEN 'Eraser (random pass); dd if=/dev/urandom; shred; srm' WHEN 'zero' THEN 'TRIM; cipher /w:; dd if=/dev/zero; sdelete -z'
+  WHEN 'ff' THEN 'Flash memory erase; firmware wipe; hdparm --security-erase' ELSE '' END"""
+TYPE_TOOLS = """CASE type WHEN 'ZERO_WIPE' THEN 'Windows format /P:1; cipher /w:; dd (if=/dev/zero); sdelete -z' WHEN 'FF_WIPE' THEN 'Flash erase; dd (if=/dev/urandom truncated); hdparm --security-erase'
+  WHEN 'RANDOM_WIPE' THEN 'DBAN random pass; Eraser; dd (if=/dev/urandom); sdelete -p; shred; srm' WHEN 'MULTI_PASS' THEN 'Blancco; DBAN Gutmann (35-pass); DoD 5220.22-M (7-pass); Eraser Gutmann; shred -n 3/7'
+  WHEN 'LIKELY_ZERO_WIPE' THEN 'Interrupted zero-fill; Partial wipe; TRIM-affected sectors' WHEN 'LIKELY_FF_WIPE' THEN 'Flash device residue; Interrupted FF-fill' ELSE 'Unknown' END"""
+TITLES = """CASE verdict WHEN 'HIGH' THEN ['Preserve and Isolate Evidence', 'Assign Qualified Forensic Examiner', 'Filesystem Metadata Carving', 'Timeline Correlation', 'Network and Cloud Artefact Review']
+  WHEN 'MEDIUM' THEN ['Manual Region Verification', 'Filesystem Metadata Correlation', 'Selective vs Full-Disk Assessment', 'Expanded Image Acquisition']
+  WHEN 'LOW' THEN ['Supplementary Manual Review', 'Alternative Explanation Assessment', 'Contextual Investigation'] ELSE ['No Immediate Forensic Action Required', 'Retain Image for Reference'] END"""
+
+
 def with_(parts: str, select: str) -> str:
     return f"WITH {parts} {select}"

@@ -126,8 +126,8 @@ def _record(*entries: str) -> str:
     return f"concat(repeat('00', 446), {', '.join(entries)}, repeat('00', {16 * (4 - len(entries))}), '55AA')"
 
 
-def _gpt_head(size: int) -> str:
-    return f"concat(hex('EFI PART'), repeat('00', 64), {le('2', 8)}, {le('4', 4)}, {le(str(size), 4)}, repeat('00', 424))"
+def _gpt_head(size: int, at: int = 2) -> str:
+    return f"concat(hex('EFI PART'), repeat('00', 64), {le(str(at), 8)}, {le('4', 4)}, {le(str(size), 4)}, repeat('00', 424))"
 
 
 def _gpt_entry(first: str, last: str, flags: int, name: str) -> str:
@@ -139,17 +139,23 @@ DISK_SECTORS = 100
 DISK, AT = f"cast(floor(event_id / {DISK_SECTORS}) as bigint)", f"(event_id % {DISK_SECTORS})"
 _KIND = f"({DISK} % 5)"
 _GUARD, _PLAIN = _entry("00", "EE", "1", "99"), _entry("80", "07", "5", f"3 + {_KIND}")
-_ENTRIES = f"concat({_gpt_entry('10', '29', 4, 'boot')}, {_gpt_entry('30', '30', 0, 'one')}, {_gpt_entry('40', f'59 + {_KIND}', 0, '')}, repeat('00', 128))"
+_THREE = [_gpt_entry("10", "29", 4, "boot"), _gpt_entry("30", "30", 0, "one"), _gpt_entry("40", f"59 + {_KIND}", 0, "")]
+_ENTRIES = f"concat({', '.join(_THREE)}, repeat('00', 128))"
+_ALONE = [f"concat({e}, repeat('00', 384))" for e in _THREE]
 #: The hex of sector AT of disk DISK, in SQL of both dialects: no table; primary partitions, one with an odd status; a
-#: chain of logical ones, sometimes with a loop; GPT; GPT without its guard; a GPT with short entries.
-SECTOR = f"""CASE {DISK} % 6
+#: chain of logical ones, sometimes with a loop; GPT; GPT without its guard; a GPT with short entries; one with an entry
+#: a sector; one whose entries are far from its header; a chain on a disk that is overwritten with boot signatures.
+SECTOR = f"""CASE {DISK} % 9
   WHEN 1 THEN CASE WHEN {AT} = 0 THEN {_record(_entry('80', '07', f'10 + {_KIND}', '20'), _entry('13', '83', '40', f'10 + {_KIND}'))} END
   WHEN 2 THEN CASE {AT} WHEN 0 THEN {_record(_entry('00', '0B', '3', '20'), _entry('00', '05', '30', '60'))}
     WHEN 30 THEN {_record(_entry('80', '83', '1', f'5 + {_KIND}'), _entry('00', '05', '15', '20'))}
     WHEN 45 THEN {_record(_entry('00', '99', '0', '8'), _entry('00', '05', f'15 * ({DISK} % 12 - 2)', '0'))} WHEN 105 THEN '' END
   WHEN 3 THEN CASE {AT} WHEN 0 THEN {_record(_GUARD)} WHEN 1 THEN {_gpt_head(128)} WHEN 2 THEN {_ENTRIES} END
   WHEN 4 THEN CASE {AT} WHEN 0 THEN {_record(_PLAIN)} WHEN 1 THEN {_gpt_head(128)} WHEN 2 THEN {_ENTRIES} END
-  WHEN 5 THEN CASE {AT} WHEN 0 THEN {_record(_GUARD, _PLAIN)} WHEN 1 THEN {_gpt_head(64)} WHEN 2 THEN {_ENTRIES} END END"""
+  WHEN 5 THEN CASE {AT} WHEN 0 THEN {_record(_GUARD, _PLAIN)} WHEN 1 THEN {_gpt_head(64)} WHEN 2 THEN {_ENTRIES} END
+  WHEN 6 THEN CASE {AT} WHEN 0 THEN {_record(_GUARD)} WHEN 1 THEN {_gpt_head(512)} WHEN 2 THEN {_ALONE[0]} WHEN 3 THEN {_ALONE[1]} WHEN 4 THEN {_ALONE[2]} END
+  WHEN 7 THEN CASE {AT} WHEN 0 THEN {_record(_GUARD)} WHEN 1 THEN {_gpt_head(128, 70)} WHEN 70 THEN {_ENTRIES} END
+  WHEN 8 THEN CASE {AT} WHEN 0 THEN {_record(_entry('00', '05', '30', '60'))} WHEN 30 THEN {_record(_entry('80', '83', '1', f'5 + {_KIND}'), _entry('00', '05', '15', '20'))} ELSE repeat('55AA', 256) END END"""
 
 
 def disks(events: DataFrame) -> DataFrame:

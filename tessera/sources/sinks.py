@@ -16,7 +16,29 @@ def shared_folder(spark: SparkSession, what: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-tessera-")
-    return f"{root.rstrip('/')}/tessera/{what}-{uuid.uuid4().hex}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/tessera/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+
+
+def tidy(spark: SparkSession) -> None:
+    """Deletes all tables that this application has written to the shared folder; for when its results have been read or stored elsewhere."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/tessera/{spark.sparkContext.applicationId}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """Cuts lineage: the rows as a Parquet table in the shared folder, read again; what several steps need is made once."""
+    folder = shared_folder(df.sparkSession, what)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def small(rows: DataFrame, limit_rows: int = 200_000) -> DataFrame:
+    """rows of a few numbers each, to be joined to: broadcast while a count of them is within the limit, else left to a shuffle."""
+    rows = written(rows, "small")
+    return F.broadcast(rows) if rows.limit(limit_rows + 1).count() <= limit_rows else rows
 
 
 def result_documents(scores: DataFrame, regions: DataFrame, reports: DataFrame, custody: DataFrame | None = None) -> DataFrame:

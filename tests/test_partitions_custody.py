@@ -85,6 +85,38 @@ def test_tables_of_files_and_of_blocks(spark, tmp_path):
     assert partitions.partition_tables(spark.createDataFrame([], "image_id string, path string")).count() == 0
 
 
+def test_unusual_tables(spark, tmp_path):
+    """Entries wider than a sector holds four of, an array far away or beyond the disk, entries over two sectors, a disk full of boot signatures, long chains and loops."""
+    def laid(entries, size, at, count=None):
+        head, body = gpt(entries, size, count)
+        head = bytearray(head)
+        struct.pack_into("<Q", head, 72, at)
+        return {0: mbr((0, 0xEE, 1, 3999)), 1: bytes(head), at: body}
+
+    many = [(100 + 10 * k, 105 + 10 * k, k % 8, f"part {k}") for k in range(100)]
+    full = {k: b"\x55\xaa" * 256 for k in range(400)}
+    chain = {0: mbr((0, 0x0F, 100, 900))} | {100 + k: mbr((0, 0x83, 1, 5 + k), (0, 0x05, k + 1, 9)) for k in range(70)}
+    images = {
+        "wide": laid(many, 512, 2), "odd": laid(many[:9], 200, 3), "far": laid(many, 128, 300), "gone": laid(many[:3], 128, 399), "lost": laid(many[:3], 128, 1 << 40), "most": laid(many, 128, 2, 300),
+        "fill": full, "filled": full | {0: mbr((0, 5, 30, 60))}, "chain": chain, "loop": chain | {169: mbr((0, 0x83, 1, 5), (0, 0x05, 3, 9))}, "broken": chain | {130: b""}, "nobase": {0: mbr((0, 5, 3000, 60))},
+        "empty entries": laid([(5, 3, 0, "no length"), (7, 7, 0, "none"), (0, 9, 0, "zero")], 128, 2), "no header": {0: mbr((0, 0xEE, 1, 9))},
+    }
+    for name, sectors in images.items():
+        (tmp_path / name).write_bytes(disk(sectors, 400)(0, 400 * 512))
+    tail = bytearray(disk(laid(many[:3], 128, 399), 400)(0, 400 * 512))[: 399 * 512 + 300]  # ends within the third entry
+    (tmp_path / "cut").write_bytes(tail)
+    rows = [("cut", k, bytes(tail[512 * k : 512 * k + 512])) for k in range(400)]
+    blocks = sectors_of(spark, images, 400).filter("block_id < 400").unionByName(spark.createDataFrame(rows, "image_id string, block_id long, data binary"))
+    files = partitions.partition_tables(spark.createDataFrame([(n, str(tmp_path / n)) for n in [*images, "cut"]], "image_id string, path string")).collect()
+    got = partitions.tables_of_blocks(blocks)
+    assert "InArrow" not in got._jdf.queryExecution().toString() and "InPandas" not in got._jdf.queryExecution().toString()
+    got = got.collect()
+    for name in [*images, "cut"]:
+        assert sorted(map(str, (r for r in got if r.image_id == name))) == sorted(map(str, (r for r in files if r.image_id == name))), name
+    count = lambda name: sum(r.image_id == name and r.start_lba is not None for r in got)
+    assert [count(n) for n in ("wide", "far", "chain", "loop", "broken", "filled")] == [100, 100, 70, 70, 30, 1]
+
+
 def test_offsets(spark):
     tables = partitions.tables_of_blocks(sectors_of(spark, {"a": {0: mbr((0, 7, 100, 100), (0, 7, 300, 100))}, "raw": {}}, 500))
     rows = [("a", 0), ("a", 250 * 512), ("a", 400 * 512 - 1), ("a", 400 * 512), ("raw", 5), ("none", 5)]
