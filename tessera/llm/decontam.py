@@ -91,8 +91,10 @@ class MultiIndex:
         self.prints, self.radius = prints, radius
         self.radii, self.needed, _ = block_radii(radius)
         values = self._blocks(prints)
-        self.order = [np.argsort(v, kind="stable") for v in values]
-        self.offsets = [np.searchsorted(v[o], np.arange((1 << WIDTH) + 1)) for v, o in zip(values, self.order)]
+        self.order = [np.argsort(v, kind="stable").astype(np.int32) for v in values]
+        self.sorted = [v[o].astype(np.uint16) for v, o in zip(values, self.order)]
+        #: A bit for each value of a block, set if a print has it.
+        self.there = [np.packbits(np.bincount(v, minlength=1 << WIDTH) > 0, bitorder="little") for v in values]
 
     @staticmethod
     def _blocks(prints: np.ndarray) -> np.ndarray:
@@ -101,12 +103,12 @@ class MultiIndex:
     def candidates(self, values: np.ndarray) -> np.ndarray:
         """Numbers of the indexed prints that are near enough in enough blocks; values: the blocks of one print."""
         found = []
-        for v, t, order, offsets in zip(values.tolist(), self.radii, self.order, self.offsets):
+        for v, t, order, own, there in zip(values.tolist(), self.radii, self.order, self.sorted, self.there):
             keys = v ^ ball(t)
-            lo, n = offsets[keys], offsets[keys + 1] - offsets[keys]
-            on = np.flatnonzero(n)
-            at = np.repeat(lo[on] - np.r_[0, np.cumsum(n[on])[:-1]], n[on]) + np.arange(n[on].sum())
-            found.append(order[at])
+            keys = keys[there[keys >> 3] >> (keys & 7) & 1 == 1].astype(np.uint16)
+            lo = np.searchsorted(own, keys)
+            n = np.searchsorted(own, keys, "right") - lo
+            found.append(order[np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())])
         hits = np.sort(np.concatenate(found))
         return np.unique(hits[self.needed - 1 :][hits[self.needed - 1 :] == hits[: len(hits) - self.needed + 1]])
 
