@@ -1,7 +1,8 @@
 """Regions of suspicious blocks.
 
-Blocks are summarised to runs in stretches of an image first, so that windows over an image see runs only.
-Every suspicious run knows the sums over all blocks before it; sums over gaps are differences of those.
+Blocks are summarised to runs in stretches of an image, and runs to regions by scans that go along an image in two
+passes (see segments). Every run knows the sums over all blocks before it; sums over gaps are differences of those.
+What a step reads twice is a table.
 """
 
 from __future__ import annotations
@@ -10,27 +11,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import PARTIAL, STRONG, TYPES, round3
+from ..sources.sinks import written
+from . import segments
 from .intervals import containing
 
 # Fixed values.
 MAX_GAP, MIN_BLOCKS, BAND_GAP, MIN_BANDS, NEAR, SELF_EVIDENT, BLOCK = 8, 16, 4, 3, 50, 64, 512
 TYPE_ADJUST = {"ZERO_WIPE": 0.0, "FF_WIPE": -0.02, "RANDOM_WIPE": -0.04, "MULTI_PASS": -0.08, "LIKELY_ZERO_WIPE": -0.12, "LIKELY_FF_WIPE": -0.12, "LOW_ENTROPY_SUSPECT": -0.15}
-STRETCH = 65_536
 
-def _by_image():
-    return Window.partitionBy("image_id").orderBy("first_block")
 
-
-def runs(labelled: DataFrame, stretch: int = STRETCH) -> DataFrame:
+def runs(labelled: DataFrame, bits: int = segments.BITS) -> DataFrame:
     """Maximal runs of blocks that are all suspicious, of any type, or all not.
 
     image_id, is_suspicious, first_block, last_block, n, sum_entropy, sum_confidence, dominant, and before_n,
     before_entropy, before_confidence: the sums over the image's blocks before the run. dominant: the most
     frequent type, of equally frequent ones the first to occur.
     """
-    part = F.floor(F.col("block_id") / stretch)
+    return joined_runs(stretch_runs(labelled, bits), bits)
+
+
+#: Sums of a run that add up when runs are joined.
+SUMS = ("n", "sum_entropy", "sum_confidence")
+
+
+def stretch_runs(labelled: DataFrame, bits: int = segments.BITS) -> DataFrame:
+    """The runs within each stretch: image_id, is_suspicious, first_block, last_block, SUMS, and for each type c_<type> blocks, the first of them f_<type>."""
     w = Window.partitionBy("image_id", "part").orderBy("block_id")
-    b = labelled.withColumn("part", part)
+    b = labelled.withColumn("part", F.call_function("shiftright", "block_id", F.lit(bits)))
     b = b.withColumn("new", F.coalesce((F.col("is_suspicious") != F.lag("is_suspicious").over(w)).cast("int"), F.lit(1)))
     b = b.withColumn("run", F.sum("new").over(w))
     each = [F.count_if(F.col("wipe_type") == t).alias(f"c_{t}") for t in TYPES]
@@ -45,37 +52,37 @@ def runs(labelled: DataFrame, stretch: int = STRETCH) -> DataFrame:
         *each,
         *at,
     )
-    r = r.withColumn("new", F.coalesce((F.col("is_suspicious") != F.lag("is_suspicious").over(_by_image())).cast("int"), F.lit(1)))
-    r = r.withColumn("run", F.sum("new").over(_by_image()))
-    sums = [F.sum(c).alias(c) for c in ("n", "sum_entropy", "sum_confidence", *(f"c_{t}" for t in TYPES))]
-    r = r.groupBy("image_id", "run").agg(
-        F.first("is_suspicious").alias("is_suspicious"), F.min("first_block").alias("first_block"), F.max("last_block").alias("last_block"), *sums, *(F.min(f"f_{t}").alias(f"f_{t}") for t in TYPES)
-    )
+    return r.drop("part", "run")
+
+
+def joined_runs(parts: DataFrame, bits: int = segments.BITS) -> DataFrame:
+    """Runs (see runs) of those within stretches or other parts of an image, which come next to each other without overlaps."""
+    sums = SUMS
+    r = segments.islands(written(parts, "runs"), ["is_suspicious"], lambda a, b: a["is_suspicious"] == b["is_suspicious"], sums, bits)
+    r = r.groupBy("image_id", "island").agg(
+        F.first("is_suspicious").alias("is_suspicious"), F.min("first_block").alias("first_block"), F.max("last_block").alias("last_block"), F.min_by(F.struct(*(f"before_{c}" for c in sums)), "first_block").alias("before"),
+        *(F.sum(c).alias(c) for c in (*sums, *(f"c_{t}" for t in TYPES))), *(F.min(f"f_{t}").alias(f"f_{t}") for t in TYPES),
+    )
     most = F.array_max(F.array(*(F.struct(F.col(f"c_{t}").alias("c"), F.coalesce(-F.col(f"f_{t}"), F.lit(-(1 << 62))).alias("f"), F.lit(t).alias("t")) for t in TYPES)))
-    past = _by_image().rowsBetween(Window.unboundedPreceding, -1)
     return r.select(
-        "image_id", "is_suspicious", "first_block", "last_block", "n", "sum_entropy", "sum_confidence",
-        F.when(F.col("is_suspicious"), most["t"]).alias("dominant"),
-        *(F.coalesce(F.sum(c).over(past), F.lit(0)).alias(f"before_{d}") for c, d in (("n", "n"), ("sum_entropy", "entropy"), ("sum_confidence", "confidence"))),
+        "image_id", "is_suspicious", "first_block", "last_block", *sums, F.when(F.col("is_suspicious"), most["t"]).alias("dominant"),
+        F.col("before.before_n").alias("before_n"), F.col("before.before_sum_entropy").alias("before_entropy"), F.col("before.before_sum_confidence").alias("before_confidence"),
     )
 
 
-def _islands(df: DataFrame, starts: Column) -> DataFrame:
-    return df.withColumn("new", F.coalesce(starts.cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(_by_image()))
-
-
-def absorb(run: DataFrame, max_gap: int = MAX_GAP) -> DataFrame:
+def absorb(run: DataFrame, max_gap: int = MAX_GAP, bits: int = segments.BITS) -> DataFrame:
     """Suspicious runs of one type with gaps of at most max_gap blocks made one; the gaps' blocks belong to it.
 
     full_*: sums with all gaps. avg_entropy leaves out the blocks of the last gap. n_susp: suspicious blocks.
     """
-    s = run.filter("is_suspicious")
-    gap = F.col("first_block") - F.lag("last_block").over(_by_image()) - 1
     sums = (("n", "n"), ("entropy", "sum_entropy"), ("confidence", "sum_confidence"))
-    s = s.withColumns({"gap": gap, **{f"gap_{d}": F.col(f"before_{d}") - F.lag(F.col(f"before_{d}") + F.col(c)).over(_by_image()) for d, c in sums}})
-    s = _islands(s, ~((F.col("dominant") == F.lag("dominant").over(_by_image())) & (F.col("gap") <= max_gap)))
-    inner = [F.coalesce(F.sum(F.when(F.col("new") == 0, F.col(f"gap_{d}"))), F.lit(0.0)).alias(f"in_{d}") for d in ("n", "entropy", "confidence")]
-    last = F.max_by(F.struct("gap_n", "gap_entropy"), F.when(F.col("new") == 0, F.col("first_block"))).alias("last_gap")
+    carried = ["first_block", "last_block", "dominant", *(x for d, c in sums for x in (f"before_{d}", c))]
+    goes_on = lambda a, b: (a["dominant"] == b["dominant"]) & (b["first_block"] - a["last_block"] - 1 <= max_gap)
+    s = segments.islands(written(run.filter("is_suspicious"), "suspicious"), carried, goes_on, bits=bits)
+    gaps = {f"gap_{d}": F.col(f"before_{d}") - F.col(f"prev.before_{d}") - F.col(f"prev.{c}") for d, c in sums}
+    s = s.withColumns({k: F.when(~F.col("starts"), v) for k, v in gaps.items()})
+    inner = [F.coalesce(F.sum(f"gap_{d}"), F.lit(0.0)).alias(f"in_{d}") for d in ("n", "entropy", "confidence")]
+    last = F.max_by(F.struct("gap_n", "gap_entropy"), F.when(~F.col("starts"), F.col("first_block"))).alias("last_gap")
     g = s.groupBy("image_id", "island").agg(
         F.min("first_block").alias("first_block"), F.max("last_block").alias("last_block"), F.first("dominant").alias("wipe_type"),
         F.sum("n").alias("n_susp"), F.sum("sum_entropy").alias("own_entropy"), F.sum("sum_confidence").alias("own_confidence"), *inner, last,
@@ -93,39 +100,30 @@ def sized(regions: DataFrame, least: int = MIN_BLOCKS) -> DataFrame:
     return regions.filter(F.col("block_count") >= least)
 
 
-def bands(regions: DataFrame) -> DataFrame:
-    """Chains of at least MIN_BANDS neighbours of differing strong types with small gaps made one MULTI_PASS region."""
-    link = (
-        (F.col("first_block") - F.lag("last_block").over(_by_image()) - 1 <= BAND_GAP)
-        & (F.col("wipe_type") != F.lag("wipe_type").over(_by_image()))
-        & F.col("wipe_type").isin(STRONG)
-        & F.lag("wipe_type").over(_by_image()).isin(STRONG)
-    )
-    r = _islands(regions, ~link)
-    size = F.count("*").over(Window.partitionBy("image_id", "island"))
-    r = r.withColumn("many", size >= MIN_BANDS)
-    r = r.withColumn("piece", F.when(F.col("many"), F.lit(-1)).otherwise(F.col("first_block")))
-    g = r.groupBy("image_id", "island", "piece").agg(
-        F.min("first_block").alias("first_block"), F.max("last_block").alias("last_block"),
-        F.when(F.first("many"), "MULTI_PASS").otherwise(F.first("wipe_type")).alias("wipe_type"),
-        *(F.sum(c).alias(c) for c in ("block_count", "n_susp", "full_entropy", "full_confidence")),
-        F.first("avg_entropy").alias("one"), F.first("many").alias("many"),
-    )
-    mean = F.when(F.col("many"), F.col("full_entropy") / F.col("block_count")).otherwise(F.col("one"))
-    return g.select("image_id", "first_block", "last_block", "wipe_type", "block_count", "n_susp", "full_entropy", "full_confidence", mean.alias("avg_entropy"))
+def bands(regions: DataFrame, bits: int = segments.BITS) -> DataFrame:
+    """Chains of at least MIN_BANDS neighbours of differing strong types with small gaps made one MULTI_PASS region.
+
+    A chain is summed up; of a shorter one the first and the last region are all there is.
+    """
+    link = lambda a, b: (b["first_block"] - a["last_block"] - 1 <= BAND_GAP) & (b["wipe_type"] != a["wipe_type"]) & a["wipe_type"].isin(STRONG) & b["wipe_type"].isin(STRONG)
+    names = ["first_block", "last_block", "wipe_type", "block_count", "n_susp", "full_entropy", "full_confidence", "avg_entropy"]
+    r = segments.islands(written(regions.select("image_id", *names), "regions"), ["first_block", "last_block", "wipe_type"], link, bits=bits)
+    one, sums = F.struct(*names), ("block_count", "n_susp", "full_entropy", "full_confidence")
+    g = r.groupBy("image_id", "island").agg(F.count("*").alias("k"), F.min_by(one, "first_block").alias("a"), F.max_by(one, "first_block").alias("z"), *(F.sum(c).alias(c) for c in sums))
+    whole = F.struct(F.col("a.first_block").alias("first_block"), F.col("z.last_block").alias("last_block"), F.lit("MULTI_PASS").alias("wipe_type"), *sums, (F.col("full_entropy") / F.col("block_count")).alias("avg_entropy"))
+    pieces = F.when(F.col("k") >= MIN_BANDS, F.array(whole)).when(F.col("k") == 2, F.array("a", "z")).otherwise(F.array("a"))
+    return g.select("image_id", F.explode(pieces).alias("r")).select("image_id", "r.*")
 
 
-def with_support(regions: DataFrame) -> DataFrame:
+def with_support(regions: DataFrame, bits: int = segments.BITS) -> DataFrame:
     """regions with supported: strong, large, or within NEAR blocks of a strong region."""
-    strong = F.col("wipe_type").isin(STRONG)
-    before = F.last(F.when(strong, F.col("last_block")), ignorenulls=True).over(_by_image().rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(F.when(strong, F.col("first_block")), ignorenulls=True).over(_by_image().rowsBetween(1, Window.unboundedFollowing))
-    near = F.coalesce(before >= F.col("first_block") - NEAR, F.lit(False)) | F.coalesce(after <= F.col("last_block") + NEAR, F.lit(False))
-    return regions.withColumn("supported", ~F.col("wipe_type").isin(PARTIAL) | (F.col("block_count") >= SELF_EVIDENT) | near)
+    r = segments.nearest(written(regions, "bands"), F.col("wipe_type").isin(STRONG), bits)
+    near = F.coalesce(F.col("last_before") >= F.col("first_block") - NEAR, F.lit(False)) | F.coalesce(F.col("first_after") <= F.col("last_block") + NEAR, F.lit(False))
+    return r.withColumn("supported", ~F.col("wipe_type").isin(PARTIAL) | (F.col("block_count") >= SELF_EVIDENT) | near).drop("last_before", "first_after")
 
 
-def suppress(regions: DataFrame) -> DataFrame:
-    return with_support(regions).filter("supported").drop("supported")
+def suppress(regions: DataFrame, bits: int = segments.BITS) -> DataFrame:
+    return with_support(regions, bits).filter("supported").drop("supported")
 
 
 def suppressed(regions: DataFrame) -> DataFrame:
@@ -169,17 +167,23 @@ def with_boundary(regions: DataFrame, maps: DataFrame | None) -> DataFrame:
     return j.withColumn("confidence", new).drop("scheme", "last_end")
 
 
-def numbered(regions: DataFrame) -> DataFrame:
+def numbered(regions: DataFrame, bits: int = segments.BITS) -> DataFrame:
     """The result's columns, with ids from 1 in order of start in each image."""
-    return regions.select(
-        "image_id", F.row_number().over(_by_image()).cast("long").alias("id"), (F.col("first_block") * BLOCK).alias("start"), ((F.col("last_block") + 1) * BLOCK - 1).alias("end"),
+    return segments.numbered(regions, "id", bits).select(
+        "image_id", F.col("id").cast("long").alias("id"), (F.col("first_block") * BLOCK).alias("start"), ((F.col("last_block") + 1) * BLOCK - 1).alias("end"),
         ((F.col("last_block") - F.col("first_block") + 1) * BLOCK).alias("size"), F.col("wipe_type").alias("type"), F.col("avg_entropy").alias("entropy"), "confidence", "block_count", "n_susp", "boundary_context",
     )
 
 
-def aggregate(labelled: DataFrame, maps: DataFrame | None = None) -> DataFrame:
-    """Regions of labelled blocks: image_id, block_id, wipe_type, entropy, confidence, is_suspicious."""
-    return numbered(with_boundary(scored(suppress(bands(sized(absorb(runs(labelled)))))), maps))
+def aggregate(labelled: DataFrame, maps: DataFrame | None = None, bits: int = segments.BITS) -> DataFrame:
+    """Regions of labelled blocks (image_id, block_id, wipe_type, entropy, confidence, is_suspicious), as a table: scores and reports read it again."""
+    return of_runs(runs(labelled, bits), maps, bits)
+
+
+def of_runs(run: DataFrame, maps: DataFrame | None = None, bits: int = segments.BITS) -> DataFrame:
+    """Regions of runs (see runs), as a table."""
+    found = suppress(bands(sized(absorb(run, bits=bits)), bits), bits)
+    return written(numbered(with_boundary(scored(found), maps), bits), "found")
 
 
 def region_blocks(blocks: DataFrame, regions: DataFrame) -> DataFrame:

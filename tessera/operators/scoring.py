@@ -23,6 +23,17 @@ def block_stats(labelled: DataFrame) -> DataFrame:
     )
 
 
+def stats_of_runs(parts: DataFrame) -> DataFrame:
+    """block_stats of blocks that are summed up in runs (see regions.stretch_runs)."""
+    s = F.col("is_suspicious")
+    return parts.groupBy("image_id").agg(
+        F.sum("n").alias("total_blocks"),
+        F.coalesce(F.sum(F.when(s, F.col("n"))), F.lit(0)).alias("suspicious_blocks"),
+        F.coalesce(F.try_divide(F.sum(F.when(s, F.col("sum_entropy"))), F.sum(F.when(s, F.col("n")))), F.lit(0.0)).alias("avg_entropy_flagged"),
+        *(F.coalesce(F.sum(F.when(s, F.col(f"c_{t}"))), F.lit(0)).alias(f"n_{t}") for t in TYPES),
+    )
+
+
 def type_histogram(stats: DataFrame) -> DataFrame:
     """image_id, type_counts: a map with all seven keys."""
     return stats.select("image_id", F.create_map(*(x for t in TYPES for x in (F.lit(t), F.col(f"n_{t}")))).alias("type_counts"))
@@ -32,22 +43,27 @@ def region_stats(regions: DataFrame) -> DataFrame:
     """A row per image with regions: sizes, counts by kind, and the type with most blocks (of equal ones the earliest)."""
     far = F.col("boundary_context") == "BEYOND_BOUNDARY"
     gone = far & F.col("type").isin(FILLS)
-    by_type = regions.groupBy("image_id", "type").agg(F.sum("block_count").alias("b"), F.min("id").alias("i"))
-    top = by_type.groupBy("image_id").agg(F.max_by("type", F.struct("b", -F.col("i"))).alias("dominant_type"))
-    out = regions.groupBy("image_id").agg(
-        F.count("*").alias("regions_count"),
-        F.count_if(~gone).alias("effective_regions"),
-        F.count_if(far).alias("beyond_regions"),
-        F.coalesce(F.sum(F.when(gone, F.col("n_susp"))), F.lit(0)).alias("excluded_blocks"),
-        F.count_if(F.col("type") == "RANDOM_WIPE").alias("random_regions"),
-        F.count_if(F.col("type") == "MULTI_PASS").alias("multi_regions"),
-        F.avg("confidence").alias("mean_confidence"),
-        F.sum("block_count").alias("region_blocks"),
-        F.max(F.struct("size", -F.col("id"))).alias("largest"),
-        F.avg("size").alias("avg_region_size"),
+    by_type = regions.groupBy("image_id", "type").agg(
+        F.count("*").alias("n"), F.count_if(~gone).alias("effective"), F.count_if(far).alias("beyond"), F.coalesce(F.sum(F.when(gone, F.col("n_susp"))), F.lit(0)).alias("excluded"),
+        F.sum("confidence").alias("confidence"), F.sum("block_count").alias("b"), F.min("id").alias("i"), F.max(F.struct("size", -F.col("id"))).alias("largest"), F.sum("size").alias("size"),
         F.max(F.col("boundary_context") != "UNKNOWN").alias("has_map"),
+    )
+    of = lambda t: F.coalesce(F.sum(F.when(F.col("type") == t, F.col("n"))), F.lit(0))
+    out = by_type.groupBy("image_id").agg(
+        F.sum("n").alias("regions_count"),
+        F.sum("effective").alias("effective_regions"),
+        F.sum("beyond").alias("beyond_regions"),
+        F.sum("excluded").alias("excluded_blocks"),
+        of("RANDOM_WIPE").alias("random_regions"),
+        of("MULTI_PASS").alias("multi_regions"),
+        (F.sum("confidence") / F.sum("n")).alias("mean_confidence"),
+        F.sum("b").alias("region_blocks"),
+        F.max("largest").alias("largest"),
+        (F.sum("size") / F.sum("n")).alias("avg_region_size"),
+        F.max("has_map").alias("has_map"),
+        F.max_by("type", F.struct("b", -F.col("i"))).alias("dominant_type"),
     )
-    return out.join(top, "image_id").withColumns({"largest_region_id": -F.col("largest")["col2"], "largest_region_size": F.col("largest.size")}).drop("largest")
+    return out.withColumns({"largest_region_id": -F.col("largest")["col2"], "largest_region_size": F.col("largest.size")}).drop("largest")
 
 
 def density_floor(density: Column, suspicious: Column) -> Column:
@@ -75,7 +91,12 @@ def level_of(score: Column) -> Column:
 
 def score(labelled: DataFrame, regions: DataFrame) -> DataFrame:
     """Scan statistics, intent score and verdict of each image; an image without blocks has no row."""
-    s = block_stats(labelled).join(region_stats(regions), "image_id", "left")
+    return scored(block_stats(labelled), regions)
+
+
+def scored(stats: DataFrame, regions: DataFrame) -> DataFrame:
+    """score, from the statistics of the images' blocks."""
+    s = stats.join(region_stats(regions), "image_id", "left")
     s = s.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("regions_count", "effective_regions", "beyond_regions", "excluded_blocks", "random_regions", "multi_regions", "region_blocks")})
     total = F.col("total_blocks")
     adjusted = F.greatest(F.col("suspicious_blocks") - F.col("excluded_blocks"), F.lit(0))

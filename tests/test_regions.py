@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.labels import PARTIAL, STRONG
 from tessera.operators import regions as R
-from tessera.operators import scoring
+from tessera.operators import scoring, segments
 
 SCHEMA = "image_id string, block_id long, wipe_type string, entropy double, confidence double, is_suspicious boolean"
 TYPES = [*STRONG, *PARTIAL]
@@ -69,11 +69,10 @@ def image(name, seed, n=400):
 
 
 def test_regions_equal_a_plain_fold(spark):
-    images = {f"i{s}": image(f"i{s}", s) for s in range(40)} | {"clean": [("clean", k, "NORMAL", 1.0, 0.9, False) for k in range(50)], "full": [("full", k, "ZERO_WIPE", 0.0, 1.0, True) for k in range(100)]}
+    images = {f"i{s}": image(f"i{s}", s) for s in range(40)} | {"every other": [("every other", k, TYPES[k // 2 % 3 if k > 300 else 0], 1.0, 0.9, k % 2 == 0) if k % 2 == 0 else ("every other", k, "NORMAL", 2.0, 0.8, False) for k in range(600)]} | {"clean": [("clean", k, "NORMAL", 1.0, 0.9, False) for k in range(50)], "full": [("full", k, "ZERO_WIPE", 0.0, 1.0, True) for k in range(100)]}
     df = spark.createDataFrame([r for rows in images.values() for r in rows], SCHEMA).repartition(5)
-    for stretch in (65_536, 37):  # stretches that cut runs give the same
-        runs = R.runs(df, stretch)
-        got = R.numbered(R.with_boundary(R.scored(R.suppress(R.bands(R.sized(R.absorb(runs))))), None)).collect()
+    for bits in (16, 5, 3):  # stretches that cut runs, regions, chains and their neighbourhoods give the same
+        got = R.aggregate(df, None, bits).collect()
         for name, rows in images.items():
             own = sorted((r for r in got if r.image_id == name), key=lambda r: r.id)
             want = fold(rows)
@@ -102,3 +101,15 @@ def test_score_rules(spark):
     df = spark.createDataFrame(cases, "n int, p int, s int, c double, b int, r int, m boolean, want int")
     assert all(r.got == r.want for r in df.withColumn("got", p).collect())
     assert [r.x for r in spark.createDataFrame([(72.5,), (73.5,)], "v double").select(F.bround("v", 0).alias("x")).collect()] == [72.0, 74.0]
+
+
+def test_no_window_over_an_image(spark):
+    """Windows of a scan have a stretch's rows or an image's summaries, one a stretch."""
+    df = spark.createDataFrame([("i", k, "NORMAL" if k % 2 else "ZERO_WIPE", 1.0, 0.9, k % 2 == 0) for k in range(4096)], SCHEMA)
+    one = segments.islands(df.selectExpr("image_id", "block_id AS first_block", "block_id AS last_block", "is_suspicious"), ["is_suspicious"], lambda a, b: a["is_suspicious"] == b["is_suspicious"], bits=6)
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    over = [line for line in plan.splitlines() if " Window [" in line]
+    assert over and all("stretch" in line.split("], [")[1] or "stretch" in line.split("], [")[2] for line in over)
+    assert one.select("island").distinct().count() == 4096
+    found = R.aggregate(df, None, 6).collect()
+    assert [(r.start, r.end, r.type) for r in found] == [(0, 4095 * 512 - 1, "ZERO_WIPE")]

@@ -1,8 +1,12 @@
 """Reports, sinks, model labels and streams on small tables."""
 
+import datetime
 import hashlib
 import json
+import random
+import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.operators import blocks, custody, ml, regions, report, scoring
@@ -53,7 +57,7 @@ def test_model_labels(spark, tmp_path):
     model = ml.cached(spark, str(tmp_path / "model"), **sizes)
     assert model.available and model.summary == first.summary and not ml.Ensemble(None, None, []).available
     assert model.summary["cv_scores"]["f1_macro_mean"] > 0.8 and model.summary["n_training_samples"] == 245
-    assert model.summary["model_version"] == ml.version_of(245, model.summary["cv_scores"]["f1_macro_mean"]) or model.summary["model_version"].startswith("v2-")
+    assert model.summary["model_version"] .startswith("v2-")
     noise = lambda s: b"".join(hashlib.sha256(f"{s}:{i}".encode()).digest() for i in range(16))
     rows = [("i", 0, bytes(512)), ("i", 1, b"\xff" * 512), ("i", 2, noise(1)), ("i", 3, b"\x55\xaa" * 256)]
     got = {r.block_id: r for r in ml.predict(spark.createDataFrame(rows, "image_id string, block_id long, data binary"), model).collect()}
@@ -74,15 +78,42 @@ def test_training_set_is_the_same_each_time(spark):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    rows = [(f"i{i}", k, k * 512, bytes(512) if 10 <= k < 40 else b"text of some kind " * 28) for i in range(3) for k in range(60)]
-    df = spark.createDataFrame(rows, images.BLOCKS)
-    for i in range(3):
-        own = F.col("image_id") == f"i{i}"
-        for part in ([own & (F.col("block_id") < 25), own & (F.col("block_id") >= 25)] if i == 1 else [own]):  # one image comes in two batches
-            df.filter(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    q = images.score_stream(images.label_stream(images.block_stream(spark, str(tmp_path / "in"), 1)), str(tmp_path / "out"), str(tmp_path / "ckpt"))
-    q.awaitTermination(120)
-    lab = blocks.classify(df)
-    want = regions.aggregate(lab).select("image_id", "start", "end", "type").collect()
-    got = images.latest(spark, str(tmp_path / "out"), "regions").select("image_id", "start", "end", "type").collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) == 3
+    """Images in many batches, out of order and of several stretches; each is closed once, by the later ones, and equals the batch result."""
+    g, start = random.Random(6), datetime.datetime(2024, 1, 1)
+    schema, rows = LABELLED + ", ts timestamp", []
+    for i in range(4):
+        blocks = [*range(300), *range(65_500, 65_700)] if i < 3 else [0]
+        for k in blocks:
+            kind = ("ZERO_WIPE", "FF_WIPE", "RANDOM_WIPE", "NORMAL")[k // 40 % 4] if i < 3 and k % 17 else "NORMAL"
+            ts = start + datetime.timedelta(seconds=g.randrange(60)) if i < 3 else start + datetime.timedelta(hours=1)
+            rows.append((f"i{i}", k, k * 512, kind, g.randrange(8000) / 1000, 0.5 + g.randrange(400) / 1000, kind != "NORMAL", ts))
+    early, late = rows[:-1], rows[-1:]
+    g.shuffle(early)
+    for part in (*(early[k::6] for k in range(6)), late):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.02)
+    stream = images.block_stream(spark, str(tmp_path / "in"), 1, schema)
+    q = images.score_stream(stream, str(tmp_path / "out"), str(tmp_path / "ckpt"), quiet_seconds=300, late_seconds=10)
+    q.awaitTermination(300)
+    assert q.exception() is None
+    lab = spark.createDataFrame(early, schema)
+    found = regions.aggregate(lab)
+    shown = ["image_id", "id", "start", "end", "type", "block_count", "n_susp"]
+    got = spark.read.parquet(str(tmp_path / "out/regions"))
+    assert sorted(map(tuple, got.select(shown).collect())) == sorted(map(tuple, found.select(shown).collect())) and got.select("image_id").distinct().count() == 3
+    close = lambda df: sorted((r.image_id, r.total_blocks, r.suspicious_blocks, r.intent_score, r.verdict, r.regions_count, round(r.avg_entropy_flagged, 6), r.n_FF_WIPE) for r in df.collect())
+    assert close(spark.read.parquet(str(tmp_path / "out/scores"))) == close(scoring.score(lab, found))
+
+
+def test_runs_of_blocks_in_any_order(spark):
+    """What the stream keeps of blocks in parts is what a batch has of them together."""
+    g = random.Random(2)
+    rows = [("i", k, k * 512, t := g.choice(["NORMAL", "ZERO_WIPE", "LIKELY_FF_WIPE"]), g.random(), g.random(), t != "NORMAL") for k in [*range(200), *range(65_536, 65_600)]]
+    df = spark.createDataFrame(rows, LABELLED)
+    table = df.toPandas().sample(frac=1, random_state=1)
+    kept = np.zeros(0, images.ROW)
+    for k in range(7):
+        kept = images._joined(np.concatenate([kept, images._runs_of(table.iloc[k::7])]))
+    want = regions.stretch_runs(df).orderBy("first_block").collect()
+    assert [(bool(r["is_suspicious"]), int(r["first_block"]), int(r["last_block"]), int(r["n"]), int(r["c_ZERO_WIPE"])) for r in kept] == [(r.is_suspicious, r.first_block, r.last_block, r.n, r.c_ZERO_WIPE) for r in want]
+    assert all(abs(r["sum_entropy"] - w.sum_entropy) < 1e-9 and (w.f_LIKELY_FF_WIPE or images.NEVER) == r["f_LIKELY_FF_WIPE"] for r, w in zip(kept, want))
