@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import fnmatch
 import hashlib
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,12 +12,18 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import (
+    DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage,
+)
 
 BLOCK = 512
 SCHEMA = "image_id string, block_id long, offset long, data binary"
 #: Bytes that one task reads, and that it reads at once.
 PARTITION_BYTES, READ_BYTES = 32 << 20, 1 << 20
+#: Above so many tasks each reads more, so that the driver's list of them doesn't grow with the data.
+MOST_TASKS = 100_000
+#: Files of a write that isn't finished are below a folder of this name.
+PENDING = ".pending"
 
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
@@ -46,7 +53,7 @@ def image_files(path: str) -> list[tuple[str, str, int]]:
             raise FileNotFoundError(path)
         root = head if info.type == fs.FileType.File else at.rstrip("/")
         found = [info] if info.type == fs.FileType.File else where.get_file_info(fs.FileSelector(at, recursive=True))
-    files = sorted((f.path[len(root) :].lstrip("/"), prefix + f.path, f.size) for f in found if f.type == fs.FileType.File)
+    files = sorted((f.path[len(root) :].lstrip("/"), prefix + f.path, f.size) for f in found if f.type == fs.FileType.File and f"/{PENDING}" not in f.path)
     if not files:
         raise FileNotFoundError(path)
     return files
@@ -80,6 +87,12 @@ class BlockImageSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return BlockImageReader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return BlockImageStream(self.options)
+
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        return BlockImageWriter(self.options["path"], overwrite)
+
 
 class BlockImageReader(DataSourceReader):
     def __init__(self, options):
@@ -115,8 +128,9 @@ class BlockImageReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[ByteRange]:
-        step, out = max(1, self.part // self.size), []
-        for file, path, size in image_files(self.path):
+        files, out = image_files(self.path), []
+        step = max(1, max(self.part, sum(size for *_, size in files) // MOST_TASKS) // self.size)
+        for file, path, size in files:
             image, begin = part_of(file)
             if self.images is None or image in self.images:
                 last = begin - (-size // self.size) - 1
@@ -147,31 +161,125 @@ def read_images(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.read.format("blockimage").options(**{k: str(v) for k, v in options.items()}).load(path)
 
 
-def write_images(blocks: DataFrame, folder: str, size: int = BLOCK) -> None:
-    """Blocks (image_id, block_id, data; of one size but for the last of an image) as image files in folder.
+class BlockImageStream(DataSourceStreamReader):
+    """Image files as they come: an offset is the set of files seen, as hashes of their paths. A file must be put in place whole, and stay.
 
-    A task writes a stretch of an image as a file of its own, <image_id>/<first block>.part, in order of blocks; the
-    source reads these as one image.
+    Options: path (a folder), partition_bytes, block_size, files_per_batch.
     """
 
-    def run(batches):
-        where, at = filesystem(folder)
-        out, now, next_ = None, None, None
-        for b in batches:
-            for image, k, data in zip(*(b.column(c).to_pylist() for c in ("image_id", "block_id", "data"))):
-                if (image, k) != (now, next_):
-                    if out:
-                        out.close()
-                    where.create_dir(f"{at}/{image}", recursive=True)
-                    out, now = where.open_output_stream(f"{at}/{image}/{k:012d}.part", compression=None), image
-                out.write(data)
-                next_ = k + 1
-            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
-        if out:
-            out.close()
-
-    rows = blocks.select("image_id", "block_id", "data").repartitionByRange("image_id", "block_id").sortWithinPartitions("image_id", "block_id")
-    rows.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    def __init__(self, options):
+        self.options, self.limit = options, int(options.get("files_per_batch", 1000))
+
+    @staticmethod
+    def _mark(path: str) -> str:
+        return hashlib.sha256(path.encode()).hexdigest()[:16]
+
+    def _files(self) -> dict[str, tuple[str, str, int]]:
+        try:
+            return {self._mark(path): (file, path, size) for file, path, size in image_files(self.options["path"])}
+        except FileNotFoundError:
+            return {}
+
+    def initialOffset(self) -> dict:
+        self.last = set()
+        return {"seen": ""}
+
+    def latestOffset(self) -> dict:
+        seen = getattr(self, "last", set())
+        new = sorted(set(self._files()) - seen)[: self.limit]
+        self.last = seen | set(new)
+        return {"seen": " ".join(sorted(self.last))}
+
+    def partitions(self, start: dict, end: dict) -> list[ByteRange]:
+        before, after = set(start["seen"].split()), set(end["seen"].split())
+        self.last = getattr(self, "last", set()) | after
+        files, size = self._files(), int(self.options.get("block_size", BLOCK))
+        if lost := after - before - set(files):
+            raise FileNotFoundError(f"{len(lost)} files of a batch are gone")
+        step, out = max(1, int(self.options.get("partition_bytes", PARTITION_BYTES)) // size), []
+        for file, path, n in sorted(files[k] for k in after - before):
+            image, begin = part_of(file)
+            last = begin - (-n // size) - 1
+            out += [ByteRange(image, path, begin, a, min(a + step - 1, last)) for a in range(begin, last + 1, step)]
+        return out or [ByteRange("", "", 0, 0, -1)]
+
+    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+        return BlockImageReader(self.options).read(partition)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
+class Written(WriterCommitMessage):
+    """(where a file lies, where it belongs) for all files of a task."""
+
+    def __init__(self, files: list[tuple[str, str]]):
+        self.files = files
+
+
+class BlockImageWriter(DataSourceArrowWriter):
+    """Blocks (image_id, block_id, data; of one size but for the last of an image) as image files below a folder.
+
+    A task writes each stretch of an image that comes to it in order as a file, <image_id>/<first block>.part, below a
+    folder of the attempt's own. The commit puts all files in place; files of attempts that failed, and all of them
+    when the job does, are deleted. overwrite deletes what the folder had.
+    """
+
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite, self.job = path.rstrip("/"), overwrite, uuid.uuid4().hex
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
+        where, root = filesystem(self.path)
+        own = f"{root}/{PENDING}-{self.job}/{uuid.uuid4().hex}"
+        out, now, next_, files = None, None, None, []
+        try:
+            for b in batches:
+                for image, k, data in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("image_id", "block_id", "data"))):
+                    if (image, k) != (now, next_):
+                        if out:
+                            out.close()
+                        name = f"{image}/{k:012d}.part"
+                        where.create_dir(f"{own}/{image}", recursive=True)
+                        out, now = where.open_output_stream(f"{own}/{name}", compression=None), image
+                        files.append((f"{own}/{name}", f"{root}/{name}"))
+                    out.write(data)
+                    next_ = k + 1
+        finally:
+            if out:
+                out.close()
+        return Written(files)
+
+    def commit(self, messages: list) -> None:
+        where, root = filesystem(self.path)
+        if self.overwrite:
+            for f in where.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+                if not f.base_name.startswith(PENDING):
+                    where.delete_dir(f.path) if f.type == fs.FileType.Directory else where.delete_file(f.path)
+        for src, dst in (x for m in messages if m for x in m.files):
+            where.create_dir(dst.rsplit("/", 1)[0], recursive=True)
+            where.move(src, dst)
+        self._clear()
+
+    def abort(self, messages: list) -> None:
+        self._clear()
+
+    def _clear(self) -> None:
+        where, root = filesystem(self.path)
+        if where.get_file_info(f"{root}/{PENDING}-{self.job}").type == fs.FileType.Directory:
+            where.delete_dir(f"{root}/{PENDING}-{self.job}")
+
+
+def write_images(blocks: DataFrame, folder: str, mode: str = "append") -> None:
+    """Blocks (image_id, block_id, data) as image files in folder, a file for each 32 MB of an image; the source reads an image's files as one."""
+    blocks.sparkSession.dataSource.register(BlockImageSource)
+    rows = blocks.select("image_id", "block_id", "data").repartition("image_id", F.call_function("shiftright", "block_id", F.lit(16))).sortWithinPartitions("image_id", "block_id")
+    rows.write.format("blockimage").mode(mode).save(folder)
+
+
+def stream_images(spark: SparkSession, path: str, **options) -> DataFrame:
+    """A stream of the blocks of image files that come into the folder path."""
+    spark.dataSource.register(BlockImageSource)
+    return spark.readStream.format("blockimage").options(**{k: str(v) for k, v in options.items()}).load(path)
 
 
 def read_block(path: str, block_id: int, size: int = BLOCK) -> bytes:
