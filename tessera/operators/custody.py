@@ -1,4 +1,4 @@
-"""Hash-chained custody log: entries, chain hashes by a fold, and verification by another."""
+"""Hash-chained custody log: chain hashes by a fold, appending to chains, and verification in pieces."""
 
 from __future__ import annotations
 
@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..sources.sinks import small, written
+from . import segments
+
 GENESIS = "GENESIS"
 
 # Wording of descriptions, which are part of the hashes. {system}: the name of the system.
@@ -46,20 +49,20 @@ def _hash(prev: str, ts, event, sha, description) -> str:
 HASHED = ["timestamp_utc", "event_type", "sha256_evidence", "description"]
 
 
-def _folded(entries: DataFrame, added: list[str], step) -> DataFrame:
-    """entries with columns of text added by a fold over each session's entries in order of sequence.
+def _folded(entries: DataFrame, added: list[str], step, also: list[str] | None = None, keys: tuple[str, ...] = ("session_id",)) -> DataFrame:
+    """entries with columns of text added by a fold over the entries of each of the keys in order of sequence.
 
-    step(state, row) gives the new state and the values; state is null at a session's first entry. Each session's
-    entries pass through one task in order, a batch at a time: a chain is sequential, but no session is held whole.
+    step(state, row) gives the new state and the values; state is null at the first entry, and row has HASHED and the
+    columns also. The entries of a key pass through one task in order, a batch at a time: a chain is sequential,
+    but none is held whole.
     """
-    names = entries.columns
     schema = StructType([*entries.schema.fields, *(StructField(c, StringType()) for c in added)])
 
     def run(batches):
         now, state, begun = None, None, False
         for b in batches:
-            sessions, out = b.column("session_id").to_pylist(), []
-            for session, *row in zip(sessions, *(b.column(c).to_pylist() for c in [*HASHED, *(["entry_hash"] if "entry_hash" in names else [])])):
+            sessions, out = list(zip(*(b.column(c).to_pylist() for c in keys))), []
+            for session, *row in zip(sessions, *(b.column(c).to_pylist() for c in [*HASHED, *(also or [])])):
                 if session != now or not begun:
                     now, state, begun = session, None, True
                 state, values = step(state, row)
@@ -67,7 +70,7 @@ def _folded(entries: DataFrame, added: list[str], step) -> DataFrame:
             columns = list(zip(*out)) if out else [()] * len(added)
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, pa.string()) for c in columns)], [*b.schema.names, *added])
 
-    return entries.repartition("session_id").sortWithinPartitions("session_id", "sequence").mapInArrow(run, schema)
+    return entries.repartition(*keys).sortWithinPartitions(*keys, "sequence").mapInArrow(run, schema)
 
 
 def chained(entries: DataFrame) -> DataFrame:
@@ -81,18 +84,66 @@ def chained(entries: DataFrame) -> DataFrame:
     return _folded(entries.select("session_id", F.col("sequence").cast("long").alias("sequence"), *HASHED), ["prev_hash", "entry_hash"], step)
 
 
-def verified(log: DataFrame) -> DataFrame:
-    """log with expected_hash and broken, each entry against the recorded hash of the one before it.
+def heads(log: DataFrame) -> DataFrame:
+    """session_id, last_sequence, last_hash: where each chain of log ends."""
+    return log.groupBy("session_id").agg(F.max("sequence").alias("last_sequence"), F.max_by("entry_hash", "sequence").alias("last_hash"))
+
+
+def appended(entries: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entries that go on from where their session's chain ends, with prev_hash and entry_hash; sessions refused: session_id, reason).
 
-    A blank recorded hash is replaced by the expected one for the next entry, along runs of blank ones too.
+    entries: as for chained, with after, the hash that their writer took for the chain's last (GENESIS for a session
+    that isn't in log); that of a session's first entry counts. A session is refused whole if its chain has another
+    end by now, or if its entries don't follow in sequence. log stays as it is: the result is what to add to it.
     """
+    new = entries.groupBy("session_id").agg(F.min("sequence").alias("first"), F.max("sequence").alias("final"), F.count_distinct("sequence").alias("n"), F.count("*").alias("rows"), F.min_by("after", "sequence").alias("after"))
+    j = new.join(heads(log), "session_id", "left")
+    stale = ~F.coalesce(F.col("last_hash"), F.lit(GENESIS)).eqNullSafe(F.col("after"))
+    follows = (F.col("last_sequence").isNull() | (F.col("first") == F.col("last_sequence") + 1)) & (F.col("n") == F.col("rows")) & (F.col("final") - F.col("first") + 1 == F.col("rows"))
+    j = written(j.withColumn("reason", F.when(stale, "the chain has another end").when(~follows, "entries don't follow in sequence")), "heads")
+    good = entries.select("session_id", F.col("sequence").cast("long").alias("sequence"), *HASHED).join(small(j.filter("reason is null").select("session_id", "after")), "session_id")
 
     def step(prev, row):
-        *row, recorded = row
-        expected = _hash(prev or GENESIS, *row)
+        *row, after = row
+        prev = prev or after
+        new = _hash(prev, *row)
+        return new, (prev, new)
+
+    return _folded(good, ["prev_hash", "entry_hash"], step, ["after"]).drop("after"), j.filter("reason is not null").select("session_id", "reason")
+
+
+def saved(log: DataFrame, version: str = "1.0") -> DataFrame:
+    """session_id, document: each chain as a JSON file has it, with its ends, times and entries."""
+    entry = F.struct("sequence", *HASHED, "prev_hash", "entry_hash")
+    s = log.groupBy("session_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    ends = F.struct(
+        "session_id", F.lit(version).alias("custody_version"), F.size("entries").alias("total_entries"), F.lit(GENESIS).alias("genesis_hash"), F.element_at("entries", -1)["entry_hash"].alias("final_hash"),
+        F.element_at("entries", 1)["timestamp_utc"].alias("created_at"), F.element_at("entries", -1)["timestamp_utc"].alias("last_updated"),
+    )
+    return s.select("session_id", F.to_json(F.struct(ends.alias("chain_of_custody"), "entries")).alias("document"))
+
+
+def verified(log: DataFrame, bits: int = segments.BITS) -> DataFrame:
+    """log with expected_hash and broken, each entry against the recorded hash of the one before it.
+
+    A blank recorded hash is replaced by the expected one for the next entry, along runs of blank ones too. A chain is
+    cut at its recorded hashes: an entry after one is checked by itself, wherever in the session it is. Only runs of
+    blank ones, with the entry after each, are folded.
+    """
+    blank = lambda c: F.coalesce(c, F.lit("")) == ""
+    names = log.columns
+    rows = written(log.withColumns({"image_id": F.col("session_id"), "first_block": F.col("sequence").cast("long")}), "log")
+    r = segments.islands(rows, ["entry_hash"], lambda a, b: blank(a["entry_hash"]), bits=bits)
+    r = r.withColumns({"recorded": F.coalesce("prev.entry_hash", F.lit(GENESIS)), "alone": F.col("starts") & ~blank(F.col("entry_hash"))}).select(*names, "island", "recorded", "starts", "alone")
+    one = r.filter("alone").select(*names, entry_hash(F.col("recorded"), *map(F.col, HASHED)).alias("expected_hash"))
+
+    def step(state, row):
+        *row, recorded, before = row
+        expected = _hash(state or before, *row)
         return recorded or expected, (expected,)
 
-    return _folded(log, ["expected_hash"], step).withColumn("broken", ~F.col("entry_hash").eqNullSafe(F.col("expected_hash")))
+    runs = _folded(r.filter("not alone").drop("starts", "alone"), ["expected_hash"], step, ["entry_hash", "recorded"], ("session_id", "island")).select(*names, "expected_hash")
+    return one.unionByName(runs).withColumn("broken", ~F.col("entry_hash").eqNullSafe(F.col("expected_hash")))
 
 
 def violations(log: DataFrame) -> DataFrame:

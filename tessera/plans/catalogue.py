@@ -641,3 +641,15 @@ def custody_summary(spark, sf_dir):
     s = custody.summary(custody.chained(synthetic.custody_entries(events(spark, sf_dir))))
     lines = F.transform("events", lambda e: F.concat_ws("|", e["sequence"].cast("string"), e["timestamp_utc"], e["event_type"], e["description"], e["entry_hash"]))
     return s.select("session_id", "total_entries", "final_hash", F.sha2(F.array_join(lines, "\n"), 256).alias("events_sha256"))
+
+
+@query(f"{sql.CHAIN} SELECT session_id, sequence, prev_hash, entry_hash FROM ch WHERE sequence >= 12 AND session_id % 7 <> 3")
+def custody_append(spark, sf_dir):
+    """The last eight entries of each session, added to its chain of twelve; every seventh writer has an old end of its chain and is refused."""
+    entries = synthetic.custody_entries(events(spark, sf_dir))
+    log = written(custody.chained(entries.filter("sequence < 12")), "log")
+    old = log.filter("sequence = 10").select("session_id", F.col("entry_hash").alias("old_hash"))
+    new = entries.filter("sequence >= 12").join(custody.heads(log), "session_id").join(old, "session_id")
+    new = new.withColumn("after", F.when(F.col("session_id") % 7 == 3, F.col("old_hash")).otherwise(F.col("last_hash")))
+    added, _ = custody.appended(new, log)
+    return added.select("session_id", "sequence", "prev_hash", "entry_hash")

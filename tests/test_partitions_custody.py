@@ -1,3 +1,4 @@
+import json
 import struct
 
 from pyspark.sql import functions as F
@@ -160,3 +161,36 @@ def test_custody_messages(spark):
     assert got["ok"].is_intact and got["ok"].messages == [] and not got["bad"].is_intact
     assert [m.split(" ")[1] for m in got["bad"].messages] == ["1", "2", "4"]
     assert custody.report_of(log.limit(0)).count() == 0
+
+
+ENTRY = "session_id string, sequence long, timestamp_utc string, event_type string, sha256_evidence string, description string"
+
+
+def test_appending(spark):
+    rows = [(s, i, f"t{i:02d}", "SCAN_START", None, f"{s}{i}") for s in "abcd" for i in range(9)]
+    entries = spark.createDataFrame(rows, ENTRY)
+    whole = {(r.session_id, r.sequence): (r.prev_hash, r.entry_hash) for r in custody.chained(entries).collect()}
+    log = custody.chained(entries.filter("sequence < 5 and session_id <> 'd'"))
+    after = F.when(F.col("session_id") == "b", "another").when(F.col("session_id") == "d", custody.GENESIS).otherwise(F.col("last_hash"))
+    new = entries.filter("sequence >= 5 or session_id = 'd'").join(custody.heads(log), "session_id", "left").withColumn("after", after).filter("not (session_id = 'c' and sequence = 5)")
+    added, refused = custody.appended(new, log)
+    assert {(r.session_id, r.sequence): (r.prev_hash, r.entry_hash) for r in added.collect()} == {k: v for k, v in whole.items() if k[0] == "d" or (k[0] == "a" and k[1] >= 5)}
+    assert {r.session_id: r.reason for r in refused.collect()} == {"b": "the chain has another end", "c": "entries don't follow in sequence"}
+    all_ = log.select(added.columns).unionByName(added)
+    assert {r.session_id: r.is_intact for r in custody.violations(all_).collect()} == dict.fromkeys("abcd", True)
+    document = json.loads(custody.saved(all_).filter("session_id = 'a'").first().document)
+    assert document["chain_of_custody"] == {"session_id": "a", "custody_version": "1.0", "total_entries": 9, "genesis_hash": "GENESIS", "final_hash": whole["a", 8][1], "created_at": "t00", "last_updated": "t08"}
+    assert [e["sequence"] for e in document["entries"]] == list(range(9))
+
+
+def test_a_long_session_is_verified_in_many_tasks(spark):
+    n = 1_000_000
+    made = spark.range(n).selectExpr("'s' AS session_id", "id AS sequence", "cast(id AS string) AS timestamp_utc", "'E' AS event_type", "cast(null AS string) AS sha256_evidence", "concat('d', id) AS description")
+    log = custody.chained(made)
+    bad = F.col("sequence").isin(7, 65_535, 65_536, 500_000)
+    log = log.withColumn("entry_hash", F.when(F.col("sequence").between(65_530, 65_540) | (F.col("sequence") == 3), F.lit(None)).otherwise(F.col("entry_hash"))).withColumn("description", F.when(bad, "edited").otherwise(F.col("description")))
+    got = custody.verified(log).withColumn("task", F.spark_partition_id())
+    broken = {r.sequence for r in got.filter("broken").collect()}
+    assert broken == {3, 7, *range(65_530, 65_542), 500_000}
+    per = [r.n for r in got.groupBy("task").agg(F.count("*").alias("n")).collect()]
+    assert sum(per) == n and len(per) > 1 and max(per) < 0.6 * n
