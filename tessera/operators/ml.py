@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -17,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.blockstats import FEATURES, features, with_features
+from .extratrees import ExtraTrees
+from .extratrees import fit as fit_extra
 
 # Label ids.
 LABELS = ["RANDOM_WIPE", "NORMAL", "ZERO_WIPE", "FF_WIPE", "MULTI_PASS"]
@@ -72,34 +75,37 @@ def training_set(spark: SparkSession, n: int = 1500, seed: int = 42) -> DataFram
 
 
 class Ensemble:
-    """A forest, a forest on all rows (the nearest to extremely random trees in MLlib) and boosted trees per label.
+    """A forest, extremely random trees and boosted trees per label.
 
     summary: the model's version, training rows, features, folds' scores, sizes and training time; available is
     whether the model can be used.
     """
 
-    def __init__(self, forest, whole, boosted: list, summary: dict | None = None):
-        self.forest, self.whole, self.boosted, self.summary = forest, whole, boosted, summary or {}
+    def __init__(self, forest, extra: ExtraTrees | None, boosted: list, summary: dict | None = None):
+        self.forest, self.extra, self.boosted, self.summary = forest, extra, boosted, summary or {}
 
     @property
     def available(self) -> bool:
-        return bool(self.forest and self.whole and self.boosted)
+        return bool(self.forest and self.extra and self.boosted)
 
     def save(self, folder: str) -> None:
-        for name, m in (("forest", self.forest), ("whole", self.whole), *((f"boosted-{i}", m) for i, m in enumerate(self.boosted))):
+        """The summary is written last: a folder that has it is whole."""
+        for name, m in (("forest", self.forest), *((f"boosted-{i}", m) for i, m in enumerate(self.boosted))):
             m.write().overwrite().save(f"{folder}/{name}")
         spark = SparkSession.active()
+        spark.createDataFrame([(self.extra.to_bytes(),)], "model binary").coalesce(1).write.mode("overwrite").parquet(f"{folder}/extra")
         spark.createDataFrame([(json.dumps(self.summary),)], "summary string").coalesce(1).write.mode("overwrite").text(f"{folder}/summary")
 
     @classmethod
     def load(cls, folder: str) -> Ensemble:
-        forests = [RandomForestClassificationModel.load(f"{folder}/{n}") for n in ("forest", "whole")]
-        summary = json.loads(SparkSession.active().read.text(f"{folder}/summary").first()[0])
-        return cls(*forests, [GBTClassificationModel.load(f"{folder}/boosted-{i}") for i in range(len(LABELS))], summary)
+        spark = SparkSession.active()
+        summary = json.loads(spark.read.text(f"{folder}/summary").first()[0])
+        extra = ExtraTrees.from_bytes(spark.read.parquet(f"{folder}/extra").first().model)
+        return cls(RandomForestClassificationModel.load(f"{folder}/forest"), extra, [GBTClassificationModel.load(f"{folder}/boosted-{i}") for i in range(len(LABELS))], summary)
 
 
-def _forest(trees: int, seed: int, bootstrap: bool = True) -> RandomForestClassifier:
-    return RandomForestClassifier(featuresCol="vector", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=15, minInstancesPerNode=2, bootstrap=bootstrap, seed=seed)
+def _forest(trees: int, seed: int) -> RandomForestClassifier:
+    return RandomForestClassifier(featuresCol="vector", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=15, minInstancesPerNode=2, seed=seed)
 
 
 def cross_validated(data: DataFrame, trees: int = 200, folds: int = 5) -> tuple[float, float]:
@@ -126,7 +132,7 @@ def train(spark: SparkSession, n: int = 1500, trees: int = 200, rounds: int = 15
     weight = F.element_at(F.create_map(*(F.lit(x) for k, v in size.items() for x in (k, sum(size.values()) / len(size) / v))), F.col("label"))
     place = Window.partitionBy("label").orderBy(F.xxhash64("features"))  # a label has a few thousand rows
     data = data.withColumn("weight", weight).withColumn("fold", F.row_number().over(place) % F.lit(max(folds, 1))).persist()
-    forest, whole = _forest(trees, 42).fit(data), _forest(trees, 7, bootstrap=False).fit(data)
+    forest, extra = _forest(trees, 42).fit(data), fit_extra(data, len(LABELS), trees)
     boosted = []
     for k in range(len(LABELS)):
         own = data.withColumn("label", (F.col("label") == k).cast("double"))
@@ -136,20 +142,23 @@ def train(spark: SparkSession, n: int = 1500, trees: int = 200, rounds: int = 15
     rows = sum(size.values())
     summary = {
         "model_version": version_of(rows, mean), "n_training_samples": rows, "n_features": FEATURES, "training_time_s": round(time.monotonic() - started, 2),
-        "cv_scores": {"f1_macro_mean": round(mean, 4), "f1_macro_std": round(deviation, 4)} if folds else {}, "models": [f"RF-{trees}", f"RF-all-{trees}", f"GBT-{rounds}"], "available": True,
+        "cv_scores": {"f1_macro_mean": round(mean, 4), "f1_macro_std": round(deviation, 4)} if folds else {}, "models": [f"RF-{trees}", f"ET-{trees}", f"GBT-{rounds}"], "available": True,
     }
-    return Ensemble(forest, whole, boosted, summary)
+    return Ensemble(forest, extra, boosted, summary)
 
 
 def cached(spark: SparkSession, folder: str, **sizes) -> Ensemble:
     """The ensemble of these sizes (see train) that is saved below folder, trained and saved there first if it isn't.
 
-    A saved one that can't be read is trained again.
+    One that isn't whole is trained again; any other error is raised.
     """
     name = "-".join([f"{k}{v}" for k, v in sorted(sizes.items())]) or "full"
     try:
+        spark.read.text(f"{folder}/{name}/summary")
         return Ensemble.load(f"{folder}/{name}")
-    except Exception:  # not there, or half written
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         model = train(spark, **sizes)
         model.save(f"{folder}/{name}")
         return model
@@ -171,8 +180,8 @@ def label_of(mean) -> tuple:
 
 def predict(blocks: DataFrame, model: Ensemble) -> DataFrame:
     """image_id, block_id, ml_label, ml_confidence, votes of blocks (image_id, block_id, data)."""
-    y = with_features(blocks.select("image_id", "block_id", "data")).withColumn("vector", array_to_vector("features"))
-    for name, m in (("rf", model.forest), ("et", model.whole), *((f"gb{i}", m) for i, m in enumerate(model.boosted))):
+    y = model.extra.transform(with_features(blocks.select("image_id", "block_id", "data")), "p_et").withColumn("vector", array_to_vector("features"))
+    for name, m in (("rf", model.forest), *((f"gb{i}", m) for i, m in enumerate(model.boosted))):
         m = m.copy().setProbabilityCol(f"p_{name}").setRawPredictionCol(f"r_{name}").setPredictionCol(f"y_{name}")
         y = m.transform(y).drop(f"r_{name}", f"y_{name}").withColumn(f"p_{name}", vector_to_array(f"p_{name}"))
     alone = F.array(*(F.col(f"p_gb{i}")[1] for i in range(len(LABELS))))

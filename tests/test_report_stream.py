@@ -67,8 +67,9 @@ def test_model_labels(spark, tmp_path):
 
 def test_models_have_the_surveyed_settings(spark):
     model = ml.train(spark, n=6, trees=2, rounds=1, folds=0)
-    for m, seed in ((model.forest, 42), (model.whole, 7)):
-        assert (m.getMaxDepth(), m.getMinInstancesPerNode(), m.getWeightCol(), m.getSeed()) == (15, 2, "weight", seed)
+    m = model.forest
+    assert (m.getMaxDepth(), m.getMinInstancesPerNode(), m.getWeightCol(), m.getSeed()) == (15, 2, "weight", 42)
+    assert model.extra.trees == 2 and model.extra.value.shape[1] == 5
     assert all((m.getMaxDepth(), m.getStepSize(), m.getSubsamplingRate()) == (6, 0.08, 0.8) for m in model.boosted)
 
 
