@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import marked, slices, text_bytes, without
+from .common import freeing, marked, slices, text_bytes, without
 from .shingles import counted, mix, shingle_hashes, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -240,7 +240,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
     for part in range(parts):
         some = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part) if parts > 1 else items
         rows = [(r.item_id, r.text.encode()) for r in some.collect()]  # a part is bounded by ITEMS_BYTES
-        got = docs.select("doc_id", "text").mapInArrow(_scan(sorted(rows, key=lambda r: (r[0] is None, r)), threshold), RESULT)
+        got = docs.select("doc_id", "text").mapInArrow(freeing(_scan(sorted(rows, key=lambda r: (r[0] is None, r)), threshold)), RESULT)
         out = got if out is None else out.unionByName(got)
     return out
 

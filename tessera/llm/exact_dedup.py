@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small_or_shuffled, marked, numbered, slices, text_bytes, without, written
+from .common import freeing, join_small_or_shuffled, marked, numbered, slices, text_bytes, without, written
 
 BLOCK = 2048
 #: Spark samples keys on the driver to cut their range into partitions: so much of a block, then its hash, so that
@@ -73,7 +73,7 @@ def _regroup(named: DataFrame, what: str) -> DataFrame:
 
 def identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """rid, level, name of each row whose text occurs more than once; docs: rid, doc_id, text."""
-    rows = docs.mapInArrow(_blocks(block), "rid long, n int, at int, block binary").withColumn("h", F.xxhash64("block"))
+    rows = docs.mapInArrow(freeing(_blocks(block)), "rid long, n int, at int, block binary").withColumn("h", F.xxhash64("block"))
     again = written(rows.groupBy("h").count().filter("count > 1").select("h"), "block-hashes")
     rows = written(join_small_or_shuffled(rows, again, "h", "left_semi", F.lit(16)).drop("h"), "blocks")
     left = _regroup(rows.join(_names(rows, ["block"], "block-names"), "block").select("rid", "n", "at", "name"), "named")
@@ -108,7 +108,7 @@ def exact_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def _groups_of(rows: DataFrame, block: int) -> DataFrame:
-    facts = rows.mapInArrow(_facts, "rid long, doc_id long, n_chars long, text_sha256 string")
+    facts = rows.mapInArrow(freeing(_facts), "rid long, doc_id long, n_chars long, text_sha256 string")
     ids = identities(rows, block)
     # a row that stands alone gets a key of its own, so that such rows don't meet in one task
     all_ = facts.join(ids, "rid", "left").withColumns({"level": F.coalesce("level", F.lit(-1)), "name": F.coalesce("name", "rid")})

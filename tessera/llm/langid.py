@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import crc_column, written
+from .common import crc_column, freeing, written
 
 PROFILE = 400
 #: Profiles of so many languages are sent to the workers at once: a table of 4 bytes x n-grams x languages.
@@ -105,7 +105,7 @@ def profiles(labelled: DataFrame, size: int = PROFILE) -> DataFrame:
     The table is written: size rows a language, counted once however often it is read.
     """
     known = labelled.filter("lang is not null and text is not null").select("lang", "text")
-    counts = known.mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counts = known.mapInArrow(freeing(_count), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
     # the bound on the row's number lets each task drop all but its first rows of a language before they are dealt out
     top = counts.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= size)
@@ -168,7 +168,7 @@ def _measured(docs: DataFrame, profile: DataFrame, size: int) -> tuple[DataFrame
     for part in range(parts):
         some = profile.filter(F.pmod(F.xxhash64("lang"), F.lit(parts)) == part) if parts > 1 else profile
         rows = [(r.lang, r.code, r["rank"]) for r in some.collect()]  # size x LANGUAGES, about
-        out = out.mapInArrow(_nearest(rows, size, state), schema)
+        out = out.mapInArrow(freeing(_nearest(rows, size, state)), schema)
     return out, state
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small_or_shuffled, marked, slices, text_bytes, without, written
+from .common import freeing, join_small_or_shuffled, marked, slices, text_bytes, without, written
 from .components import components
 from .shingles import counted, mix, shingle_hashes, weighted_jaccard, word_hashes
 
@@ -179,7 +179,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: floa
     texts = join_small_or_shuffled(docs, wanted, "doc_id", "left_semi", F.lit(16))
     with_b = likely.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     full = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return full.select("a", "b", "text_a", "text_b").mapInArrow(_similar(threshold), "a long, b long, similarity double")
+    return full.select("a", "b", "text_a", "text_b").mapInArrow(freeing(_similar(threshold)), "a long, b long, similarity double")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     known = source.filter("doc_id is not null")
     bands, rows = bands_of(threshold)
     k = bands * rows
-    signed = written(known.mapInArrow(_sign(k), "doc_id long, key binary, n long, sig binary"), "signatures")
+    signed = written(known.mapInArrow(freeing(_sign(k)), "doc_id long, key binary, n long, sig binary"), "signatures")
     # this table and those below are written, so that joins with them deal both sides out and can split a large key
     same = written(signed.groupBy("key").agg(F.min("doc_id").alias("node")), "texts")
     reps = signed.filter("n > 0").withColumnRenamed("doc_id", "node").join(same, ["key", "node"], "left_semi")
@@ -299,9 +299,9 @@ def _across(crowded: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFr
     all_ = rows.select("h", each("ni").alias("i"), block("nj").alias("j"), F.lit(1).alias("side"), "node", "label")
     wanted = placed.select(F.col("node").alias("doc_id")).distinct()
     texts = join_small_or_shuffled(docs, wanted, "doc_id", "left_semi", F.lit(16))
-    units = texts.select("doc_id", "text").mapInArrow(_units, "node long, units binary")
+    units = texts.select("doc_id", "text").mapInArrow(freeing(_units), "node long, units binary")
     met = few.unionByName(all_).join(units, "node").select("h", "i", "j", "side", "node", "label", "units")
-    return met.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "side").mapInArrow(_compare(threshold), "a long, b long").distinct()
+    return met.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "side").mapInArrow(freeing(_compare(threshold)), "a long, b long").distinct()
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

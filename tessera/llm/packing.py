@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import freeing
+
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 )
@@ -359,4 +361,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, en
         yield _batch(bins.rest())
         enc.forget()  # workers serve other stages too
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(freeing(run), SCHEMA)
