@@ -652,3 +652,17 @@ def custody_append(spark, sf_dir):
     new = new.withColumn("after", F.when(F.col("session_id") % 7 == 3, F.col("old_hash")).otherwise(F.col("last_hash")))
     added, _ = custody.appended(new, log)
     return added.select("session_id", "sequence", "prev_hash", "entry_hash")
+
+
+@query(sql.with_(f"{sql.IMAGES}, b AS (SELECT image_id, b, sum(c)::BIGINT AS c FROM h GROUP BY ALL)", "SELECT image_id, sum(c)::BIGINT AS n_bytes, count(*) AS kinds, round(log2(sum(c)) - sum(c * log2(c)) / sum(c), 6) AS entropy, round(coalesce(sum(c) FILTER (b = 0), 0) / sum(c), 6) AS zero_ratio FROM b GROUP BY image_id"))
+def image_bytes(spark, sf_dir):
+    """Statistics of all bytes of each image, from histograms that are merged."""
+    return blocks.byte_statistics(_blocks(spark, sf_dir)).select("image_id", "n_bytes", "kinds", r6("entropy"), r6("zero_ratio"))
+
+
+@query(sql.with_(sql.RUNS, "SELECT r1.image_id, min(block_id) AS first_block, max(block_id) AS last_block, count(*) AS n, round(sum(entropy), 6) AS sum_entropy FROM r1 WHERE susp GROUP BY r1.image_id, run"))
+def sql_runs(spark, sf_dir):
+    """Runs of suspicious blocks by the registered table function, in SQL."""
+    register(spark)
+    _labelled(spark, sf_dir).createOrReplaceTempView("tessera_labels")
+    return spark.sql("SELECT image_id, first_block, last_block, n, round(sum_entropy, 6) AS sum_entropy FROM block_runs(TABLE(tessera_labels)) WHERE is_suspicious")

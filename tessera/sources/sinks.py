@@ -37,7 +37,6 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 def small(rows: DataFrame, limit_rows: int = 200_000) -> DataFrame:
     """rows of a few numbers each, to be joined to: broadcast while a count of them is within the limit, else left to a shuffle."""
-    rows = written(rows, "small")
     return F.broadcast(rows) if rows.limit(limit_rows + 1).count() <= limit_rows else rows
 
 

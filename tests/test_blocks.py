@@ -146,3 +146,25 @@ def test_override_matrix(spark):
     rows = [("RANDOM_WIPE", "NORMAL", 0.7, True), ("RANDOM_WIPE", "NORMAL", 0.69, False), ("NORMAL", "MULTI_PASS", 0.9, True), ("LIKELY_FF_WIPE", "NORMAL", 0.8, True), ("ZERO_WIPE", "NORMAL", 0.99, False), ("NORMAL", "NORMAL", 0.99, False)]
     df = spark.createDataFrame(rows, "base string, ml string, c double, expected boolean")
     assert all(r.got == r.expected for r in df.withColumn("got", labels.override(F.col("base"), F.col("ml"), F.col("c"))).collect())
+
+
+def test_runs_in_sql(spark):
+    """The table function against a plain fold; rows come in any order, ids have gaps and two stretches meet."""
+    import itertools
+    import random
+
+    from tessera.functions.registered import register
+
+    register(spark)
+    g = random.Random(4)
+    ids = [*range(50), *range(60, 90), *range(65_520, 65_560)]
+    rows = [(i, k, g.random() < 0.6, g.random(), "x") for i in ("a", "b") for k in ids]
+    spark.createDataFrame(g.sample(rows, len(rows)), "image_id string, block_id long, is_suspicious boolean, entropy double, other string").repartition(5).createOrReplaceTempView("labels_of_test")
+    got = sorted(map(tuple, spark.sql("SELECT image_id, is_suspicious, first_block, last_block, n, round(sum_entropy, 9) FROM block_runs(TABLE(labels_of_test))").collect()))
+    want = []
+    for _, run in itertools.groupby(enumerate(rows), lambda x: (x[1][0], x[1][2], x[1][1] - x[0], x[1][1] >> 16)):
+        own = [r for _, r in run]
+        want.append((own[0][0], own[0][2], own[0][1], own[-1][1], len(own), round(sum(r[3] for r in own), 9)))
+    assert got == sorted(want)
+    with pytest.raises(Exception, match="needs the columns"):
+        spark.sql("SELECT * FROM block_runs(TABLE(SELECT 1 AS image_id))").collect()
