@@ -168,3 +168,26 @@ def test_runs_in_sql(spark):
     assert got == sorted(want)
     with pytest.raises(Exception, match="needs the columns"):
         spark.sql("SELECT * FROM block_runs(TABLE(SELECT 1 AS image_id))").collect()
+
+
+def test_sizes_beyond_a_long(spark, tmp_path):
+    """Cubes of event ids as text, against exact fractions; 65,536 is a tie in PB."""
+    from fractions import Fraction
+
+    from tessera.plans.catalogue import QUERIES
+
+    def tenths(n, unit):
+        x = round(Fraction(10 * n, unit))  # halves to the even one
+        return f"{x // 10}.{x % 10}"
+
+    ids = [0, 1, 6, 7, 64, 4_095, 65_536, 131_036, 131_100, 999_999, 1_000_000, 5_999_999, 36_000_000, 50_000_000_000, None]
+    spark.createDataFrame([(k,) for k in ids], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    for r in QUERIES["format_bytes"](spark, str(tmp_path)).collect():
+        if r.event_id is None:
+            assert (r.gb, r.tb, r.floored, r.floored0) == (None,) * 4
+            continue
+        n = r.event_id**3 * 4097
+        i = next((i for i in range(5) if n < 1024 ** (i + 1)), 5)
+        a, b = min(i, 4), min(i, 5)
+        assert r.gb == f"{tenths(n, 1024**a)} {['B', 'KB', 'MB', 'GB', 'TB'][a]}" and r.tb == f"{tenths(n, 1024**b)} {['B', 'KB', 'MB', 'GB', 'TB', 'PB'][b]}"
+        assert r.floored == r.floored0 == f"{n // 1024**a} {['B', 'KB', 'MB', 'GB', 'TB'][a]}"
