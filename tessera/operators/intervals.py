@@ -1,8 +1,8 @@
-"""Joins of points with intervals, which may overlap and be of any length, by equal keys."""
+"""Joins of points with intervals, which may overlap and be of any length, by equal keys, and with the last mark before each."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.sinks import written
@@ -27,3 +27,23 @@ def containing(points: DataFrame, intervals: DataFrame, at: str, first: str, las
     asked = points.filter(F.col(at).isNotNull()).withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("bin", bin_(at))
     found = asked.join(lined, [key, "level", "bin"]).filter((F.col(at) >= F.col(first)) & (F.col(at) <= F.col(last)))
     return found.drop("level", "bin")
+
+
+def last_mark(points: DataFrame, marks: DataFrame, at: str, value: str, key: str = "image_id", bits: int = TOP) -> DataFrame:
+    """points with the column value of the last of the marks (key, at, value; one a place) at or before each; null before the first.
+
+    Points and marks meet once, in stretches of 1 << bits places, in order. A stretch with points also gets what holds at
+    its start: the last mark of the stretches before, from a row for each stretch that has anything. So nothing is copied
+    for what a mark's value reaches over.
+    """
+    stretch = F.call_function("shiftright", F.col(at).cast("long"), F.lit(bits))
+    m = written(marks.filter(F.col(key).isNotNull() & F.col(at).isNotNull()).select(key, F.col(at).cast("long").alias(at), F.struct(value).alias("held"), stretch.alias("stretch")), "marks")
+    asked = points.select(key, stretch.alias("stretch")).distinct().withColumn("asked", F.lit(True))
+    tails = m.groupBy(key, "stretch").agg(F.max_by("held", at).alias("held"))
+    earlier = Window.partitionBy(key).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    came = tails.join(asked, [key, "stretch"], "full").withColumn("held", F.last("held", ignorenulls=True).over(earlier)).filter("asked and held is not null")
+    came = came.select(key, F.call_function("shiftleft", "stretch", F.lit(bits)).alias(at), "held", "stretch", F.lit(0).alias("turn"))
+    rows = points.withColumns({"stretch": stretch, "turn": F.lit(2)}).unionByName(m.withColumn("turn", F.lit(1)).unionByName(came), allowMissingColumns=True)
+    so_far = Window.partitionBy(key, "stretch").orderBy(at, "turn").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("held", F.last("held", ignorenulls=True).over(so_far)).filter("turn = 2")
+    return found.withColumn(value, F.col("held")[value]).drop("held", "stretch", "turn")

@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 
 from ..sources.blockimage import open_input
 from ..sources.sinks import small, written
-from .intervals import containing
+from .intervals import containing, last_mark
 
 SECTOR = 512
 EXTENDED = (0x05, 0x0F, 0x85)
@@ -341,9 +341,13 @@ def offset_context(offsets: DataFrame, tables: DataFrame) -> DataFrame:
 def partition_of(offsets: DataFrame, tables: DataFrame) -> DataFrame:
     """offsets (image_id, offset) with the index and type_name of the partition that holds each, nulls in gaps and without a table.
 
-    tables: SCHEMA rows. Where partitions overlap it is the one of the smallest index.
+    tables: SCHEMA rows. Where partitions overlap it is the one of the smallest index. That is found for the places where
+    partitions begin and those after their ends, and holds up to the next such place. So a table that says a partition is
+    of terabytes costs no more than any other, and offsets are shuffled once.
     """
-    parts = tables.filter("start_lba is not null").select("image_id", "index", "type_name", "start_offset", "end_offset")
-    found = containing(offsets.select("image_id", "offset").distinct(), parts, "offset", "start_offset", "end_offset")
-    first = found.groupBy("image_id", "offset").agg(F.min(F.struct("index", "type_name")).alias("p"))
-    return offsets.join(first, ["image_id", "offset"], "left").withColumns({"index": F.col("p.index"), "type_name": F.col("p.type_name")}).drop("p")
+    parts = written(tables.filter("image_id is not null and start_lba is not null").select("image_id", "index", "type_name", "start_offset", "end_offset"), "extents")
+    edges = parts.select("image_id", F.explode(F.array("start_offset", F.col("end_offset") + 1)).alias("offset")).distinct()
+    held = containing(edges, parts, "offset", "start_offset", "end_offset", top=62)
+    held = held.groupBy("image_id", "offset").agg(F.min(F.struct("index", "type_name")).alias("p"))
+    found = last_mark(offsets, edges.join(held, ["image_id", "offset"], "left"), "offset", "p")
+    return found.withColumns({"index": F.col("p.index"), "type_name": F.col("p.type_name")}).drop("p")

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import intervals, partitions, regions
 from tessera.sources import ranges
@@ -82,6 +83,28 @@ def test_partition_of_an_offset(spark):
     assert sorted(map(str, (tuple(r) for r in got))) == sorted(str((*k, *want.get(k, (None, None)))) for k in at)
 
 
+def test_partitions_of_any_length(spark):
+    """Overlapping partitions, some of more bytes than could be cut into bins, against plain Python."""
+    g = random.Random(8)
+    rows = [(f"d{g.randrange(3)}", n, f"t{n % 4}", a := 512 * g.randrange(40), a + 512 * g.choice([1, 2, 9, 30]) - 1) for n in range(40)] + [("d0", 90, "far", 0, (1 << 62) - 1), ("d3", 0, "big", 512, (1 << 61) - 1), ("d3", 1, "all", 0, (1 << 62) - 1)]
+    tables = spark.createDataFrame(rows, "image_id string, index int, type_name string, start_offset long, end_offset long").withColumn("start_lba", F.col("start_offset") / 512)
+    at = [(g.choice(["d0", "d1", "d2", "d3", "none", None]), g.choice([None, g.randrange(-600, 40_000), 1 << 61, (1 << 62) - 1, 1 << 62])) for _ in range(400)]
+    got = partitions.partition_of(spark.createDataFrame(at, "image_id string, offset long").withColumn("same", F.col("offset")), tables)
+    want = [(i, x, min(((n, t) for k, n, t, a, z in rows if k == i and x is not None and a <= x <= z), default=(None, None))) for i, x in at]
+    assert sorted(str((r.image_id, r.offset, (r["index"], r.type_name))) for r in got.collect()) == sorted(map(str, want))
+    assert got.filter("same <=> offset").count() == len(at)
+
+
+@pytest.mark.parametrize("bits", [2, 5, 26])
+def test_last_marks(spark, bits):
+    g = random.Random(bits)
+    marks = {(g.choice("ab"), g.randrange(-40, 300)): g.choice([None, 1, 2, 3]) for _ in range(30)}
+    points = [(g.choice(["a", "b", "c", None]), g.choice([None, g.randrange(-60, 400)])) for _ in range(300)]
+    got = intervals.last_mark(spark.createDataFrame(points, "image_id string, p long"), spark.createDataFrame([(*k, v) for k, v in marks.items()], "image_id string, p long, v int"), "p", "v", bits=bits)
+    want = [(i, x, marks[max(k for k in marks if k[0] == i and k[1] <= x)] if x is not None and any(k[0] == i and k[1] <= x for k in marks) else None) for i, x in points]
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
+
+
 def test_blocks_of_regions(spark):
     found = spark.createDataFrame([("i", 1, "ZERO_WIPE", 0, 10 * 512 - 1), ("i", 2, "FF_WIPE", 5 * 512, 7 * 512 - 1), ("j", 1, "ZERO_WIPE", 0, 511)], "image_id string, id long, type string, start long, end long")
     blocks = spark.createDataFrame([(i, k) for i in "ij" for k in range(12)], "image_id string, block_id long")
