@@ -104,3 +104,22 @@ def test_ranges_grow_with_the_images(tmp_path, monkeypatch):
     monkeypatch.setattr(blockimage, "MOST_TASKS", 10)
     reader = BlockImageReader({"path": str(tmp_path), "partition_bytes": str(BLOCK)})
     assert len(reader.partitions()) == 10
+
+
+def test_small_images_share_tasks(spark, tmp_path):
+    """Many small images are read in few tasks, each block once; a few of them stay apart."""
+    for i in range(300):
+        (tmp_path / f"{i:03d}.img").write_bytes(bytes([i % 256]) * (BLOCK * (1 + i % 7)))
+    parts = BlockImageReader({"path": str(tmp_path)}).partitions()
+    assert 64 <= len(parts) < 128
+    got = sorted((r.image_id, r.block_id, r.data[0]) for r in read_images(spark, str(tmp_path)).collect())
+    assert got == [(f"{i:03d}.img", k, i % 256) for i in range(300) for k in range(1 + i % 7)]
+    assert len(BlockImageReader({"path": f"{tmp_path}/00*.img"}).partitions()) == 10
+
+
+def test_writes_of_many_images_at_once(spark, tmp_path):
+    """Gaps and other images end a file, also within a batch."""
+    rows = [(i, k, bytes([k % 251]) * BLOCK) for i in ("a", "b/c", "d") for k in [*range(40), *range(50, 53), 99]]
+    write_images(spark.createDataFrame(rows, "image_id string, block_id long, data binary").coalesce(1), str(tmp_path))
+    assert sorted(str(f.relative_to(tmp_path)) for f in tmp_path.rglob("*.part")) == sorted(f"{i}/{k:012d}.part" for i in ("a", "b/c", "d") for k in (0, 50, 99))
+    assert sorted((r.image_id, r.block_id, bytes(r.data)) for r in read_images(spark, str(tmp_path)).collect()) == rows
